@@ -9,10 +9,10 @@ candidates. The slack lets every set drop its most frequent signatures, up to th
 pair shares is among the most frequent of neither, so no pair is lost.
 
 Equal sets are one class from the start, named by 64 bits of their digest; signatures go to shards in packed batches, and a
-shard groups its signatures by sorting. Groups of up to GROUP classes give their pairs. Larger ones give memberships: each
-class is compared with the smallest of its largest group, twice, components are formed, and what is still apart within a
-group is compared in blocks by matrix products. Every link is verified on the whole sets; only pairs known to be connected
-are left out.
+shard groups its signatures by sorting. What is left after the drop makes groups. Groups of up to GROUP classes give their
+pairs. In larger ones each class is compared with the smallest of its largest group, twice, components are formed, and what is
+still apart within a group is compared in blocks. Pairs are screened by parity bitmaps, a bound that loses none, and verified
+on the whole sets; only pairs known to be connected are left out.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; texts of fewer words than a shingle have
 one shingle; rows with a null doc_id are returned with a null component and link with nothing; equal rows are returned each;
@@ -38,8 +38,8 @@ from stemma.llm.components import components
 WORDS = 5
 #: Groups of up to so many classes give all their pairs; larger ones go the way of memberships.
 GROUP = 8
-#: Classes in a block of the last comparison, and bytes of signatures in a shard.
-BLOCK, SHARD_BYTES = 256, 12_000_000
+#: Classes in a block of the last comparison, bytes of signatures in a shard, and bits of a parity bitmap.
+BLOCK, SHARD_BYTES, BITS = 512, 12_000_000, 2048
 #: Classes whose ids may be broadcast (8 MB of ids); above that the join is shuffled.
 BROADCAST_IDS = 500_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -97,7 +97,7 @@ def allocate(band: int, sets: int) -> tuple[int, int, int]:
     """(segments of threshold 0, segments of threshold 1, slack) of a band that holds so many sets, by cost."""
     top = int(EDGES[band + 1]) - 1
     need = (top + top * 5 // 4) // 9 + 1
-    slack = math.ceil(0.15 * need) if need > 1 else 0
+    slack = math.ceil(0.5 * need) if need > 1 else 0
     best = None
     for share in (0.0, 0.25, 0.5, 1.0):
         ones = int((need + slack) * share / 2)
@@ -186,98 +186,90 @@ def _emit(plan: dict[int, tuple[int, int, int]], shards: int):
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Pairs (kind 0: a, b) and memberships (kind 1: sig, class, size, tag) of one shard."""
-    join = lambda name, kind: np.frombuffer(b"".join(x for x in table.column(name).to_pylist()), dtype=kind)
+    """The signatures of one shard that two or more classes share: sig, class, size (of the group), tag."""
+    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
     sig, who, tag = join("sigs", np.uint64), join("ids", np.uint64), join("tags", np.uint8)
     order = np.lexsort((who, sig >> np.uint64(1)))
     sig, who, tag = sig[order], who[order], tag[order]
     key = sig >> np.uint64(1)
     # A set may meet a signature twice (its deletion and another's subset); a subset outranks a deletion.
-    new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])]
-    deletion = np.minimum.reduceat((sig & np.uint64(1)).astype(np.uint8), np.flatnonzero(new)) if len(sig) else np.empty(0, np.uint8)
+    new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])][: len(sig)]
+    deletion = np.minimum.reduceat((sig & np.uint64(1)).astype(np.uint8), np.flatnonzero(new))
     key, who, tag = key[new], who[new], tag[new]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    some = (sizes > 1) & (np.minimum.reduceat(deletion, starts) == 0 if len(starts) else True)  # two deletions are two apart
-    kind, left, right, size, tags = [], [], [], [], []
-    small = starts[some & (sizes <= GROUP)], sizes[some & (sizes <= GROUP)]
-    pairs = [np.empty((0, 2), dtype=np.uint64)]
-    for g in range(2, GROUP + 1):
-        at = small[0][small[1] == g]
-        if len(at):
-            i, j = np.triu_indices(g, 1)
-            pairs.append(np.stack([who[(at[:, None] + i).ravel()], who[(at[:, None] + j).ravel()]], axis=1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    large = np.repeat(some & (sizes > GROUP), sizes)
-    whole = np.repeat(sizes, sizes)
-    kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(int(large.sum()), np.int32)]
-    left, right = np.r_[pairs[:, 0], key[large]], np.r_[pairs[:, 1], who[large]]
-    size, tags = np.r_[np.zeros(len(pairs), np.int32), whole[large].astype(np.int32)], np.r_[np.zeros(len(pairs), np.int32), tag[large].astype(np.int32)]
-    return pa.table({"kind": kind, "a": left.view(np.int64), "b": right.view(np.int64), "size": size, "tag": tags})
+    some = np.repeat((sizes > 1) & (np.minimum.reduceat(deletion, starts) == 0), sizes)  # two deletions are two apart
+    return pa.table({"sig": key[some].view(np.int64), "class": who[some].view(np.int64), "size": np.repeat(sizes, sizes)[some].astype(np.int32), "tag": tag[some].astype(np.int32)})
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap whose bits tell whether an odd number of tokens falls on them: two sets differ in as many tokens at least
+    as their bitmaps differ in bits."""
+    return np.packbits((np.bincount((mix(s, 15) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the sizes n, m and the bitmaps (rows of x, y) leave sets a chance to be similar."""
+    apart = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    return (9 * apart <= n + m) & (5 * n >= 4 * m) & (5 * m >= 4 * n)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("class", pa.int64()), ("digest", pa.binary()), ("set", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("digest", pa.binary()), ("set", pa.binary()), ("n", pa.int64()), ("bits", pa.binary())])
     for batch in batches:
-        for text in batch.column("text").to_pylist():  # one row a batch part: sets are large
+        rows, held = {f.name: [] for f in schema}, 0
+        for text in batch.column("text").to_pylist():
             s = shingle_set(text)
             d = digest(s)
-            yield to_batch({"class": [int.from_bytes(d[:8], "little", signed=True) if d else 0], "digest": [d], "set": [s.tobytes()]}, schema)
+            for name, v in zip(rows, (int.from_bytes(d[:8], "little", signed=True), d, s.tobytes(), len(s), parity(s).tobytes()), strict=True):
+                rows[name].append(v)
+            held += len(s)
+            if held > 2_000_000:
+                yield to_batch(rows, schema)
+                rows, held = {f.name: [] for f in schema}, 0
+        yield to_batch(rows, schema)
+
+
+def _bitmaps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    """The pairs (a, b) whose sets are similar: bitmaps leave few pairs, and those meet with their whole sets."""
+    side = lambda new, *columns: sets.select(F.col("class").alias(new), *[F.col(c).alias(f"{c}_{new}") for c in columns])
+
+    def screen(batches):
+        for batch in batches:
+            keep = may_be_similar(_bitmaps(batch.column("bits_a")), _bitmaps(batch.column("bits_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def run(batches):
+    def compare(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 i = np.searchsorted(x, y)
                 common = int((x[np.minimum(i, len(x) - 1)] == y).sum())
                 keep.append(bool(similar(common, len(x), len(y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(screen, "a long, b long")
+    both = left.join(side("a", "set"), "a").join(side("b", "set"), "b")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links between the sets of one block pair that join different components (a spanning forest of them)."""
-    who, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
-    sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for chunk in table.column("set").chunks for v in chunk]
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of classes of different components in one block pair that their bitmaps leave a chance."""
+    who, comp, n, bits = table.column("class").to_numpy(), table.column("comp").to_numpy(), table.column("n").to_numpy(), _bitmaps(table.column("bits"))
     first = np.unique(who, return_index=True)[1]
-    who, comp, sets = who[first], comp[first], [sets[k] for k in first]
-    n, sizes = len(who), np.array([len(s) for s in sets])
-    common = np.zeros((n, n), dtype=np.float32)
-    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    rows = np.repeat(np.arange(n), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, rows = tokens[order], rows[order]
-    repeated = np.r_[False, tokens[1:] == tokens[:-1]]
-    repeated |= np.r_[repeated[1:], False]
-    tokens, rows = tokens[repeated], rows[repeated]  # tokens of one set add nothing
-    column = np.cumsum(np.r_[False, tokens[1:] != tokens[:-1]]) if len(tokens) else tokens
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
-        lo, hi = np.searchsorted(column, [c, c + 8192])
-        bits = np.zeros((n, 8192), dtype=np.float32)
-        bits[rows[lo:hi], column[lo:hi] - c] = 1
-        common += bits @ bits.T
-    i, j = np.nonzero(np.triu(similar(common.astype(np.int64), sizes[:, None], sizes[None, :]), 1))
-    parent = {c: c for c in comp.tolist()}
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    links = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = root(int(comp[x])), root(int(comp[y]))
-        if p != q:
-            parent[p] = q
-            links.append((int(who[x]), int(who[y])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    who, comp, n, bits = who[first], comp[first], n[first], bits[first]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(len(who) - 1):
+        keep = may_be_similar(bits[k], bits[k + 1 :], n[k], n[k + 1 :]) & (comp[k + 1 :] != comp[k])
+        found = who[k + 1 :][keep]
+        a.append(np.minimum(who[k], found))
+        b.append(np.maximum(who[k], found))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -318,9 +310,9 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
     ends = meet.select("task", "sig", "only", "slot").union(meet.select("task", "sig", "only2", "slot2")).distinct()
     placed = placed.withColumns({"k": F.xxhash64("sig", "only", "slot")})
     ends = ends.select("task", F.xxhash64("sig", "only", "slot").alias("k"))
-    work = ends.join(placed.select("k", "class", "comp"), "k").join(sets, "class").select("task", "class", "comp", "set")
-    more = work.groupBy("task").applyInArrow(_block_links, "a long, b long")
-    return links.union(more.distinct())
+    work = ends.join(placed.select("k", "class", "comp"), "k").join(sets.select("class", "n", "bits"), "class")
+    rest = materialize(work.groupBy("task").applyInArrow(_block_pairs, "a long, b long").distinct(), "rest")
+    return links.union(verified(rest, sets))
 
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,21 +333,24 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     total = sum(held[b] * (z + o * (1 + EDGES[b + 1] / (z + o))) for b, (z, o, _) in plan.items())
     shards = max(8, int(total * 17 / SHARD_BYTES) + 1)
     packed = d.where("doc_id IS NOT NULL").select("text").mapInArrow(_emit(plan, shards), "shard int, sigs binary, ids binary, tags binary")
-    found = materialize(packed.groupBy("shard").applyInArrow(_groups, "kind int, a long, b long, size int, tag int"), "found")
-    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("class"), "size", (F.col("tag").bitwiseAND(127)).alias("band"), (F.col("tag") < 128).alias("droppable"))
+    found = packed.groupBy("shard").applyInArrow(_groups, "sig long, class long, size int, tag int").withColumns({"band": F.col("tag").bitwiseAND(127), "droppable": F.col("tag") < 128})
     slack = F.element_at(F.create_map(*[F.lit(v) for b, p in (plan or {0: (0, 0, 0)}).items() for v in (b, p[2])]), F.col("band"))
     rank = F.row_number().over(W.partitionBy("class", "band").orderBy(F.col("droppable").desc(), F.col("size").desc(), "sig"))
-    members = materialize(members.withColumn("rank", rank).where(~F.col("droppable") | (F.col("rank") > slack)).select("sig", "class", "size"), "members")
-    pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("class")).distinct(), "wanted")
+    kept = materialize(found.withColumn("rank", rank).where(~F.col("droppable") | (F.col("rank") > slack)).select("sig", "class"), "kept")
+    sizes = kept.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(kept.join(sizes, "sig"), "members")
+    wanted = materialize(members.select("class").distinct(), "wanted")
     wanted = classes.join(wanted, "class").select(F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     texts = d.join(small_side(materialize(wanted.select("_first").distinct(), "firsts"), BROADCAST_IDS), F.col("doc_id") == F.col("_first"), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "class long, digest binary, set binary").join(wanted, F.col("digest") == F.col("_digest"), "left_semi")
-    sets = materialize(sets.groupBy("digest").agg(F.any_value("class").alias("class"), F.any_value("set").alias("set")).select("class", "set"), "sets")
-    links = materialize(verified(pairs, sets), "links")
-    if members.take(1):
-        links = links_in_groups(members, links, sets)
+    sets = texts.mapInArrow(_sets, "class long, digest binary, set binary, n long, bits binary").join(wanted, F.col("digest") == F.col("_digest"), "left_semi")
+    sets = materialize(sets.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("class", "set", "n", "bits")]).drop("digest"), "sets")
+    # Small groups give all their pairs.
+    group = members.where(F.col("size") <= GROUP).groupBy("sig").agg(F.array_sort(F.collect_list("class")).alias("g"))
+    pair = group.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", F.col("i") + 2, GROUP)).alias("b"))
+    links = materialize(verified(pair.distinct(), sets), "links")
+    large = members.where(F.col("size") > GROUP)
+    if large.take(1):
+        links = links_in_groups(large, links, sets)
     name = classes.select("class", "first")
     links = links.join(name.select(F.col("class").alias("a"), F.col("first").alias("x")), "a").join(name.select(F.col("class").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return rows, classes, links
