@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stemma.llm.common import materialize, to_batch
 
 MIN_WORDS = 6
-BOUNDARY = re.compile(r"\n|(?<=[.!?])[ \t]+")
+BOUNDARY = re.compile(r"\n|(?<=[.!?])[ \t]+\n?")
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:

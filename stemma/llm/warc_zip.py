@@ -127,7 +127,7 @@ class ZipReader:
         n = min(self.size, 65_557)
         tail = self.read(self.size - n, n)
         k = tail.rfind(b"PK\x05\x06")
-        while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != n:  # a comment may hold the mark
+        while k >= 0 and (k + 22 > n or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != n):  # a comment may hold the mark
             k = tail.rfind(b"PK\x05\x06", 0, k)
         if k < 0:
             raise ValueError("no end of central directory")
