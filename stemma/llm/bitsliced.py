@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, to_batch
+from stemma.llm.common import materialize, tidy, to_batch
 
 ROWS, QUERIES = 65_536, 256
 
@@ -154,8 +154,8 @@ def _search(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors (id, v) with the largest quantised inner products with each row of
     queries (id, v) but those with its id."""
-    rows = materialize(vectors.mapInArrow(_quantise(scale), "id long, v binary"), "vectors")
-    asked = materialize(queries.mapInArrow(_quantise(scale), "id long, v binary").distinct(), "queries")
+    rows = materialize(vectors.mapInArrow(tidy(_quantise(scale)), "id long, v binary"), "vectors")
+    asked = materialize(queries.mapInArrow(tidy(_quantise(scale)), "id long, v binary").distinct(), "queries")
     row_blocks, query_blocks = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
     part = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,37 @@ def input_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers stay alive, and would keep it from the others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable, rows: int = 1000) -> Callable:
+    """A function for mapInArrow that works on slices of at most so many rows and releases memory at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """A function for applyInArrow that releases memory at its end."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return one
+
+
 def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch from lists or arrays by column name."""
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in schema for x in (columns[f.name],)], schema=schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, to_batch
+from stemma.llm.common import materialize, tidy, to_batch
 
 MIN_WORDS = 6
 BOUNDARY = re.compile(r"\n|(?<=[.!?])[ \t]+\n?")
@@ -57,7 +57,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def all_units(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), start, end, words, digest of each unit of each row of docs (doc_id, text)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return d.mapInArrow(_units, "doc_id long, key long, start int, end int, words int, digest binary")
+    return d.mapInArrow(tidy(_units), "doc_id long, key long, start int, end int, words int, digest binary")
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, small_side, to_batch
+from stemma.llm.common import materialize, small_side, tidy, tidy_group, to_batch
 from stemma.llm.components import components
 
 WORDS = 5
@@ -176,7 +176,7 @@ def _emit(plan: dict[int, tuple[int, int, int]], shards: int):
                 ids.append(i)
                 tags.append(tag)
                 held += len(sig)
-                if held > 1_500_000:
+                if held > 500_000:
                     yield packed(sigs, ids, tags)
                     sigs, ids, tags, held, seen = [], [], [], 0, set()
         if sigs:
@@ -253,9 +253,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(similar(common, len(x), len(y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(screen, "a long, b long")
+    left = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(tidy(screen), "a long, b long")
     both = left.join(side("a", "set"), "a").join(side("b", "set"), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long")
 
 
 def _block_pairs(table: pa.Table) -> pa.Table:
@@ -311,7 +311,7 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
     placed = placed.withColumns({"k": F.xxhash64("sig", "only", "slot")})
     ends = ends.select("task", F.xxhash64("sig", "only", "slot").alias("k"))
     work = ends.join(placed.select("k", "class", "comp"), "k").join(sets.select("class", "n", "bits"), "class")
-    rest = materialize(work.groupBy("task").applyInArrow(_block_pairs, "a long, b long").distinct(), "rest")
+    rest = materialize(work.groupBy("task").applyInArrow(tidy_group(_block_pairs), "a long, b long").distinct(), "rest")
     return links.union(verified(rest, sets))
 
 
@@ -319,10 +319,10 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """(rows: doc_id, n, digest), (classes: digest, class, first), (links: a, b between classes' first doc_ids)."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(d.mapInArrow(_sizes, "doc_id long, n long, digest binary"), "sizes")
+    rows = materialize(d.mapInArrow(tidy(_sizes), "doc_id long, n long, digest binary"), "sizes")
     to_class = lambda batches: (to_batch({"digest": b.column("digest"), "first": b.column("first"), "n": b.column("n"), "class": [int.from_bytes(x[:8], "little", signed=True) for x in b.column("digest").to_pylist()]}, pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("class", pa.int64())])) for b in batches)
     classes = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"))
-    classes = materialize(classes.mapInArrow(to_class, "digest binary, first long, n long, class long"), "classes")
+    classes = materialize(classes.mapInArrow(tidy(to_class), "digest binary, first long, n long, class long"), "classes")
     # Bounded: one row for each band of sizes (under 130, whatever the corpus).
     sizes = classes.where("n >= 4").groupBy(F.floor(F.log(1.25, "n")).alias("k")).agg(F.count("*").alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
     held: dict[int, int] = {}
@@ -332,8 +332,8 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     plan = {b: allocate(b, n) for b, n in held.items()}
     total = sum(held[b] * (z + o * (1 + EDGES[b + 1] / (z + o))) for b, (z, o, _) in plan.items())
     shards = max(8, int(total * 17 / SHARD_BYTES) + 1)
-    packed = d.where("doc_id IS NOT NULL").select("text").mapInArrow(_emit(plan, shards), "shard int, sigs binary, ids binary, tags binary")
-    found = packed.groupBy("shard").applyInArrow(_groups, "sig long, class long, size int, tag int").withColumns({"band": F.col("tag").bitwiseAND(127), "droppable": F.col("tag") < 128})
+    packed = d.where("doc_id IS NOT NULL").select("text").mapInArrow(tidy(_emit(plan, shards)), "shard int, sigs binary, ids binary, tags binary")
+    found = packed.groupBy("shard").applyInArrow(tidy_group(_groups), "sig long, class long, size int, tag int").withColumns({"band": F.col("tag").bitwiseAND(127), "droppable": F.col("tag") < 128})
     slack = F.element_at(F.create_map(*[F.lit(v) for b, p in (plan or {0: (0, 0, 0)}).items() for v in (b, p[2])]), F.col("band"))
     rank = F.row_number().over(W.partitionBy("class", "band").orderBy(F.col("droppable").desc(), F.col("size").desc(), "sig"))
     kept = materialize(found.withColumn("rank", rank).where(~F.col("droppable") | (F.col("rank") > slack)).select("sig", "class"), "kept")
@@ -342,7 +342,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     wanted = materialize(members.select("class").distinct(), "wanted")
     wanted = classes.join(wanted, "class").select(F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     texts = d.join(small_side(materialize(wanted.select("_first").distinct(), "firsts"), BROADCAST_IDS), F.col("doc_id") == F.col("_first"), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "class long, digest binary, set binary, n long, bits binary").join(wanted, F.col("digest") == F.col("_digest"), "left_semi")
+    sets = texts.mapInArrow(tidy(_sets), "class long, digest binary, set binary, n long, bits binary").join(wanted, F.col("digest") == F.col("_digest"), "left_semi")
     sets = materialize(sets.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("class", "set", "n", "bits")]).drop("digest"), "sets")
     # Small groups give all their pairs.
     group = members.where(F.col("size") <= GROUP).groupBy("sig").agg(F.array_sort(F.collect_list("class")).alias("g"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, to_batch
+from stemma.llm.common import materialize, tidy, tidy_group, to_batch
 
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, QUERY_TERMS, K1, B = 1000, 24, 1.2, 0.75
@@ -206,9 +206,9 @@ def shards_of(counts: dict[int, int], size: int = SHARD_DOCS) -> list[tuple[int,
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): PIECES."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = materialize(d.mapInArrow(_encode(tokenizer), "doc_id long, doc_tokens long, crcs binary, rest binary, route long"), "encoded")
+    encoded = materialize(d.mapInArrow(tidy(_encode(tokenizer)), "doc_id long, doc_tokens long, crcs binary, rest binary, route long"), "encoded")
     # Bounded by the vocabulary: one row for each token that is a route.
     counts = {r["route"]: r["count"] for r in encoded.groupBy("route").count().collect()}
     routes = docs.sparkSession.createDataFrame(shards_of(counts), "route long, first long, shards long")
     spread = F.pmod(F.xxhash64("doc_id", "doc_tokens", "rest"), F.col("shards"))
-    return encoded.join(F.broadcast(routes), "route").withColumn("shard", F.col("first") + spread).drop("route", "first", "shards").groupBy("shard").applyInArrow(_pack_shard, PIECES)
+    return encoded.join(F.broadcast(routes), "route").withColumn("shard", F.col("first") + spread).drop("route", "first", "shards").groupBy("shard").applyInArrow(tidy_group(_pack_shard), PIECES)

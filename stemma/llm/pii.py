@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import to_batch
+from stemma.llm.common import tidy, to_batch
 
 BASE = ("email", "ip", "card", "phone")
 TYPES = ("email", "ip", "card", "phone", "number")
@@ -309,4 +309,4 @@ def pii_report(docs: DataFrame) -> DataFrame:
                 rows["spans"].append(_joined(spans))
             yield to_batch(rows | {"doc_id": batch.column("doc_id")}, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, REPORT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), REPORT)

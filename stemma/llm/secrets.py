@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, to_batch
+from stemma.llm.common import materialize, tidy, to_batch
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -146,7 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base, cand: spans and scored candidates of each row, as flat lists."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, base array<long>, cand array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_scan), "doc_id long, base array<long>, cand array<long>")
 
 
 def thresholds(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
@@ -198,7 +198,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
                 rows["spans"].append(_joined(sorted(spans + more)))
             yield to_batch(rows, schema)
 
-    return scanned.mapInArrow(finish, REPORT)
+    return scanned.mapInArrow(tidy(finish), REPORT)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import fresh_folder, materialize, to_batch
+from stemma.llm.common import fresh_folder, materialize, tidy, to_batch
 
 PACKAGE_BYTES, RANGE_BYTES = 128_000_000, 4_000_000
 MAX32 = 0xFFFFFFFF
@@ -222,7 +222,7 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("sha", F.sha1(F.coalesce(F.col("html"), F.lit(""))))
     first = p.groupBy("sha").agg(F.min("page_id").alias("first"))
     marked = p.join(first, "sha").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", "html", "first", "revisit")
-    return folder, materialize(marked.mapInArrow(_write(folder), "path string, bytes long, records long"), "packages")
+    return folder, materialize(marked.mapInArrow(tidy(_write(folder)), "path string, bytes long, records long"), "packages")
 
 
 def _ranges(folder: str):
@@ -286,9 +286,9 @@ def _read(folder: str):
 def read_packages(folder: str, packages: DataFrame) -> DataFrame:
     """The records of packages (path, bytes): page_id, record_id, record_type, refers_to_id, target_uri, payload_digest, payload
     (null for revisits). The byte ranges are dealt out anew, so that one large package is read by many tasks."""
-    ranges = packages.select("path", "bytes").mapInArrow(_ranges(folder), "path string, start long, lengths array<long>")
+    ranges = packages.select("path", "bytes").mapInArrow(tidy(_ranges(folder)), "path string, start long, lengths array<long>")
     spread = ranges.repartition(packages.sparkSession.sparkContext.defaultParallelism * 4, "path", "start")
-    return spread.mapInArrow(_read(folder), "page_id long, record_id string, record_type string, refers_to_id string, target_uri string, payload_digest string, payload binary")
+    return spread.mapInArrow(tidy(_read(folder)), "page_id long, record_id string, record_type string, refers_to_id string, target_uri string, payload_digest string, payload binary")
 
 
 def round_trip_report(pages: DataFrame) -> DataFrame:
