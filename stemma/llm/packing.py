@@ -14,26 +14,34 @@ an empty table gives no rows; very long texts are cut in the pass that encodes t
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.llm.byte_bpe import blocks
 from stemma.llm.common import materialize, tidy, tidy_group, to_batch
 
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, QUERY_TERMS, K1, B = 1000, 24, 1.2, 0.75
-KNOWN_WORDS = 200_000
-BREAK = re.compile(r"[ \n\t\r]+")
+BLOCK_BYTES = 4_000_000
+KNOWN_WORDS = 800_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """A tokenizer whose pre-tokens never cross white space, with a bounded table of the words it has met."""
+    """A tokenizer whose pre-tokens never cross white space, with a bounded table of the words it has met.
+
+    Words are looked up one by one, their ids gathered for a block of texts at once; new words go to the tokenizer in one text,
+    apart by a mark that no word has, since most of its cost is by call and not by word.
+    """
+
+    MARK = "\x01"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,24 +49,103 @@ class WordEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.known: dict[str, list[int]] = {}
+        (self.mark,) = self._ids([self.MARK])
+        self.last = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)  # tokens that end a pre-token
+        self.last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._clear()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         return _ENCODERS.get(path) or _ENCODERS.setdefault(path, cls(path))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text without special tokens, and END_ID."""
-        words = BREAK.split(text) if text else []
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.batch(texts, add_special_tokens=False)]
+
+    def _clear(self) -> None:
+        self.known: dict[str | None, int] = {None: 0, "": 1}  # null stands for the end of a text
+        self.ids, self.start, self.size, self.used = np.empty(1 << 16, dtype="<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
+        self.ids[0], self.size[0] = END_ID, 1
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used, k = len(self.known), self.used, len(words)
+        while n + k > len(self.start):
+            self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
+        while used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.empty_like(self.ids)]
+        self.ids[used : used + len(ids)] = ids
+        self.start[n : n + k] = used + np.cumsum(sizes) - sizes
+        self.size[n : n + k] = sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + k), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter new words. A full stop or comma after a letter is a pre-token of its own, so only the word before it is encoded."""
+        stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and self.MARK not in w and "<|" not in w]
+        if stopped:
+            whole = set(words).difference(stopped)
+            self._encode_new(sorted({*whole, *(w[:-1] for w in stopped), ".", ","} - self.known.keys()))
+            base = np.fromiter((self.known[w[:-1]] for w in stopped), np.int64, len(stopped))
+            stop = np.fromiter((self.known[w[-1]] for w in stopped), np.int64, len(stopped))
+            sizes = self.size[base]
+            at = np.cumsum(sizes + 1) - 1  # where the stops go
+            ids = np.empty(int(at[-1]) + 1, dtype="<u4")
+            ids[at] = self.ids[self.start[stop]]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at] = False
+            upto = np.cumsum(sizes)
+            ids[keep] = self.ids[np.repeat(self.start[base] - (upto - sizes), sizes) + np.arange(int(upto[-1]))]
+            self._add(stopped, ids, sizes + 1)
+        else:
+            self._encode_new(words)
+
+    def _encode_new(self, words: list[str]) -> None:
+        simple = [w for w in words if w.isalpha()]  # one pre-token each: its last token says so
+        for k in range(0, len(simple), 4000):
+            part = simple[k : k + 4000]
+            ids = np.array(self._ids([" ".join(part)])[0], dtype="<u4")
+            self._add(part, ids, np.diff(np.r_[-1, np.flatnonzero(self.last[ids])]))
+        marked = [w for w in words if not w.isalpha() and self.MARK not in w]
+        for k in range(0, len(marked), 2000):
+            part = marked[k : k + 2000]
+            ids = np.array(self._ids([f" {self.MARK} ".join(part)])[0], dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark[0])
+            self._add(part, np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1)
+        for w in words:
+            if self.MARK in w:
+                ids = np.array(self._ids([w])[0], dtype="<u4")
+                self._add([w], ids, np.array([len(ids)]))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text without special tokens, and END_ID."""
+        words: list[str | None] = []
+        ends = []
+        for t in texts:
+            if t:
+                words += plain(t).split(" ")
+            words.append(None)
+            ends.append(len(words))
+        new = set(words) - self.known.keys()
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = list(dict.fromkeys(words))
-        self.known.update(zip(new, [e.ids for e in self.batch(new, add_special_tokens=False)], strict=True))
-        known = self.known
-        ids = [i for w in words for i in known[w]]
-        ids.append(END_ID)
-        return np.array(ids, dtype="<u4")
+            self._clear()
+            new = set(words) - self.known.keys()
+        self._learn(sorted(new))
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        sizes = self.size[at]
+        upto = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.start[at] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        cuts = upto[np.array(ends, dtype=np.int64) - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def plain(t: str) -> str:
+    """A text with spaces for line ends and tabs, and in lower case where that is what the tokenizer does to it."""
+    for c in "\n\t\r":
+        t = t.replace(c, " ")
+    low = t.lower()
+    if t.isascii():
+        return t if "<|" in t else low
+    same = len(low) == len(t) and "Σ" not in t and "<|" not in t and unicodedata.is_normalized("NFC", t)
+    return low if same else t
 
 
 def _hash(ids: np.ndarray) -> np.ndarray:
@@ -73,8 +160,10 @@ def _encode(path: str):
         encoder = WordEncoder.of(path)
         for batch in batches:
             rows = {f.name: [] for f in schema}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text)
+            texts = batch.column("text")
+            parts = blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_BYTES)
+            encoded = (ids for a, b in parts for ids in encoder.encode(texts[a:b].to_pylist()))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 full = len(ids) // WINDOW * WINDOW
                 rest = ids[full:]
                 rows["doc_id"].append(doc)
