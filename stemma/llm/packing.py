@@ -30,7 +30,7 @@ from stemma.llm.common import materialize, tidy, tidy_group, to_batch
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, QUERY_TERMS, K1, B = 1000, 24, 1.2, 0.75
 BLOCK_BYTES = 4_000_000
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 1_200_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -83,7 +83,7 @@ class WordEncoder:
         stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and self.MARK not in w and "<|" not in w]
         if stopped:
             whole = set(words).difference(stopped)
-            self._encode_new(sorted({*whole, *(w[:-1] for w in stopped), ".", ","} - self.known.keys()))
+            self._encode_new(list({*whole, *(w[:-1] for w in stopped), ".", ","} - self.known.keys()))
             base = np.fromiter((self.known[w[:-1]] for w in stopped), np.int64, len(stopped))
             stop = np.fromiter((self.known[w[-1]] for w in stopped), np.int64, len(stopped))
             sizes = self.size[base]
@@ -128,7 +128,7 @@ class WordEncoder:
         if len(self.known) + len(new) > KNOWN_WORDS:
             self._clear()
             new = set(words) - self.known.keys()
-        self._learn(sorted(new))
+        self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         sizes = self.size[at]
         upto = np.cumsum(sizes)
