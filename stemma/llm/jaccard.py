@@ -10,8 +10,8 @@ pair shares is among the most frequent of neither, so no pair is lost.
 
 Equal sets are one class from the start, named by 64 bits of their digest; signatures go to shards in packed batches, and a
 shard groups its signatures by sorting. What is left after the drop makes groups. Groups of up to GROUP classes give their
-pairs. In larger ones each class is compared with the smallest of its largest group, twice, components are formed, and what is
-still apart within a group is compared in blocks. Pairs are screened by parity bitmaps, a bound that loses none, and verified
+pairs. In larger ones classes, and then components, are compared with one of their group in a few rounds, components are formed
+anew each time, and what is still apart within a group is compared in blocks. Pairs are screened by parity bitmaps, a bound that loses none, and verified
 on the whole sets; only pairs known to be connected are left out.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; texts of fewer words than a shingle have
@@ -40,6 +40,8 @@ WORDS = 5
 GROUP = 8
 #: Classes in a block of the last comparison, bytes of signatures in a shard, and bits of a parity bitmap.
 BLOCK, SHARD_BYTES, BITS = 512, 12_000_000, 2048
+#: Rounds in which large groups are compared by stars before they are compared by blocks.
+STARS = 5
 #: Classes whose ids may be broadcast (8 MB of ids); above that the join is shuffled.
 BROADCAST_IDS = 500_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -259,17 +261,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of classes of different components in one block pair that their bitmaps leave a chance."""
+    """Classes of one block pair, each with the larger ones of other components to which its bitmap leaves a chance."""
     who, comp, n, bits = table.column("class").to_numpy(), table.column("comp").to_numpy(), table.column("n").to_numpy(), _bitmaps(table.column("bits"))
     first = np.unique(who, return_index=True)[1]
     who, comp, n, bits = who[first], comp[first], n[first], bits[first]
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, partners = [], []
     for k in range(len(who) - 1):
         keep = may_be_similar(bits[k], bits[k + 1 :], n[k], n[k + 1 :]) & (comp[k + 1 :] != comp[k])
-        found = who[k + 1 :][keep]
-        a.append(np.minimum(who[k], found))
-        b.append(np.maximum(who[k], found))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        if keep.any():
+            a.append(int(who[k]))
+            partners.append(who[k + 1 :][keep])
+    return pa.table({"a": pa.array(a, pa.int64()), "partners": pa.array(partners, pa.list_(pa.int64()))})
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -286,12 +288,19 @@ def _apart(members: DataFrame) -> DataFrame:
 
 def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what is similar within large groups (sig, class, size), besides the links known."""
-    for _ in range(2):  # each class against the smallest class of its largest group that is not of its component
+    for k in range(STARS):
         labelled = materialize(_apart(_labelled(members, links)), "labelled")
-        pivot = labelled.groupBy("sig").agg(F.min(F.struct("class", "comp")).alias("p"))
-        star = labelled.join(pivot, "sig").where(F.col("comp") != F.col("p.comp")).groupBy("class").agg(F.max_by(F.col("p.class"), F.struct("size", "sig")).alias("p"))
+        if k < 2:  # each class against the smallest class of its largest group that is not of its component
+            pivot = labelled.groupBy("sig").agg(F.min(F.struct("class", "comp")).alias("p"))
+            star = labelled.join(pivot, "sig").where(F.col("comp") != F.col("p.comp")).groupBy("class").agg(F.max_by(F.col("p.class"), F.struct("size", "sig")).alias("p"))
+        else:  # one class of each component of a group against one of another
+            any_of = lambda *c: F.xxhash64(*c, F.lit(k))
+            one = labelled.groupBy("sig", "comp").agg(F.min_by("class", any_of("class")).alias("class"))
+            pivot = one.groupBy("sig").agg(F.min_by(F.col("class"), any_of("comp")).alias("p"))
+            star = one.join(pivot, "sig").select("class", "p").where("class <> p")
         star = star.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
-        links = materialize(links.union(verified(star, sets)), "links")
+        found = materialize(verified(star, sets), "links")
+        links = materialize(links.union(found), "links")
         members = labelled
     labelled = materialize(_apart(_labelled(members, links)).select("sig", "class", "comp"), "apart")
     # Blocks: a component with many classes in a group has blocks of its own, the others share blocks.
@@ -311,7 +320,10 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
     placed = placed.withColumns({"k": F.xxhash64("sig", "only", "slot")})
     ends = ends.select("task", F.xxhash64("sig", "only", "slot").alias("k"))
     work = ends.join(placed.select("k", "class", "comp"), "k").join(sets.select("class", "n", "bits"), "class")
-    rest = materialize(work.groupBy("task").applyInArrow(tidy_group(_block_pairs), "a long, b long").distinct(), "rest")
+    # A pair may share many signatures: partners are made distinct by class before they become pairs.
+    near = work.groupBy("task").applyInArrow(tidy_group(_block_pairs), "a long, partners array<long>")
+    near = near.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    rest = materialize(near.select("a", F.explode("partners").alias("b")), "rest")
     return links.union(verified(rest, sets))
 
 
