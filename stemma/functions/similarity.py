@@ -8,6 +8,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -45,7 +46,7 @@ def cosine_text(a: str, b: str) -> float:
     return cosine_counts(trigrams(a), trigrams(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def trigram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """SIM-02 of normalised texts."""
     return pd.Series([cosine_text(x or "", y or "") for x, y in zip(a, b, strict=True)])

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Edges of words in the ASCII sense: \\b would take accented letters for word characters.
 NOT_AFTER, NOT_BEFORE = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
@@ -59,7 +60,7 @@ def decode_entities_text(s: str) -> str:
     return _ENTITY.sub(one, s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """SCL-09 over Arrow batches."""
     return s.map(decode_entities_text, na_action="ignore")
@@ -144,7 +145,7 @@ def is_page_number(s: Column) -> Column:
 
 def split_ellipsis(s: Column) -> Column:
     """SCL-21: the parts between ... or …, trimmed, empty ones dropped."""
-    return F.array_remove(F.transform(F.split(s, r"\.\.\.|…"), F.trim), "")
+    return F.array_remove(F.transform(F.split(s, r"\.\.\.|…"), lambda x: F.trim(x)), "")
 
 
 def expand_quote_text(quote: str | None, headword: str | None) -> str | None:
@@ -178,13 +179,13 @@ def expand_definition_text(text: str, headword: str) -> str:
     return re.sub(r"--([a-z]+)", full, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def expand_quote(quote: pd.Series, headword: pd.Series) -> pd.Series:
     """SCL-22 over Arrow batches."""
     return pd.Series([expand_quote_text(q, h) or q for q, h in zip(quote, headword, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def expand_definition(text: pd.Series, headword: pd.Series) -> pd.Series:
     """SCL-23 over Arrow batches."""
     return pd.Series([expand_definition_text(t, h) for t, h in zip(text, headword, strict=True)])

@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
 
@@ -101,7 +101,7 @@ def tokens(s: str | None, stem: bool = True) -> list[str]:
     return [porter(t) for t in found] if stem else found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed_tokens(s: pd.Series) -> pd.Series:
     return s.map(tokens)
 
@@ -247,8 +247,12 @@ def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0, most: int
     return df.orderBy(*order).offset(max(0, offset)).limit(n)
 
 
-def tiered(df: DataFrame, key: str, q: str, score: str = "score") -> DataFrame:
-    """SRT-05: exact keys first, then those that begin with the query, then others, each by score."""
+def relevance_tier(key: str, q: str):
+    """SRT-05: 0 for keys equal to the query, 1 for those that begin with it, 2 for others."""
     low = F.lower(key)
-    tier = F.when(low == q.lower(), 0).when(F.startswith(low, F.lit(q.lower())), 1).otherwise(2)
-    return df.withColumn("tier", tier).withColumn("rank", F.row_number().over(W.orderBy("tier", F.col(score).desc(), key)))
+    return F.when(low == q.lower(), 0).when(F.startswith(low, F.lit(q.lower())), 1).otherwise(2)
+
+
+def tiered_page(df: DataFrame, key: str, q: str, score: str = "score", limit: int = 50, offset: int = 0) -> DataFrame:
+    """SRT-05: a page of the results by tier, then score, then key."""
+    return page(df.withColumn("tier", relevance_tier(key, q)), [F.col("tier"), F.col(score).desc(), F.col(key)], limit, offset)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, StringType
 
 from stemma.functions.text import roman_value
 
@@ -322,7 +323,7 @@ def html_lines(html: str | None) -> list[str]:
     return [t for t in (" ".join(x.split()) for x in [*out, held]) if t]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def html_text_lines(html):
     return html.map(html_lines)
 

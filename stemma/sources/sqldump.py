@@ -83,7 +83,7 @@ def dump_table(rows: DataFrame, name: str, columns: dict[str, str], width: int)
 
 def verse_lines(df: DataFrame, column: str) -> DataFrame:
     """SRC-05: a row for each verse line of a paragraph (parts between newline and [p]), trimmed, empty ones dropped; pos from 0."""
-    parts = F.transform(F.split(column, r"\n\[p\]"), F.trim)
+    parts = F.transform(F.split(column, r"\n\[p\]"), lambda x: F.trim(x))
     return df.select("*", F.posexplode(F.array_remove(parts, "")).alias("pos", "line"))
 
 
