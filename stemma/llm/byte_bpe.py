@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stemma.llm.common import tidy, to_batch
 
 BLOCK_BYTES = 6_000_000
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 600_000
 
 
 class MergeReplay:
@@ -37,106 +37,149 @@ class MergeReplay:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         # (left id, right id) -> id of their concatenation, for every cut of every token into two tokens
-        self.pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.known: dict[str, tuple[int, ...]] = {}
+        pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self._clear()
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> MergeReplay:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word, by replay of the merges over all words together."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        pending = []
-        for w, word in enumerate(words):
-            i = self.ranks.get(word)
-            if i is None:
-                pending.append(w)
-            else:  # a token itself: its own merges lead to it, and no other rank is lower than the last of them
-                out[w] = (i,)
-        pairs, byte_ids = self.pairs, self.byte_ids
-        chain: list[int] = []
-        start = []
-        for w in pending:
-            start.append(len(chain))
-            chain += [byte_ids[b] for b in words[w]]
-            chain.append(-1)
-        n = len(chain)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            r = pairs.get((chain[p] << 32) | chain[p + 1]) if chain[p] >= 0 <= chain[p + 1] else None
-            if r is not None:
-                index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair merges to, or -1; negative ids (gaps) merge with nothing."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.merged[at], -1)
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each), by replay of the merges over all words together."""
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        # The chain has the symbols of every word, with a gap after each and one in front.
+        ends = np.cumsum(sizes + 1)
+        chain = np.full(int(ends[-1]) + 1 if len(ends) else 1, -1, dtype=np.int64)
+        inside = np.ones(len(chain), dtype=bool)
+        inside[np.r_[0, ends]] = False
+        chain[inside] = self.byte_ids[raw]
+        first = ends - sizes
+        # A word that is a token needs no merges: its own merges lead to it.
+        tokens = np.flatnonzero((whole >= 0) & (sizes > 0))
+        if len(tokens):
+            n = sizes[tokens]
+            upto = np.cumsum(n)
+            chain[np.repeat(first[tokens] - (upto - n), n) + np.arange(int(upto[-1]))] = -2
+            chain[first[tokens]] = whole[tokens]
+        if len(tokens) < len(words):
+            self._replay(chain)
+        alive = chain >= 0
+        counts = np.add.reduceat(alive, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+        return chain[alive], np.where(sizes > 0, counts, 0)
+
+    def _replay(self, chain: np.ndarray) -> None:
+        nxt, prv = np.arange(1, len(chain) + 1), np.arange(-1, len(chain) - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            keep = ranks >= 0
+            places, ranks = places[keep], ranks[keep]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else ()
+            for r, a, b in zip(ranks[cuts].tolist() if len(ranks) else (), cuts, [*cuts[1:], len(ranks)], strict=False):
+                if r in index:
+                    index[r].append(places[a:b])
+                else:
+                    index[r] = [places[a:b]]
+                    heapq.heappush(heap, r)
+
+        start = np.flatnonzero(chain[:-1] >= 0)
+        enter(start, self.rank_of(chain[start], chain[start + 1]))
         while heap:
             r = heapq.heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
+            held = index.pop(r)
+            places = np.unique(np.concatenate(held)) if len(held) > 1 else np.unique(held[0])
+            right = nxt[places]
+            now = self.rank_of(chain[places], chain[right]) == r
+            places, right = places[now], right[now]
+            if not len(places):
                 continue
-            places.sort()
-            for at, p in enumerate(places):
-                left = chain[p]
-                if left < 0:
-                    continue
-                q = nxt[p]
-                right = chain[q]
-                if right < 0 or pairs.get((left << 32) | right) != r:
-                    continue
-                chain[p], chain[q] = r, -2
-                q = nxt[p] = nxt[q]
-                prv[q] = p
-                lower = False
-                right = chain[q]
-                if right >= 0:
-                    s = pairs.get((r << 32) | right)
-                    if s is not None:
-                        lower |= s < r
-                        if s in index:
-                            index[s].append(p)
-                        else:
-                            index[s] = [p]
-                            heapq.heappush(heap, s)
-                o = prv[p]
-                if o >= 0 and (left := chain[o]) >= 0:
-                    s = pairs.get((left << 32) | r)
-                    if s is not None:
-                        lower |= s < r
-                        if s in index:
-                            index[s].append(o)
-                        else:
-                            index[s] = [o]
-                            heapq.heappush(heap, s)
-                if lower and at + 1 < len(places):  # a lower rank has come up: it goes first
-                    rest = places[at + 1 :]
-                    if r in index:
-                        index[r] += rest
-                    else:
-                        index[r] = rest
-                        heapq.heappush(heap, r)
-                    break
-        for w, p in zip(pending, start, strict=True):
-            ids = []
-            while chain[p] != -1:
-                ids.append(chain[p])
-                p = nxt[p]
-            out[w] = tuple(ids)
-        return out
+            if len(places) > 1 and np.isin(right, places).any():  # they overlap: from left to right, one by one
+                self._merge_singly(chain, nxt, prv, places, r, enter, index, heap)
+                continue
+            saved = chain[places], chain[right], nxt[places], nxt[right]
+            after = nxt[right]
+            chain[places], chain[right] = r, -2
+            nxt[places] = after
+            prv[after] = places
+            before = prv[places]
+            after = nxt[places]
+            on_left, on_right = self.rank_of(chain[before], chain[places]), self.rank_of(chain[places], chain[after])
+            if ((on_left >= 0) & (on_left < r)).any() or ((on_right >= 0) & (on_right < r)).any():  # a lower rank comes up: it goes first
+                chain[places], chain[right], nxt[places] = saved[0], saved[1], right
+                prv[saved[3]] = right
+                self._merge_singly(chain, nxt, prv, places, r, enter, index, heap)
+                continue
+            enter(np.concatenate([before, places]), np.concatenate([on_left, on_right]))
+
+    def _merge_singly(self, chain, nxt, prv, places, r, enter, index, heap) -> None:
+        for at, p in enumerate(places.tolist()):
+            q = int(nxt[p])
+            if chain[p] < 0 or int(self.rank_of(chain[p : p + 1], chain[q : q + 1])[0]) != r:
+                continue
+            chain[p], chain[q] = r, -2
+            n, o = int(nxt[q]), int(prv[p])
+            nxt[p], prv[n] = n, p
+            new = self.rank_of(chain[[o, p]], chain[[p, n]])
+            enter(np.array([o, p]), new)
+            if ((new >= 0) & (new < r)).any() and at + 1 < len(places):
+                if r in index:
+                    index[r].append(places[at + 1 :])
+                else:
+                    index[r] = [places[at + 1 :]]
+                    heapq.heappush(heap, r)
+                return
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.start, self.size, self.used = np.empty(1 << 16, dtype="<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        ids, sizes = self.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
+        n, k, used = len(self.known), len(words), self.used
+        while n + k > len(self.start):
+            self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
+        while used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.empty_like(self.ids)]
+        self.ids[used : used + len(ids)] = ids
+        self.start[n : n + k] = used + np.cumsum(sizes) - sizes
+        self.size[n : n + k] = sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + k), strict=True))
 
     def encode_block(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
-        table = self.known
-        if len(table) + len(new) > KNOWN_WORDS:
-            table = self.known = {}
-            new = list(dict.fromkeys(w for words in split for w in words))
-        table.update(zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-        return [np.fromiter((i for w in words for i in table[w]), dtype="<u4") for words in split]
+        words, ends = [], []
+        for t in texts:
+            words += self.split(t)
+            ends.append(len(words))
+        new = set(words) - self.known.keys()
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self._clear()
+            new = set(words)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        sizes = self.size[at]
+        upto = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.start[at] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        cuts = np.r_[0, upto][np.array(ends, dtype=np.int64)].tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
