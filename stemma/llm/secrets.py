@@ -2,7 +2,7 @@
 
 Fixed forms (assign, access, hex) are found by regular expression. Besides them, every run of 20 or more characters of
 the base64 alphabets gets an inferred encoding and three tests against uniform draws from its alphabet: chi-squared over
-equal bins of the alphabet, runs above and below its middle, and lag-one serial correlation; Fisher's method combines
+bins of the alphabet, runs above and below its middle, and lag-one serial correlation; Fisher's method combines
 their p-values. A random string keeps a large p-value, words and numbers in sequence do not. How large it must be is
 decided for each band of lengths from the whole corpus: each candidate has a decoy (as many letters of the text before
 it), and the lowest score is taken at which decoys that pass are at most FALSE_SHARE of the candidates that pass.
@@ -45,6 +45,18 @@ ENCODINGS = {
     "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 _RANKS = {name: np.array([alphabet.find(chr(c)) for c in range(128)]) for name, alphabet in ENCODINGS.items()}
+#: Bins of each alphabet for the chi-squared test, as edges of ranks: halves of each case, the digits and the signs apart, so that a lack
+#: of digits or a wealth of signs shows.
+BINS = {
+    "decimal": np.arange(0, 11, 2),
+    "hex": np.arange(0, 17, 2),
+    "HEX": np.arange(0, 17, 2),
+    "base32": np.array([0, 13, 26, 32]),
+    "base62": np.array([0, 13, 26, 39, 52, 62]),
+    "base64": np.array([0, 13, 26, 39, 52, 62, 64]),
+    "base64url": np.array([0, 13, 26, 39, 52, 62, 64]),
+    "mixed": np.array([0, 13, 26, 39, 52, 62, 66]),
+}
 #: Upper bounds of the bands of lengths; a last band has the rest.
 BANDS = (24, 32, 48, 64, 96)
 #: Scores are -log10 of the p-value in steps of 1 / STEPS, up to CEILING.
@@ -74,11 +86,11 @@ def battery(s: str) -> float:
     encoding = infer_encoding(s)
     x = _RANKS[encoding][np.frombuffer(s.encode("ascii"), dtype=np.uint8)].astype(float)
     size, n = len(ENCODINGS[encoding]), len(s)
-    bins = 8 if size >= 16 else 5
-    edges = np.floor(np.arange(bins + 1) * size / bins + 1e-9)
+    edges = BINS[encoding]
     counts = np.histogram(x, bins=edges - 0.5)[0]
     expected = n * np.diff(edges) / size
-    p = [chi2_tail(float(((counts - expected) ** 2 / expected).sum()), bins - 1)]
+    off = np.maximum(0, np.abs(counts - expected) - np.where(expected < 2, 0.5, 0))  # continuity where few are expected
+    p = [chi2_tail(float((off**2 / expected).sum()), len(expected) - 1)]
     high = x >= size / 2
     n1 = int(high.sum())
     n2 = n - n1
