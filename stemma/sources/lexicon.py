@@ -18,9 +18,11 @@ _LETTERED = re.compile(r"(?<![0-9A-Za-z])([a-z])\)\s")
 
 
 def _outside(text: str, at: int) -> bool:
-    """Whether a place is outside parentheses; the markers' own closing brackets are not counted."""
-    plain = _LETTERED.sub(lambda m: " " * len(m[0]), _NUMBERED.sub(lambda m: " " * len(m[0]), text[:at]))
-    return plain.count("(") <= plain.count(")")
+    """Whether a place is outside parentheses; a closing bracket without an open one belongs to a marker."""
+    depth = 0
+    for c in text[:at]:
+        depth += (c == "(") - (c == ")" and depth > 0)
+    return depth == 0
 
 
 def _markers(pattern: re.Pattern, text: str, first: int, value) -> list[tuple[int, int, int]]:

@@ -148,7 +148,7 @@ def tei_words_play(text: str) -> Iterator[tuple]:
                         words.append((t, x.get("lemma"), x.get("pos") or x.get("ana")))
             sp = speaker_of.get(id(e))
             n = (e.get("n") or "").split(".")
-            number = int(n[2]) if len(n) == 3 and n[2].isdigit() else 0
+            number = int(n[2]) if len(n) == 3 and n[2].isdigit() and not n[0].upper().startswith("SD") else 0
             if s := " ".join(out.split()):
                 pos += 1
                 who = (sp.get("who") if sp is not None else None) or e.get("who")

@@ -22,7 +22,7 @@ def segment(lines: DataFrame, starts: Column, drop: Column | None = None) -> Dat
     flagged = kept.withColumn("_s", F.coalesce(starts, F.lit(False)).cast("int"))
     numbered = flagged.withColumn("entry_no", F.sum("_s").over(W.partitionBy("volume").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow))).where("entry_no > 0")
     parts = numbered.groupBy("volume", "entry_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    return parts.select("volume", "entry_no", F.col("ls")[0]["line"].alias("first"), F.trim(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("raw_text"))
+    return parts.select("volume", "entry_no", F.col("ls")[0]["line"].alias("first"), F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("raw_text"))
 
 
 def headword(first: Column, mark: str = r"[,.\[(;:]") -> Column:
