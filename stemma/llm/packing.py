@@ -17,6 +17,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -124,15 +125,20 @@ class WordEncoder:
                 words += plain(t).split(" ")
             words.append(None)
             ends.append(len(words))
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self._clear()
-            new = set(words) - self.known.keys()
-        self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = {words[k] for k in missing}
+            if len(self.known) + len(new) > KNOWN_WORDS:
+                self._clear()
+                new, missing = set(words) - self.known.keys(), range(len(words))
+            self._learn(list(new))
+            at[missing] = [self.known[words[k]] for k in missing]
         sizes = self.size[at]
         upto = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.start[at] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        total = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if self.used + total < 2**31 else np.int64  # half the memory to go through
+        ids = self.ids[np.repeat((self.start[at] - (upto - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)]
         cuts = upto[np.array(ends, dtype=np.int64) - 1].tolist()
         return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
@@ -182,10 +188,11 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         length = np.array([len(d) for d in docs], dtype=np.float64)
-        pair, tf = np.unique(np.concatenate([d.astype(np.int64) * n + k for k, d in enumerate(docs)] or [np.empty(0, np.int64)]), return_counts=True)
+        every = np.concatenate(docs or [np.empty(0, np.int64)])
+        kind = np.int32 if (int(every.max()) + 1 if len(every) else 1) * max(n, 1) < 2**31 else np.int64
+        pair, tf = np.unique(every.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), [len(d) for d in docs]), return_counts=True)
         token, self.doc = pair // max(n, 1), pair % max(n, 1)
         self.tokens, self.start, df = np.unique(token, return_index=True, return_counts=True)
-        self.end = self.start + df
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         average = max(1.0, length.mean()) if n else 1.0
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / average))
@@ -195,10 +202,11 @@ class Bm25:
         """BM25 of every document for the rarest tokens of ids that more than one document has."""
         at = np.searchsorted(self.tokens, np.unique(ids))
         at = at[self.df[at] > 1]
-        out = np.zeros(self.n)
-        for k in at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]:
-            out[self.doc[self.start[k] : self.end[k]]] += self.weight[self.start[k] : self.end[k]]
-        return out
+        at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
+        n = self.df[at]
+        upto = np.cumsum(n)
+        flat = np.repeat(self.start[at] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)
+        return np.bincount(self.doc[flat], self.weight[flat], self.n)
 
 
 def pack(rests: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
