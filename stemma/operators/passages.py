@@ -22,7 +22,8 @@ def plain_norm_sql(x: str) -> str:
 
 def grams(words: Column) -> Column:
     """All runs of GRAM words, as hashes."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - GRAM), lambda i: F.xxhash64(F.slice(words, i + 1, GRAM)))
+    heads = F.slice(words, 1, F.greatest(F.size(words) - GRAM + 1, F.lit(0)))
+    return F.transform(heads, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, GRAM)]))
 
 
 def find_passages(passages: DataFrame, lines: DataFrame) -> DataFrame:
@@ -33,19 +34,19 @@ def find_passages(passages: DataFrame, lines: DataFrame) -> DataFrame:
     lines with it are tested. Passages of fewer than six words have no such key; they meet lines by their longest inner word, or, with fewer
     than three, by nothing."""
     w = W.partitionBy("doc_id").orderBy("line_no")
-    two = lines.withColumn("next", F.lead("norm").over(w)).withColumn("both", F.concat_ws(" ", "norm", "next"))
-    words = F.split("norm", " ")
-    p = passages.withColumn("w", words)
-    long = p.where(F.size("w") >= GRAM + 2).select("item_id", F.col("norm").alias("passage"), F.xxhash64(F.slice("w", 2, GRAM)).alias("key"))
-    short = p.where(F.size("w").between(3, GRAM + 1)).select("item_id", F.col("norm").alias("passage"), F.xxhash64(F.slice("w", 2, 1)).alias("key"))
-    bw = F.split("both", " ")
-    by_gram = two.where(F.size(bw) >= GRAM).select("doc_id", "line_no", "norm", "both", F.explode(F.array_distinct(grams(bw))).alias("key"))
-    by_word = two.select("doc_id", "line_no", "norm", "both", F.explode(F.array_distinct(F.transform(bw, lambda x: F.xxhash64(F.array(x))))).alias("key"))
-    hits = by_gram.join(long, "key")
+    two = lines.withColumn("ord", F.row_number().over(w)).withColumn("next", F.lead("norm").over(w))
+    p = passages.withColumn("w", F.split("norm", " "))
+    long = p.where(F.size("w") >= GRAM + 2).select("item_id", F.col("norm").alias("passage"), F.xxhash64(*[F.get("w", F.lit(k + 1)) for k in range(GRAM)]).alias("key"))
+    short = p.where(F.size("w").between(3, GRAM + 1)).select("item_id", F.col("norm").alias("passage"), F.xxhash64(F.get("w", F.lit(1))).alias("key"))
+    # Only keys are exploded. A key stands in the line, or crosses into the next one; its passage begins there or in the line before.
+    reach = two.select("doc_id", "ord", F.split("norm", " ").alias("own"), F.split(F.concat_ws(" ", "norm", F.substring_index("next", " ", GRAM - 1)), " ").alias("both"))
+    hits = reach.select("doc_id", "ord", F.explode(F.array_distinct(grams(F.col("both")))).alias("key")).join(long, "key")
     if short.take(1):
-        hits = hits.unionByName(by_word.join(short, "key"))
-    tier = F.when(F.contains("norm", F.col("passage")), 1).when(F.contains("both", F.col("passage")), 3)
-    first = hits.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("item_id", "doc_id").agg(F.min(F.struct("tier", "line_no")).alias("m"))
+        hits = hits.unionByName(reach.select("doc_id", "ord", F.explode(F.array_distinct(F.transform("own", lambda x: F.xxhash64(x)))).alias("key")).join(short, "key"))
+    starts = hits.select("item_id", "passage", "doc_id", F.explode(F.array("ord", F.col("ord") - 1)).alias("ord")).distinct()
+    met = starts.join(two, ["doc_id", "ord"])
+    tier = F.when(F.contains("norm", F.col("passage")), 1).when(F.contains(F.concat_ws(" ", "norm", "next"), F.col("passage")), 3)
+    first = met.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("item_id", "doc_id").agg(F.min(F.struct("tier", "line_no")).alias("m"))
     return first.select("item_id", "doc_id", F.col("m.line_no").alias("line_no"), F.lit("exact_quote").alias("match_type"), F.when(F.col("m.tier") == 1, 1.0).otherwise(0.95).alias("confidence"))
 
 

@@ -10,6 +10,7 @@ from stemma.functions.normalize import norm_chain, norm_chain_sql, normalize
 from stemma.functions.similarity import aligned_threshold, hybrid, jaccard, trigram_cosine, trigram_cosine_builtin, with_affinity, words
 from stemma.operators import fts
 from stemma.plans.registry import Tables, query
+from stemma.session import small_side
 from stemma.sources.citation_text import Forms, span_column
 from stemma.sources.markup import html_text_lines
 from stemma.sources.sqldump import document_lines
@@ -154,13 +155,14 @@ d AS (SELECT doc_id, line_no, {WORDS.format('line')} AS dw FROM ({LINES})), e AS
 c AS (SELECT item_id, doc_id, line_no, any_value(n) AS n, count(*) AS i FROM s JOIN e USING (w) GROUP BY 1, 2, 3)
 SELECT item_id, doc_id, line_no, round(i / (len(bw) + n - i), 6) AS jaccard FROM c JOIN b USING (item_id) WHERE i / (len(bw) + n - i) >= 0.3""")
 def jaccard_bench_docs(t: Tables) -> DataFrame:
-    """SIM-01: passages against lines, by an inverted index on words; the intersection is the number of shared words."""
-    b = t.benchmark.select("item_id", F.array_distinct(fts.plain_tokens("text")).alias("bw"))
+    """SIM-01: passages against lines, by an inverted index on words; the intersection is the number of shared words. Sizes that differ by
+    more than the bound allows never meet, and counts are combined where the lines were read."""
+    b = t.benchmark.select("item_id", F.array_distinct(fts.plain_tokens("text")).alias("bw")).select("item_id", F.size("bw").alias("m"), F.explode("bw").alias("w"))
     l = document_lines(t.documents).select("doc_id", "line_no", F.array_distinct(fts.plain_tokens("line")).alias("dw"))
-    # The benchmark is a fixed small table, so its words are the broadcast side and each line's matches are summed where it was read.
-    left = F.broadcast(b.select("item_id", F.size("bw").alias("m"), F.explode("bw").alias("w"))) if b.count() <= 10_000 else b.select("item_id", F.size("bw").alias("m"), F.explode("bw").alias("w"))
+    left = small_side(b, 100_000)  # words of passages, if they are few
     e = l.select("doc_id", "line_no", F.size("dw").alias("n"), F.explode("dw").alias("w"))
-    c = e.join(left, "w").groupBy("item_id", "doc_id", "line_no").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count("*").alias("i"))
+    met = e.join(left, "w").where((F.col("n") * 10 >= F.col("m") * 3) & (F.col("m") * 10 >= F.col("n") * 3))
+    c = met.groupBy("item_id", "doc_id", "line_no", "m", "n").agg(F.count("*").alias("i"))
     j = F.col("i") / (F.col("m") + F.col("n") - F.col("i"))
     return c.where(j >= 0.3).select("item_id", "doc_id", "line_no", F.round(j, 6).alias("jaccard"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "stemma", **conf: str) -> SparkSession:
@@ -26,3 +27,8 @@ def local_session(cores: int | str = "*", app: str = "stemma", **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, else df as it is, for a shuffled join."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(most + 1)) <= most else df
