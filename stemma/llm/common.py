@@ -54,8 +54,8 @@ def clean_up(spark: SparkSession) -> None:
 
 
 def small_side(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df for an ordinary shuffled join."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
+    """df (a written table) with a broadcast hint if it has at most max_rows rows, else df for an ordinary shuffled join."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def input_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
