@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is, for a shuffled join."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(most + 1)) <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
