@@ -38,7 +38,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stemma_path = path
+    return written
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialize() that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "__dict__", {}).get("stemma_path"):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

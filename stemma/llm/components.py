@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize
+from stemma.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
+        done = edges, large
         edges = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+        discard(*done)
         after = _mark(edges)
         if after == before:
             break

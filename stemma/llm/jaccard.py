@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, small_side, tidy, tidy_group, to_batch
+from stemma.llm.common import discard, materialize, small_side, tidy, tidy_group, to_batch
 from stemma.llm.components import components
 
 WORDS = 5
@@ -274,23 +274,40 @@ def _block_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "partners": pa.array(partners, pa.list_(pa.int64()))})
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (sig, class, ...) with comp: the component of their class by the links so far."""
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of groups that have more than one component by the links so far, with comp; members is discarded if it was such a table."""
     comp = components(links).select(F.col("node").alias("class"), F.col("component").alias("_c"))
-    return members.drop("comp").join(comp, "class", "left").withColumn("comp", F.coalesce("_c", "class")).drop("_c")
+    labelled = members.drop("comp").join(comp, "class", "left").withColumn("comp", F.coalesce("_c", "class")).drop("_c")
+    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    out = materialize(labelled.join(mixed, "sig"), "apart")
+    if "comp" in members.columns:
+        discard(members)
+    return out
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """The members (with comp) of groups that have more than one component."""
-    mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    return members.join(mixed, "sig")
+def _with(links: DataFrame, star: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
+    """(links and those pairs of star (class, p) that are similar, whether there are any)."""
+    found = materialize(verified(star.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct(), sets), "found")
+    if not found.take(1):
+        discard(found)
+        return links, False
+    both = materialize(links.union(found), "links")
+    discard(links, found)
+    return both, True
 
 
 def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what is similar within large groups (sig, class, size), besides the links known."""
-    for k in range(STARS):
-        labelled = materialize(_apart(_labelled(members, links)), "labelled")
-        if k < 2:  # each class against the smallest class of its largest group that is not of its component
+    # First each class against the smallest class of its largest group.
+    pivot = members.groupBy("sig").agg(F.min("class").alias("p"))
+    star = members.join(pivot, "sig").where("class <> p").groupBy("class").agg(F.max_by("p", F.struct("size", "sig")).alias("p"))
+    labelled, links, more = members, *_with(links, star, sets)
+    for k in range(1, STARS):
+        if more or k == 1:
+            labelled = _apart(labelled, links)
+            if not labelled.take(1):
+                return links
+        if k == 1:  # the same, but not of its own component
             pivot = labelled.groupBy("sig").agg(F.min(F.struct("class", "comp")).alias("p"))
             star = labelled.join(pivot, "sig").where(F.col("comp") != F.col("p.comp")).groupBy("class").agg(F.max_by(F.col("p.class"), F.struct("size", "sig")).alias("p"))
         else:  # one class of each component of a group against one of another
@@ -298,11 +315,9 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
             one = labelled.groupBy("sig", "comp").agg(F.min_by("class", any_of("class")).alias("class"))
             pivot = one.groupBy("sig").agg(F.min_by(F.col("class"), any_of("comp")).alias("p"))
             star = one.join(pivot, "sig").select("class", "p").where("class <> p")
-        star = star.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
-        found = materialize(verified(star, sets), "links")
-        links = materialize(links.union(found), "links")
-        members = labelled
-    labelled = materialize(_apart(_labelled(members, links)).select("sig", "class", "comp"), "apart")
+        links, more = _with(links, star, sets)
+    labelled = _apart(labelled, links) if more else labelled
+    labelled = labelled.select("sig", "class", "comp")
     # Blocks: a component with many classes in a group has blocks of its own, the others share blocks.
     counts = labelled.groupBy("sig", "comp").agg(F.count("*").alias("n"))
     counts = counts.withColumn("own", F.col("n") > BLOCK // 2)
@@ -351,6 +366,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     kept = materialize(found.withColumn("rank", rank).where(~F.col("droppable") | (F.col("rank") > slack)).select("sig", "class"), "kept")
     sizes = kept.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(kept.join(sizes, "sig"), "members")
+    discard(kept)
     wanted = materialize(members.select("class").distinct(), "wanted")
     wanted = classes.join(wanted, "class").select(F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     texts = d.join(small_side(materialize(wanted.select("_first").distinct(), "firsts"), BROADCAST_IDS), F.col("doc_id") == F.col("_first"), "left_semi").select("text")
