@@ -63,7 +63,7 @@ class WordEncoder:
         return [e.ids for e in self.batch(texts, add_special_tokens=False)]
 
     def _clear(self) -> None:
-        self.known: dict[str | None, int] = {None: 0, "": 1}  # null stands for the end of a text
+        self.known: dict[str | None, int] = {None: 0, "": 1}  # null stands for the end of a text; both are there from the start
         self.ids, self.start, self.size, self.used = np.empty(1 << 16, dtype="<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
         self.ids[0], self.size[0] = END_ID, 1
 
@@ -118,28 +118,30 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text without special tokens, and END_ID."""
-        words: list[str | None] = []
-        ends = []
-        for t in texts:
-            if t:
-                words += plain(t).split(" ")
-            words.append(None)
-            ends.append(len(words))
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
+        lists = pc.split_pattern(pa.array([plain(t) if t else "" for t in texts], pa.string()), " ")
+        coded = lists.values.dictionary_encode()  # each word of the block once, and where it stands
+        words = coded.dictionary.to_pylist()
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0).tolist()
         if missing:
-            new = {words[k] for k in missing}
-            if len(self.known) + len(new) > KNOWN_WORDS:
+            if len(self.known) + len(missing) > KNOWN_WORDS:
                 self._clear()
-                new, missing = set(words) - self.known.keys(), range(len(words))
-            self._learn(list(new))
-            at[missing] = [self.known[words[k]] for k in missing]
+                missing = [k for k, w in enumerate(words) if w]
+                place[:] = 1  # the empty word
+            self._learn([words[k] for k in missing])
+            place[missing] = [self.known[words[k]] for k in missing]
+        # A zero, the end of a text, goes after the words of each text.
+        ends = lists.offsets.to_numpy()[1:] + np.arange(1, len(texts) + 1)
+        at = np.zeros(len(coded) + len(texts), dtype=np.int64)
+        inside = np.ones(len(at), dtype=bool)
+        inside[ends - 1] = False
+        at[inside] = place[coded.indices.to_numpy()]
         sizes = self.size[at]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
         kind = np.int32 if self.used + total < 2**31 else np.int64  # half the memory to go through
         ids = self.ids[np.repeat((self.start[at] - (upto - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)]
-        cuts = upto[np.array(ends, dtype=np.int64) - 1].tolist()
+        cuts = upto[ends - 1].tolist()
         return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
