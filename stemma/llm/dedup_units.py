@@ -77,8 +77,8 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs without the repeated spans in text, and n_chars (if there) counted anew."""
-    spans = repeated_units(docs).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_spans")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("_text_key"))
+    spans = repeated_units(docs).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__stemma_spans")).select(F.col("doc_id").alias("__stemma_id"), F.col("key").alias("__stemma_key"), "__stemma_spans")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("__stemma_text_key"))
 
     @F.pandas_udf("string")
     def without(texts, spans):
@@ -95,8 +95,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = keyed.join(spans, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without("text", "_spans")))
+    joined = keyed.join(spans, (F.col("__stemma_text_key") == F.col("__stemma_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__stemma_id")), "left")
+    joined = joined.withColumn("text", F.when(F.col("__stemma_spans").isNull(), F.col("text")).otherwise(without("text", "__stemma_spans")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -397,8 +397,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component; of rows with that doc_id all stay that are equal to it.
 
     Rows with a null doc_id link with nothing, and stay."""
-    later = materialize(component_report(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "later")
-    return docs.join(small_side(later, BROADCAST_IDS), F.col("doc_id").cast("long") == F.col("_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    later = materialize(component_report(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__stemma_id")).distinct(), "later")
+    return docs.join(small_side(later, BROADCAST_IDS), F.col("doc_id").cast("long") == F.col("__stemma_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

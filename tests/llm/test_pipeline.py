@@ -37,6 +37,34 @@ def test_stages(spark, tmp_path):
     assert {p["doc_id"] for p in pieces} == set(last)
 
 
+CLASHES = ["_w", "_doc", "_text", "_source", "host", "start", "n_words", "class", "_spans", "_id", "_key", "digest", "kept", "n", "rate", "base", "shard", "comp"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, an empty text, a very long one, columns with the names that stages use, and no rows."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    long = " ".join(f"w{r.randrange(50_000)}" for _ in range(60_000))
+    same = " ".join(f"v{k}" for k in range(70))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, long, None, None, len(long)), (3, same, "en", "a", None), (3, same, "en", "a", None), (4, same, "en", None, 3), (None, same + " x", None, "a", None), (5, " \n\t", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, before, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{len(seen)}")
+        docs = spark.read.parquet(f"{tmp_path}/{len(seen)}")
+        seen.append((name, docs.count()))
+        if name != "packing":
+            assert docs.columns == before.columns and all(x[c] == k for x in docs.collect() for k, c in enumerate(CLASHES)), name
+        none = stage(spark, before.limit(0), str(tmp_path))
+        assert none.count() == 0
+    assert dict(seen)["quality rules"] == 5 and dict(seen)["n-gram Jaccard join"] == 4  # long, both rows of 3, and the row without an id
+
+
 def test_registered():
     import __spark_entry__ as entry
 
