@@ -114,7 +114,8 @@ def cite_cascade(t: Tables) -> DataFrame:
     cited = hits.join(t.benchmark, "item_id").select(F.xxhash64("item_id", "doc_id").alias("id"), F.col("doc_id").alias("work_id"), F.lit(None).cast("int").alias("act"), F.lit(None).cast("int").alias("scene"), F.col("line_no").alias("line"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("quote_text"), F.lit("").alias("headword"), "item_id")
     lines = line_table(t.documents).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = lines.select(F.xxhash64("doc_id", "line_no").alias("id"), F.col("doc_id").alias("work_id"), F.lit(1).cast("long").alias("edition_id"), F.lit(None).cast("int").alias("act"), F.lit(None).cast("int").alias("scene"), F.col("line_no").alias("line_number"), F.col("line").alias("content"))
-    return resolve(prepared_citations(cited), prepared_lines(lines)).select("citation_id", "text_line_id", "edition_id", "match_type", "confidence")
+    # Both are read by every level of the search: normalised once, kept while the session lives.
+    return resolve(prepared_citations(cited).persist(), prepared_lines(lines).persist()).select("citation_id", "text_line_id", "edition_id", "match_type", "confidence")
 
 
 PROPAGATED = f"""WITH c AS ({CITED}), l AS ({LINES}), p AS ({PAIRS}),
