@@ -80,8 +80,9 @@ class WordEncoder:
         self.known.update(zip(words, range(n, n + k), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        """Enter new words. A full stop or comma after a letter is a pre-token of its own, so only the word before it is encoded."""
-        stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and self.MARK not in w and "<|" not in w]
+        """Enter new words. A full stop or comma after a letter (of old and sure standing) is a pre-token of its own, so only the word
+        before it is encoded."""
+        stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0524" and w[-2] != "İ" and w[-2].isalpha() and self.MARK not in w and "<|" not in w]
         if stopped:
             whole = set(words).difference(stopped)
             self._encode_new(list({*whole, *(w[:-1] for w in stopped), ".", ","} - self.known.keys()))
@@ -100,12 +101,16 @@ class WordEncoder:
             self._encode_new(words)
 
     def _encode_new(self, words: list[str]) -> None:
+        marked = [w for w in words if not w.isalpha() and self.MARK not in w]
         simple = [w for w in words if w.isalpha()]  # one pre-token each: its last token says so
         for k in range(0, len(simple), 4000):
             part = simple[k : k + 4000]
             ids = np.array(self._ids([" ".join(part)])[0], dtype="<u4")
-            self._add(part, ids, np.diff(np.r_[-1, np.flatnonzero(self.last[ids])]))
-        marked = [w for w in words if not w.isalpha() and self.MARK not in w]
+            sizes = np.diff(np.r_[-1, np.flatnonzero(self.last[ids])])
+            if len(sizes) == len(part):
+                self._add(part, ids, sizes)
+            else:  # a letter that the tokenizer does not know as one
+                marked += part
         for k in range(0, len(marked), 2000):
             part = marked[k : k + 2000]
             ids = np.array(self._ids([f" {self.MARK} ".join(part)])[0], dtype="<u4")

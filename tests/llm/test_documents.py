@@ -219,6 +219,17 @@ def test_packing_holds_every_token_once(spark, texts):
     assert packing.pack_documents(frame(spark, []), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+def test_word_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer, encoder, r = Tokenizer.from_file(path), packing.WordEncoder.of(path), random.Random(8)
+    alphabet = "abcXYZ.,'-!?12 \n\t\r\x01\x0b\x85\u00a0éÉß\u0301ΣİΩжЖ中ＡǅᏣ\U0001f600\u1c90\U00010d50<|>"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["<|endoftext|> x", "A<|startoftext|>b.", "don't WE'LL i'd.", None, "", "..., a... b,,. c.", "\u1c90. \u1c91,"]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [1], t
+
+
 def test_neighbours_share_windows():
     r = np.random.default_rng(3)
     topics = [r.integers(k * 100, k * 100 + 100, 300).astype("<u4") for k in range(4) for _ in range(5)]
