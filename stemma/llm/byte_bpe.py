@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import tidy, to_batch
+from stemma.llm.common import keep, tidy, to_batch
 
 BLOCK_BYTES = 6_000_000
 KNOWN_WORDS = 600_000
@@ -202,6 +202,7 @@ _ENCODERS: dict[tuple[str, str], MergeReplay] = {}
 
 def encoder(path: str, pattern: str) -> MergeReplay:
     """One encoder for each Python worker and vocabulary."""
+    keep("byte_bpe", _ENCODERS.clear)
     return _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), MergeReplay.from_file(path, pattern))
 
 
@@ -213,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch, ids, _ in _encoded(batches, path, pattern):
             yield to_batch({"doc_id": batch, "ids": [x.tobytes() for x in ids]}, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, owner="byte_bpe"), "doc_id long, ids binary")
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
@@ -240,4 +241,4 @@ def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 schema,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, owner="byte_bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

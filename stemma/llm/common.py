@@ -81,10 +81,26 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def tidy(run: Callable, rows: int = 1000) -> Callable:
+#: Tables that operators keep in a Python worker between tasks: owner -> function that drops them.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Say that this worker keeps tables of owner."""
+    _KEPT[owner] = drop
+
+
+def drop_others(owner: str | None) -> None:
+    """Drop the tables that other operators left in this worker."""
+    for name in [n for n in _KEPT if n != owner]:
+        _KEPT.pop(name)()
+
+
+def tidy(run: Callable, rows: int = 1000, owner: str | None = None) -> Callable:
     """A function for mapInArrow that works on slices of at most so many rows and releases memory at its end."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(owner)
         try:
             yield from run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
         finally:
@@ -97,6 +113,7 @@ def tidy_group(run: Callable) -> Callable:
     """A function for applyInArrow that releases memory at its end."""
 
     def one(table: pa.Table) -> pa.Table:
+        drop_others(None)
         try:
             return run(table)
         finally:

@@ -80,23 +80,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_units(docs).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__stemma_spans")).select(F.col("doc_id").alias("__stemma_id"), F.col("key").alias("__stemma_key"), "__stemma_spans")
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("__stemma_text_key"))
 
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        def one(text, gone):
-            if text is None or gone is None or not len(gone):
-                return text
-            out, at = [], 0
-            for s in gone:
-                out.append(text[at : s["start"]])
-                at = s["end"]
-            return "".join([*out, text[at:]])
-
-        import pandas as pd
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def without(text: str | None, gone: list[dict] | None) -> str | None:
+        if text is None or not gone:
+            return text
+        out, at = [], 0
+        for s in gone:
+            out.append(text[at : s["start"]])
+            at = s["end"]
+        return "".join([*out, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1)
+            kept = batch.select(list(range(batch.num_columns - 1)))
+            k = kept.schema.get_field_index("text")
+            texts = [without(t, g) for t, g in zip(batch.column(k).to_pylist(), spans.to_pylist(), strict=True)] if spans.null_count < len(spans) else batch.column(k)
+            yield kept.set_column(k, kept.schema.field(k), pa.array(texts, kept.schema.field(k).type) if isinstance(texts, list) else texts)
 
     joined = keyed.join(spans, (F.col("__stemma_text_key") == F.col("__stemma_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__stemma_id")), "left")
-    joined = joined.withColumn("text", F.when(F.col("__stemma_spans").isNull(), F.col("text")).otherwise(without("text", "__stemma_spans")))
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__stemma_spans").mapInArrow(tidy(run), docs.schema)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.byte_bpe import blocks
-from stemma.llm.common import materialize, tidy, tidy_group, to_batch
+from stemma.llm.common import keep, materialize, tidy, tidy_group, to_batch
 
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, QUERY_TERMS, K1, B = 1000, 24, 1.2, 0.75
 BLOCK_BYTES = 4_000_000
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 1_000_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -57,6 +57,7 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
+        keep("packing", _ENCODERS.clear)
         return _ENCODERS.get(path) or _ENCODERS.setdefault(path, cls(path))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -310,7 +311,7 @@ def shards_of(counts: dict[int, int], size: int = SHARD_DOCS) -> list[tuple[int,
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): PIECES."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = materialize(d.mapInArrow(tidy(_encode(tokenizer)), "doc_id long, doc_tokens long, crcs binary, rest binary, route long"), "encoded")
+    encoded = materialize(d.mapInArrow(tidy(_encode(tokenizer), owner="packing"), "doc_id long, doc_tokens long, crcs binary, rest binary, route long"), "encoded")
     # Bounded by the vocabulary: one row for each token that is a route.
     counts = {r["route"]: r["count"] for r in encoded.groupBy("route").count().collect()}
     routes = docs.sparkSession.createDataFrame(shards_of(counts), "route long, first long, shards long")

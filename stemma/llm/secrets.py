@@ -217,22 +217,21 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret's characters replaced by mark, and n_chars (if there) counted anew."""
     limits = thresholds(scan(docs))
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if not text:
-                return text
-            spans = base_spans(text)
-            spans = sorted(spans + accepted(candidates(text, spans), limits))
-            out, at = [], 0
-            for a, _, b in spans:
-                if b <= at:
-                    continue
-                out += [text[at:a], mark] if a >= at else []
-                at = b
-            return "".join([*out, text[at:]]) if spans else text
-
-        return texts.map(one, na_action="ignore")
-
-    changed = docs.withColumn("text", clean("text"))
+    def one(text: str | None) -> str | None:
+        spans = base_spans(text) if text else []
+        spans = sorted(spans + accepted(candidates(text, spans), limits)) if text else []
+        out, at = [], 0
+        for a, _, b in spans:
+            if b <= at:
+                continue
+            out += [text[at:a], mark] if a >= at else []
+            at = b
+        return "".join([*out, text[at:]]) if spans else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index("text")
+            yield batch.set_column(k, batch.schema.field(k), pa.array([one(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
+
+    changed = docs.mapInArrow(tidy(run), docs.schema)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
