@@ -31,7 +31,7 @@ from stemma.llm.common import keep, materialize, tidy, tidy_group, to_batch
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, QUERY_TERMS, K1, B = 1000, 24, 1.2, 0.75
 BLOCK_BYTES = 3_000_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 690_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
