@@ -50,14 +50,27 @@ def find_passages(passages: DataFrame, lines: DataFrame) -> DataFrame:
     return first.select("item_id", "doc_id", F.col("m.line_no").alias("line_no"), F.lit("exact_quote").alias("match_type"), F.when(F.col("m.tier") == 1, 1.0).otherwise(0.95).alias("confidence"))
 
 
-def edition_pairs_by_lines(lines: DataFrame, shared: int = 3, length: int = 30, common: int = 20) -> DataFrame:
-    """JN-08: pairs of documents that share so many distinct lines, each longer than length characters and in at most common documents (lines
-    in more of them say nothing about two). lines: doc_id, line. The bound keeps the self-join linear in the lines."""
-    held = lines.where(F.length("line") > length).select("doc_id", "line").distinct()
-    counts = held.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n").between(2, common)).select("line")
-    kept = held.join(counts, "line")
-    pair = kept.withColumnRenamed("doc_id", "a").join(kept.withColumnRenamed("doc_id", "b"), "line").where("a < b")
-    return pair.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+def edition_pairs_by_lines(lines: DataFrame, shared: int = 3, length: int = 30, common: int | None = None) -> DataFrame:
+    """JN-08: pairs of documents that share so many distinct lines, each longer than length characters. lines: doc_id, line.
+
+    Exact, however many documents hold a line. Documents with equal sets of lines are one class; pairs of classes are expanded to pairs of
+    their members. Each class drops its shared - 1 most frequent lines from the join: two classes with shared lines in common still meet by
+    the rarest of them, and their whole sets are counted. Lines are compared by 64-bit hash. With common, lines in more documents are left
+    out first."""
+    held = lines.where(F.length("line") > length).select("doc_id", F.xxhash64("line").alias("h")).distinct()
+    counts = held.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2" if common is None else F.col("n").between(2, common))
+    sets = held.join(counts, "h").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]).alias("held")).where(F.size("held") >= shared)
+    docs = sets.withColumn("sig", F.sha2(F.array_join(F.transform("held", lambda x: x.cast("string")), ","), 256))
+    reps = docs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("held").alias("held"))
+    members = docs.select("doc_id", "sig").join(reps.select("sig", "rep", F.size("held").cast("long").alias("shared")), "sig").drop("sig")
+    met = reps.select("rep", F.explode(F.slice("held", 1, F.size("held") - (shared - 1))).alias("h"))
+    near = met.withColumnRenamed("rep", "p").join(met.withColumnRenamed("rep", "q"), "h").where("p < q").select("p", "q").distinct()
+    one = lambda c: reps.select(F.col("rep").alias(c), F.col("held").alias(f"held_{c}"))
+    near = near.join(one("p"), "p").join(one("q"), "q").select("p", "q", F.size(F.array_intersect("held_p", "held_q")).cast("long").alias("shared")).where(F.col("shared") >= shared)
+    side = lambda c, d: members.select(F.col("rep").alias(c), F.col("doc_id").alias(d))
+    across = near.join(side("p", "x"), "p").join(side("q", "y"), "q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+    within = members.select("rep", F.col("doc_id").alias("a"), "shared").join(members.select("rep", F.col("doc_id").alias("b")), "rep").where("a < b").select("a", "b", "shared")
+    return across.unionByName(within)
 
 
 def pair_lines(pairs: DataFrame, lines: DataFrame, side: str) -> DataFrame:

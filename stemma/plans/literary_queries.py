@@ -20,6 +20,8 @@ CITED = f"""SELECT item_id, doc_id, line_no, 'exact_quote' AS match_type, CASE t
 (SELECT item_id, doc_id, line_no, CASE WHEN contains(norm, p) THEN 1 WHEN contains(norm || ' ' || coalesce(next, ''), p) THEN 3 END AS tier FROM ({NORMED}), (SELECT item_id, {plain_norm_sql('text')} AS p FROM benchmark)) WHERE tier IS NOT NULL) WHERE rn = 1"""
 PAIRS = f"""SELECT a.doc_id AS a, b.doc_id AS b, count(*)::BIGINT AS shared FROM (SELECT DISTINCT doc_id, line FROM ({LINES}) WHERE length(line) > 30) a JOIN (SELECT DISTINCT doc_id, line FROM ({LINES})) b
 ON a.line = b.line AND a.doc_id < b.doc_id JOIN (SELECT line FROM (SELECT DISTINCT doc_id, line FROM ({LINES})) GROUP BY line HAVING count(*) BETWEEN 2 AND 20) c ON c.line = a.line GROUP BY 1, 2 HAVING count(*) >= 3"""
+#: The SQL above leaves out lines in more documents. Queries compared with it do the same; all others take every line.
+SQL_COMMON = 20
 
 
 def _normed(t: Tables) -> DataFrame:
@@ -45,7 +47,7 @@ def cite_exact(t: Tables) -> DataFrame:
 @query(PAIRS)
 def edition_pairs(t: Tables) -> DataFrame:
     """JN-08: documents that share lines are editions of one text."""
-    return edition_pairs_by_lines(line_table(t.documents))
+    return edition_pairs_by_lines(line_table(t.documents), common=SQL_COMMON)
 
 
 ANCHORS = f"""WITH p AS ({PAIRS}), l AS ({LINES}), w AS (SELECT doc_id, line_no, list_distinct(string_split({plain_norm_sql('line')}, ' ')) AS w FROM l),
@@ -58,7 +60,7 @@ SELECT a, b, i, j, round(sim, 6) AS similarity FROM r WHERE ri = 1 AND rj = 1 AN
 def mutual_best_anchors(t: Tables) -> DataFrame:
     """ALN-03: lines that are each other's best by word Jaccard, 0.7 at least; lines meet by shared words only."""
     lines = line_table(t.documents).withColumn("w", words(plain_norm(F.col("line"))))
-    pairs = edition_pairs_by_lines(line_table(t.documents)).select("a", "b")
+    pairs = edition_pairs_by_lines(line_table(t.documents), common=SQL_COMMON).select("a", "b")
     side = lambda s, no, n: pairs.join(lines, F.col(s) == F.col("doc_id")).select("a", "b", F.col("line_no").alias(no), F.size("w").alias(n), F.explode("w").alias("word"))
     met = side("a", "i", "n").join(side("b", "j", "m"), ["a", "b", "word"]).groupBy("a", "b", "i", "j").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     sim = met.select("a", "b", "i", "j", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("sim"))
@@ -129,7 +131,7 @@ def propagate_matches(t: Tables) -> DataFrame:
     """RES-08, WIN-01: one step along equal lines to editions without a match of their own."""
     lines = line_table(t.documents)
     c = find_passages(_passages(t), _normed(t))
-    pairs = edition_pairs_by_lines(lines)
+    pairs = edition_pairs_by_lines(lines, common=SQL_COMMON)
     left = pair_lines(pairs, lines, "a").withColumnRenamed("line_no", "i")
     right = pair_lines(pairs, lines, "b").withColumnRenamed("line_no", "j")
     m = left.join(right, ["a", "b", "line"]).groupBy("a", "b", "i").agg(F.min("j").alias("j"))

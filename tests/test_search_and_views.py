@@ -60,6 +60,15 @@ def test_passages(spark):
     assert [(r["a"], r["b"], r["shared"]) for r in edition_pairs_by_lines(held).collect()] == [(1, 2, 3)]
 
 
+def test_edition_pairs_of_frequent_lines(spark):
+    line = lambda k: f"a line that is long enough to tell {k}"
+    held = {d: {0, 1, 2, 3} for d in range(25)} | {30: {0, 1, 2}, 31: {1, 2, 3, 9}, 32: {0, 1, 7}, 33: {7, 8, 9}, 34: {7, 8, 9}, 35: {0}}
+    lines = spark.createDataFrame([(d, line(k)) for d, ks in held.items() for k in ks], "doc_id long, line string")
+    want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= 3}
+    got = edition_pairs_by_lines(lines).collect()
+    assert {(r["a"], r["b"], r["shared"]) for r in got} == want and len(got) == len(want) > 300
+
+
 def test_small_views(spark):
     works = spark.createDataFrame([(1, "Hamlet", "play"), (2, "Sonnets", "sonnet_sequence"), (3, "Other", "essay")], "id long, title string, work_type string")
     assert [(r["kind"], r["slug"]) for r in views.works_list(works).collect()] == [("plays", "hamlet"), ("poetry", "sonnets")]
