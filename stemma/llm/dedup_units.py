@@ -1,8 +1,11 @@
 """Substring dedup by hashing of lines and sentences.
 
-Texts are cut into units: lines, and within a line sentences that end in . ! or ? before white space. A unit's words in
-lower case, joined by one space, are hashed; over all documents the occurrence with the smallest (doc_id, start) is
-kept and every other one goes. Units of fewer words than MIN_WORDS stay: they are too short to be copies of a passage.
+Texts are cut into units: paragraphs (lines between blank ones), lines, and within a line sentences that end in . ! or ?
+before white space, or in a full-width mark. A unit's words in lower case, joined by one space, are hashed; over all
+documents the occurrence with the smallest (doc_id, start) is kept and every other one goes. Units of fewer words than
+MIN_WORDS stay: they are too short to be copies of a passage. The bound holds for the paragraph or the line, not for the
+sentences in it. Scripts without spaces count so many characters as a word. A unit within a larger one that goes is not
+reported by itself.
 Offsets are code points in the original text and include the white space after the unit.
 
 Sums by digest are combined before the shuffle; the join of occurrences to repeated digests is a plain inner join, whose
@@ -21,21 +24,54 @@ from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.llm.common import materialize, tidy, to_batch
 
 MIN_WORDS = 6
-BOUNDARY = re.compile(r"\n|(?<=[.!?])[ \t]+\n?")
+BOUNDARY = re.compile(r"\n|(?<=[.!?])[ \t]+\n?|(?<=[。！？])[ \t]*\n?")
+#: Scripts without spaces, and their characters to a word: Han and kana; Thai, Lao, Myanmar and Khmer.
+UNSPACED = ((re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]"), 2), (re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]"), 4))
+
+
+def count_words(words: list[str]) -> int:
+    """Words between spaces, and those of scripts without spaces by their number of characters."""
+    n = len(words)
+    joined = "".join(words)
+    if joined.isascii():
+        return n
+    return max(n, sum(len(script.findall(joined)) // size for script, size in UNSPACED))
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units of a text that have min_words words or more."""
-    out, start = [], 0
+    """(start, end, words, digest) of the units of a text that have min_words words or more: paragraphs of several lines, lines, sentences."""
+    out = []
+
+    def add(start: int, end: int, words: list[str]) -> None:
+        n = count_words(words)
+        if n >= min_words:
+            out.append((start, end, n, blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+
+    block, block_start, n_lines = [], 0, 0  # the paragraph so far
+    line, line_start, n_sentences, start = [], 0, 0, 0
     for end in [m.end() for m in BOUNDARY.finditer(text)] + [len(text)]:
         words = text[start:end].lower().split()
-        if len(words) >= min_words:
-            out.append((start, end, len(words), blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+        add(start, end, words)
+        line += words
+        n_sentences += bool(words)
+        if end == len(text) or text[end - 1 : end] == "\n":
+            if n_sentences > 1:
+                add(line_start, end, line)
+            if line:
+                block_start = block_start if n_lines else line_start
+                block += line
+                n_lines += 1
+            if (not line or end == len(text)) and n_lines:
+                if n_lines > 1:
+                    add(block_start, end if line else line_start, block)
+                block, n_lines = [], 0
+            line, line_start, n_sentences = [], end, 0
         start = end
     return out
 
@@ -67,7 +103,10 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     every = found.join(first, "digest")
     later = every.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))))
-    return later.select("doc_id", "key", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    later = later.select("doc_id", "key", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")).distinct()
+    # Units of one text lie within each other or apart: one is within a larger one if an earlier one ends where it does, or later.
+    reach = F.max("end").over(W.partitionBy("doc_id", "key").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1))
+    return later.withColumn("reach", reach).where("reach IS NULL OR end > reach").drop("reach")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

@@ -153,6 +153,27 @@ def test_unit_dedup(spark, texts):
     assert dedup_units.repeat_report(frame(spark, [])).count() == 0
 
 
+def test_unit_dedup_of_short_sentences(spark):
+    short = "It rains. We stay. They go. You wait. All sleep."
+    verse = "roses are red\nviolets are blue\nsugar is sweet\n"
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    rows = [(1, f"one {short}\n{short}\n\n{verse}\n{han}\nend", "h"), (2, f"two\n{short}\nthree {han[:6]}\n\n{verse}\nfour", "h"), (3, f"{han}\nred\nfive\n\n{verse}", "h"), (4, f"Some {short}", "h"), (5, "red\nfive", "h")]
+    clean = {r["doc_id"]: r["text"] for r in dedup_units.remove_repeats(frame(spark, rows)).collect()}
+    assert clean == {1: rows[0][1], 2: f"two\nthree {han[:6]}\n\n\nfour", 3: "red\nfive\n\n", 4: rows[3][1], 5: "red\nfive"}
+    r = random.Random(9)
+    pieces = ["aa bb.", "cc dd ee ff gg hh ii.", " ", "\n", "\n\n", "jj kk ll", "mm! ", "nn?\t\n", "字字字字字字字字字字字字。", "\u2029", "\x0b"]
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 40)))
+        found = sorted(dedup_units.units(text, 1))
+        assert len({u[:2] for u in found}) == len(found)
+        for a, b, n, _ in found:
+            assert 0 <= a < b <= len(text) and n >= 1
+            assert all(d <= a or c >= b or (a <= c and d <= b) or (c <= a and b <= d) for c, d, _, _ in found)
+    long = [(k, f"Line {k}. {short}\n" if k % 2 else f"{short}\n", "h") for k in range(20)]
+    spans = dedup_units.repeat_report(frame(spark, long)).collect()
+    assert {(s["doc_id"], s["start"], s["words"]) for s in spans} == {(k, 0, 10) for k in range(2, 20, 2)}
+
+
 # ---- quality
 
 
