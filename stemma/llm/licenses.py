@@ -10,6 +10,9 @@ names with one canonical text give the smallest name; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,11 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+def full_texts() -> dict[str, str]:
+    """Longer licenses in public use, from a data file beside this one; only the driver reads it."""
+    return json.loads(Path(__file__).with_name("license_texts.json").read_text(encoding="utf-8"))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text: copyright lines dropped, lower case, words of letters and digits only, spellings made equal."""
     t = F.lower(text)
@@ -66,8 +74,8 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """digest, license of known texts; by default TEXTS. The caller's table of texts is the size bound of the lookup."""
-    known = spark.createDataFrame(sorted((texts or TEXTS).items()), "license string, text string")
+    """digest, license of known texts; by default TEXTS and full_texts(). The caller's table of texts is the size bound of the lookup."""
+    known = spark.createDataFrame(sorted((texts or TEXTS | full_texts()).items()), "license string, text string")
     return known.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -102,7 +110,7 @@ def _sql_canonical(x: str) -> str:
 
 
 def oracle(texts: dict[str, str] | None = None) -> str:
-    """DuckDB SQL for license_scan(documents)."""
+    """DuckDB SQL for license_scan(documents), on tables without a text of full_texts()."""
     rows = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in sorted((texts or TEXTS).items()))
     return f"""
 WITH known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(l) AS license FROM (VALUES {rows}) v(l, t) GROUP BY 1),

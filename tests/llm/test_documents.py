@@ -364,6 +364,16 @@ def test_licenses(spark):
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def test_full_licenses(spark):
+    texts = licenses.full_texts()
+    wanted = ["Apache-2.0-text", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    assert not set(texts) & set(licenses.TEXTS)
+    rows = [(k, "Copyright (c) 2020, Somebody\n\n" + texts[name].upper().replace(" ", "  "), "h") for k, name in enumerate(wanted)]
+    rows += [(50, texts["GPL-3.0"] + "\nMore terms.", "h")]
+    got = {r["doc_id"]: r["license"] for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert got == {**dict(enumerate(wanted)), 50: None}
+
+
 # ---- personal data
 
 
