@@ -5,7 +5,8 @@ the base64 alphabets gets an inferred encoding and three tests against uniform d
 bins of the alphabet, runs above and below its middle, and lag-one serial correlation; Fisher's method combines
 their p-values. A random string keeps a large p-value, words and numbers in sequence do not. How large it must be is
 decided for each band of lengths from the whole corpus: each candidate has a decoy (as many letters of the text before
-it), and the lowest score is taken at which decoys that pass are at most FALSE_SHARE of the candidates that pass.
+it), and the lowest score is taken at which decoys that pass are at most FALSE_SHARE of the candidates that pass. A band
+with too few candidates for that takes p-values of 0.01 or more, as long as its decoys keep the share.
 
 Defined cases: a null text is an empty one, without spans; equal rows are reported each; an empty table gives no rows;
 a text of one very long run is tested whole; other columns are ignored or, by redact(), kept.
@@ -62,6 +63,8 @@ BANDS = (24, 32, 48, 64, 96)
 #: Scores are -log10 of the p-value in steps of 1 / STEPS, up to CEILING.
 STEPS, CEILING = 4, 12
 FALSE_SHARE = 0.05
+#: In bands too sparse for the count: p-values of 0.01 or more.
+SPARSE = 2 * STEPS
 
 
 def infer_encoding(s: str) -> str:
@@ -164,7 +167,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def thresholds(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
     """The largest score that passes, by band of lengths, from a histogram of all documents' candidates and decoys.
 
-    The histogram has at most 6 x 49 cells, whatever the corpus. Bands in which no score keeps the share have none.
+    The histogram has at most 6 x 49 cells, whatever the corpus. One decoy is added to those that pass; bands that are too sparse for it
+    go without, up to SPARSE. Bands in which no score keeps the share even so have none.
     """
     c = scanned.where(F.size("cand") > 0).select(F.explode(F.sequence(F.lit(0), F.size("cand") - 1, F.lit(5))).alias("i"), "cand")
     cells = c.groupBy(F.get("cand", F.col("i") + 2).alias("b"), F.get("cand", F.col("i") + 3).alias("t"), F.get("cand", F.col("i") + 4).alias("d")).count()
@@ -174,7 +178,11 @@ def thresholds(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]
         (decoy if r["w"] else target)[r["b"], r["s"]] += r["n"]
     out = {}
     for b in range(len(BANDS) + 1):
-        passing = np.nonzero((decoy[b].cumsum() + 1) / np.maximum(1, target[b].cumsum()) <= share)[0]
+        decoys, targets = decoy[b].cumsum(), target[b].cumsum()
+        passing = np.nonzero((decoys + 1) / np.maximum(1, targets) <= share)[0]
+        if not len(passing):
+            passing = np.nonzero((targets > 0) & (decoys <= share * targets))[0]
+            passing = passing[passing <= SPARSE]
         if len(passing):
             out[b] = int(passing[-1])
     return out

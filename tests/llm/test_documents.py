@@ -286,6 +286,19 @@ def test_base_secrets(spark):
     assert secrets.secret_report(frame(spark, [])).count() == 0
 
 
+def test_random_strings_of_a_rare_length_are_found(spark):
+    r = random.Random(2)
+    words = ["the", "Quick", "brown", "Fox", "jumps", "over", "Lazy", "dogs", "and", "Runs", "away"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    for n in (1, 15):
+        keys = ["".join(r.choice(secrets.ENCODINGS["base62"]) for _ in range(r.randint(70, 96))) for _ in range(n)]
+        rows = [(k, f"{prose(60)} {key} {prose(5)}", "h") for k, key in enumerate(keys)]
+        rows += [(100 + k, f"{prose(60)} {prose(18).replace(' ', '/')} {prose(5)}", "h") for k in range(n)]
+        clean = {x["doc_id"]: x["text"] for x in secrets.redact(frame(spark, rows)).collect()}
+        assert sum("[SECRET]" in clean[k] for k in range(n)) >= n - 1 and (n > 1 or keys[0] not in clean[0])
+        assert not any("[SECRET]" in clean[100 + k] for k in range(n))
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     r = random.Random(1)
     alphabet = secrets.ENCODINGS["base64"]
