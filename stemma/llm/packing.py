@@ -1,319 +1,343 @@
 """Packing of token sequences by lexical retrieval.
 
 Each document's ids are cut into windows of its own as long as they fill them; the rest of it is packed with other rests. A
-sharded BM25 inverted index serves the rests: the shard of a rest follows from its token with the smallest hash, so texts
-with much in common tend to share a shard; tokens with many rests are split over several shards. Within a shard the next
-unused rest is the seed of a window, its rarest tokens query the index, and unused neighbours fill the window in the order
-of their scores: those that fit whole first, then the best one is cut and its remainder is the next seed. So only the last
-window of a shard has padding.
+sharded BM25 inverted index serves the rests: documents are sorted by a signature of four min-hashes over all their tokens
+(an LSH forest: documents with much in common have a long prefix in common), and consecutive documents make a shard, so a
+group too large for one shard is split where its next min-hash differs. The next unused rest of a shard is the seed of a
+window, all tokens of its whole document query the index over whole documents, and unused neighbours fill the window in the
+order of their scores: those that fit whole first, then the best one is cut and its remainder is the next seed. A window that
+a shard cannot fill is filled by the next one, so only the last window of a partition has padding.
 
 Defined cases: a null or empty text has only the end id; equal rows are documents of their own (also under one doc_id);
-an empty table gives no rows; very long texts are cut in the pass that encodes them; other columns are ignored.
+neighbours of equal score go by (signature, spread, doc_id); an empty table gives no rows; very long texts are encoded in
+slices cut at white space; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.byte_bpe import blocks
-from stemma.llm.common import keep, materialize, tidy, tidy_group, to_batch
+from stemma.llm.common import keep, materialize, tidy, to_batch
 
 WINDOW, END_ID = 2048, 1
-SHARD_DOCS, QUERY_TERMS, K1, B = 1000, 24, 1.2, 0.75
-BLOCK_BYTES = 3_000_000
-KNOWN_WORDS = 690_000
-_ENCODERS: dict[str, "WordEncoder"] = {}
-
-
-class WordEncoder:
-    """A tokenizer whose pre-tokens never cross white space, with a bounded table of the words it has met.
-
-    Words are looked up one by one, their ids gathered for a block of texts at once; new words go to the tokenizer in one text,
-    apart by a mark that no word has, since most of its cost is by call and not by word.
+SHARD_DOCS, K1, B = 1000, 1.2, 0.75
+#: Characters of text encoded at once, and bytes of encoded documents in a partition of shards.
+BLOCK_BYTES, PART_BYTES = 3_000_000, 16_000_000
+_ENCODERS: dict[str, "TextEncoder"] = {}
+
+LETTER, DIGIT, SPACE, OTHER, END, UNSURE = range(6)
+#: Between texts of a block; texts that hold it are encoded by themselves.
+SEP = "\ue000"
+WHITE = re.compile(r"\s")
+
+
+def char_kinds(n: int = 0x20000) -> np.ndarray:
+    """The kind of each code point below n, as the tokenizer's pattern sees it. Kinds that depend on the version of Unicode are
+    UNSURE, and so are vowels that compose; the last entry stands for all code points beyond."""
+    kinds = np.full(n, UNSURE, np.uint8)
+    for c in range(n - 1):
+        now, old = unicodedata.category(chr(c)), unicodedata.ucd_3_2_0.category(chr(c))
+        if now[0] == old[0] and now[0] in "LNZ":
+            kinds[c] = LETTER if now[0] == "L" else DIGIT if now[0] == "N" else SPACE
+        elif now[0] in "PSM" or now in ("Cc", "Cf"):
+            kinds[c] = OTHER if old == "Cn" or old[0] in "PSMC" else UNSURE
+    kinds[[9, 10, 11, 12, 13, 0x85]] = SPACE
+    kinds[0x1100:0x1200] = UNSURE
+    kinds[ord(SEP)] = END
+    return kinds
+
+
+class TextEncoder:
+    """The ids of a lower-casing tokenizer with word ends, by ranks.
+
+    A vocabulary whose merges stand in the order of their ids is a table of ranks, if the end of a word is a byte of its own: a
+    space, which no pre-token holds. So the pre-tokens of a block are found with array operations, a space goes after each, and
+    one call encodes them all. Texts with characters that the tokenizer may see in another way go to the tokenizer itself.
     """
 
-    MARK = "\x01"
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        (self.mark,) = self._ids([self.MARK])
-        self.last = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)  # tokens that end a pre-token
-        self.last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self._clear()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # Bytes that are no printable characters have stand-ins from 256 on, in their order.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in model["vocab"].items() if not t.startswith("<|")}
+        self.ranks = tiktoken.Encoding("word ends", pat_str="[^ ]+ | ", mergeable_ranks=ranks, special_tokens={"<|no text|>": max(ranks.values()) + 9})
+        self.mark = ranks[b" "]  # a space by itself: the end of a text
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kinds = char_kinds()
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str) -> TextEncoder:
         keep("packing", _ENCODERS.clear)
         return _ENCODERS.get(path) or _ENCODERS.setdefault(path, cls(path))
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.batch(texts, add_special_tokens=False)]
-
-    def _clear(self) -> None:
-        self.known: dict[str | None, int] = {None: 0, "": 1}  # null stands for the end of a text; both are there from the start
-        self.ids, self.start, self.size, self.used = np.empty(1 << 16, dtype="<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-        self.ids[0], self.size[0] = END_ID, 1
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used, k = len(self.known), self.used, len(words)
-        while n + k > len(self.start):
-            self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
-        while used + len(ids) > len(self.ids):
-            self.ids = np.r_[self.ids, np.empty_like(self.ids)]
-        self.ids[used : used + len(ids)] = ids
-        self.start[n : n + k] = used + np.cumsum(sizes) - sizes
-        self.size[n : n + k] = sizes
-        self.used += len(ids)
-        self.known.update(zip(words, range(n, n + k), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        """Enter new words. A full stop or comma after a letter (of old and sure standing) is a pre-token of its own, so only the word
-        before it is encoded."""
-        stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0524" and w[-2] != "İ" and w[-2].isalpha() and self.MARK not in w and "<|" not in w]
-        if stopped:
-            whole = set(words).difference(stopped)
-            self._encode_new(list({*whole, *(w[:-1] for w in stopped), ".", ","} - self.known.keys()))
-            base = np.fromiter((self.known[w[:-1]] for w in stopped), np.int64, len(stopped))
-            stop = np.fromiter((self.known[w[-1]] for w in stopped), np.int64, len(stopped))
-            sizes = self.size[base]
-            at = np.cumsum(sizes + 1) - 1  # where the stops go
-            ids = np.empty(int(at[-1]) + 1, dtype="<u4")
-            ids[at] = self.ids[self.start[stop]]
-            keep = np.ones(len(ids), dtype=bool)
-            keep[at] = False
-            upto = np.cumsum(sizes)
-            ids[keep] = self.ids[np.repeat(self.start[base] - (upto - sizes), sizes) + np.arange(int(upto[-1]))]
-            self._add(stopped, ids, sizes + 1)
-        else:
-            self._encode_new(words)
-
-    def _encode_new(self, words: list[str]) -> None:
-        marked = [w for w in words if not w.isalpha() and self.MARK not in w]
-        simple = [w for w in words if w.isalpha()]  # one pre-token each: its last token says so
-        for k in range(0, len(simple), 4000):
-            part = simple[k : k + 4000]
-            ids = np.array(self._ids([" ".join(part)])[0], dtype="<u4")
-            sizes = np.diff(np.r_[-1, np.flatnonzero(self.last[ids])])
-            if len(sizes) == len(part):
-                self._add(part, ids, sizes)
-            else:  # a letter that the tokenizer does not know as one
-                marked += part
-        for k in range(0, len(marked), 2000):
-            part = marked[k : k + 2000]
-            ids = np.array(self._ids([f" {self.MARK} ".join(part)])[0], dtype="<u4")
-            marks = np.flatnonzero(ids == self.mark[0])
-            self._add(part, np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1)
-        for w in words:
-            if self.MARK in w:
-                ids = np.array(self._ids([w])[0], dtype="<u4")
-                self._add([w], ids, np.array([len(ids)]))
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text without special tokens, and END_ID."""
-        lists = pc.split_pattern(pa.array([plain(t) if t else "" for t in texts], pa.string()), " ")
-        coded = lists.values.dictionary_encode()  # each word of the block once, and where it stands
-        words = coded.dictionary.to_pylist()
-        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(place < 0).tolist()
-        if missing:
-            if len(self.known) + len(missing) > KNOWN_WORDS:
-                self._clear()
-                missing = [k for k, w in enumerate(words) if w]
-                place[:] = 1  # the empty word
-            self._learn([words[k] for k in missing])
-            place[missing] = [self.known[words[k]] for k in missing]
-        # A zero, the end of a text, goes after the words of each text.
-        ends = lists.offsets.to_numpy()[1:] + np.arange(1, len(texts) + 1)
-        at = np.zeros(len(coded) + len(texts), dtype=np.int64)
-        inside = np.ones(len(at), dtype=bool)
-        inside[ends - 1] = False
-        at[inside] = place[coded.indices.to_numpy()]
-        sizes = self.size[at]
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        kind = np.int32 if self.used + total < 2**31 else np.int64  # half the memory to go through
-        ids = self.ids[np.repeat((self.start[at] - (upto - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)]
-        cuts = upto[ends - 1].tolist()
+        if not any(t and len(t) > BLOCK_BYTES for t in texts):
+            return self._whole(texts)
+        parts = [[self._whole([x])[0] for x in slices(t or "", BLOCK_BYTES)] for t in texts]
+        return [np.concatenate([*(ids[:-1] for ids in p[:-1]), p[-1]]) for p in parts]
+
+    def _whole(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        ready = {k: p for k, t in enumerate(texts) if (p := plain(t or "")) is not None}
+        codes = np.frombuffer((SEP.join(ready.values()) + SEP * bool(ready)).encode("utf-32-le"), dtype="<u4")
+        kinds = self.kinds[np.minimum(codes, len(self.kinds) - 1)]
+        if (unsure := np.flatnonzero(kinds == UNSURE)).size:
+            ends = np.flatnonzero(kinds == END)
+            names = list(ready)
+            bad = np.unique(np.searchsorted(ends, unsure)).tolist()
+            gone = np.zeros(len(codes), dtype=bool)
+            for k in bad:
+                gone[ends[k - 1] + 1 if k else 0 : ends[k] + 1] = True
+                del ready[names[k]]
+            codes, kinds = codes[~gone], kinds[~gone]
+        if ready:
+            for k, ids in zip(ready, self._block(codes, kinds), strict=True):
+                out[k] = ids
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] or "" for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array([*e.ids, END_ID], dtype="<u4")
+        return out
+
+    def _block(self, codes: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts in a row, each with END after it."""
+        held = kinds != SPACE
+        held[kinds == END] = False
+        last = held.copy()  # whether a pre-token ends here
+        last[:-1] &= (kinds[:-1] != kinds[1:]) | (kinds[:-1] == DIGIT)
+        quote = np.flatnonzero(codes == 39)
+        if len(quote):  # 's 't 'm 'd 're 've 'll, where an apostrophe begins a pre-token
+            near = np.r_[codes, 0, 0, 0]
+            begins = (quote == 0) | (kinds[quote - 1] != OTHER)
+            one, two = near[quote + 1], near[quote + 2]
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            for found, n in ((quote[begins & short], 1), (quote[begins & long], 2)):
+                last[found] = False
+                last[found + n] = True
+        size = held + last.astype(np.int64) + (kinds == END)
+        upto = np.cumsum(size)
+        spaced = np.full(int(upto[-1]), 32, dtype="<u4")
+        spaced[(upto - size)[held]] = codes[held]
+        ids = self.ranks.encode_to_numpy(spaced.tobytes().decode("utf-32-le"), disallowed_special=()).astype("<u4")
+        ends = np.flatnonzero(ids == self.mark)
+        ids[ends] = END_ID
+        cuts = (ends + 1).tolist()
         return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
-def plain(t: str) -> str:
-    """A text with spaces for line ends and tabs, and in lower case where that is what the tokenizer does to it."""
-    for c in "\n\t\r":
-        t = t.replace(c, " ")
+def slices(text: str, size: int) -> list[str]:
+    """A text in slices of about size characters, cut at white space, which no pre-token crosses."""
+    out, at = [], 0
+    while len(text) - at > size:
+        m = WHITE.search(text, at + size)
+        if not m:
+            break
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def plain(t: str) -> str | None:
+    """A text in lower case, if that and nothing else is what the tokenizer's normaliser does to it besides white space."""
+    if "<|" in t or SEP in t:
+        return None
     low = t.lower()
     if t.isascii():
-        return t if "<|" in t else low
-    same = len(low) == len(t) and "Σ" not in t and "<|" not in t and unicodedata.is_normalized("NFC", t)
-    return low if same else t
+        return low
+    return low if len(low) == len(t) and "\u03a3" not in t and unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low) else None
+
 
+SIGNATURE, VOCABULARY = 4, 1 << 16
+#: Hash functions of tokens, as orders of the vocabulary.
+_ORDERS = np.stack([np.random.default_rng(k).permutation(VOCABULARY).astype(np.uint16) for k in range(SIGNATURE)])
 
-def _hash(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+def signature(terms: np.ndarray) -> int:
+    """The tokens that each hash function puts first, in one signed number; numbers sort as the lists of tokens do, but for the sign."""
+    out = 0
+    for order in _ORDERS:
+        out = out << 16 | int(terms[np.argmin(order[terms])])
+    return out - (1 << 64) if out >> 63 else out
+
+
+ENCODED = "doc_id long, doc_tokens long, crcs binary, rest binary, terms binary, counts binary, route long, size long"
 
 
 def _encode(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.binary()), ("rest", pa.binary()), ("route", pa.int64())])
+    schema = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}[kind]) for n, kind in (f.split() for f in ENCODED.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(path)
+        encoder = TextEncoder.of(path)
         for batch in batches:
-            rows = {f.name: [] for f in schema}
             texts = batch.column("text")
-            parts = blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_BYTES)
-            encoded = (ids for a, b in parts for ids in encoder.encode(texts[a:b].to_pylist()))
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                full = len(ids) // WINDOW * WINDOW
-                rest = ids[full:]
-                rows["doc_id"].append(doc)
-                rows["doc_tokens"].append(len(ids))
-                rows["crcs"].append(np.array([zlib.crc32(ids[k : k + WINDOW].tobytes()) for k in range(0, full, WINDOW)], dtype="<u4").tobytes())
-                rows["rest"].append(rest.tobytes())
-                rows["route"].append(int(rest[np.argmin(_hash(rest))]) if len(rest) else -1)
-            yield to_batch(rows, schema)
+            for a, b in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_BYTES):
+                rows = {f.name: [] for f in schema}
+                for doc, ids in zip(batch.column("doc_id")[a:b].to_pylist(), encoder.encode(texts[a:b].to_pylist()), strict=True):
+                    full = len(ids) // WINDOW * WINDOW
+                    rest = ids[full:].astype("<u2").tobytes()
+                    terms, counts = np.unique(ids.astype("<u2"), return_counts=True)
+                    crcs = np.array([zlib.crc32(ids[k : k + WINDOW]) for k in range(0, full, WINDOW)], dtype="<u4").tobytes()
+                    held = doc, len(ids), crcs, rest, terms.tobytes(), counts.astype("<u4").tobytes(), signature(terms), len(crcs) + len(rest) + 6 * len(terms)
+                    for name, v in zip(rows, held, strict=True):
+                        rows[name].append(v)
+                yield to_batch(rows, schema)
 
     return run
 
 
 class Bm25:
-    """An inverted index over lists of ids."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
-        length = np.array([len(d) for d in docs], dtype=np.float64)
-        every = np.concatenate(docs or [np.empty(0, np.int64)])
-        kind = np.int32 if (int(every.max()) + 1 if len(every) else 1) * max(n, 1) < 2**31 else np.int64
-        pair, tf = np.unique(every.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), [len(d) for d in docs]), return_counts=True)
-        token, self.doc = pair // max(n, 1), pair % max(n, 1)
-        self.tokens, self.start, df = np.unique(token, return_index=True, return_counts=True)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        average = max(1.0, length.mean()) if n else 1.0
-        self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / average))
-        self.df, self.n = df, n
-
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 of every document for the rarest tokens of ids that more than one document has."""
-        at = np.searchsorted(self.tokens, np.unique(ids))
-        at = at[self.df[at] > 1]
-        at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
+    """An inverted index over documents given by their distinct tokens and the counts of these. Postings of the tokens that many of the
+    documents hold are rows of a matrix, the others are lists."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+        n = self.n = len(terms)
+        length = np.array([c.sum() for c in counts], dtype=np.float64)
+        every, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
+        order = np.argsort(every, kind="stable")
+        every, tf, self.doc = every[order], tf[order], np.repeat(np.arange(n), [len(t) for t in terms])[order]
+        self.start = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        self.df = np.diff(np.r_[self.start, len(every)])
+        self.tokens = every[self.start]
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / length.mean()))
+        common = self.df > max(16, n // 16)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        inside = np.repeat(self.row, self.df)
+        self.matrix = np.zeros((int(common.sum()), n), dtype=np.float32)
+        self.matrix[inside[inside >= 0], self.doc[inside >= 0]] = self.weight[inside >= 0]
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 of every document for all of these distinct tokens."""
+        at = np.searchsorted(self.tokens, terms)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == terms]
+        row = self.row[at]
+        dense, at = self.matrix[row[row >= 0]].sum(axis=0, dtype=np.float64), at[row < 0]
         n = self.df[at]
         upto = np.cumsum(n)
         flat = np.repeat(self.start[at] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)
-        return np.bincount(self.doc[flat], self.weight[flat], self.n)
-
-
-def pack(rests: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (item, start, length) that hold each id of each item once; only the last is not full."""
-    index = Bm25(rests)
-    lengths = np.array([len(r) for r in rests])
-    unused = lengths > 0
-    order = np.argsort(-lengths, kind="stable")
-    out: list[list[tuple[int, int, int]]] = []
-    at, seed = 0, None
-    while True:
-        if seed is None:
-            while at < len(order) and not unused[order[at]]:
-                at += 1
-            if at == len(order):
-                return out
-            seed = (int(order[at]), 0)
-            unused[seed[0]] = False
-        k, start = seed
-        pieces, left, seed = [(k, start, int(lengths[k]) - start)], window - (int(lengths[k]) - start), None
-        out.append(pieces)
-        if not left:
-            continue
-        score = np.where(unused, index.scores(rests[k]), -1.0)
-        ranked = np.argsort(-score, kind="stable")[: int(unused.sum())]
-        fits = lengths[ranked]
-        while left:  # whole neighbours in the order of their scores
-            whole = np.flatnonzero(fits <= left)
-            if not len(whole):
-                break
-            i = int(whole[0])
-            pieces.append((int(ranked[i]), 0, int(fits[i])))
-            unused[ranked[i]] = False
-            left -= int(fits[i])
-            ranked, fits = ranked[i + 1 :], fits[i + 1 :]  # those before do not fit, and will not
-        if left:
-            score[~unused] = -1
-            best = int(np.argmax(score)) if unused.any() else -1
-            if best >= 0:
-                unused[best] = False
-                pieces.append((best, 0, left))
-                seed = (best, left)
+        return dense + np.bincount(self.doc[flat], self.weight[flat], self.n)
+
+
+class Packer:
+    """Fills windows from one shard after another. emit(item, start, length, sequence, offset) takes each piece of a rest."""
+
+    def __init__(self, emit, window: int = WINDOW):
+        self.emit, self.window = emit, window
+        self.sequence, self.left, self.query = -1, 0, None
+
+    def begin(self) -> int:
+        self.sequence += 1
+        return self.sequence
+
+    def _put(self, item, start: int, length: int) -> None:
+        self.emit(item, start, length, self.open, self.window - self.left)
+        self.left -= length
+
+    def shard(self, items: list, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """Pack the rests of a shard: each id of each rest once. The last window may stay open for the next shard."""
+        if not len(items):
+            return
+        index = Bm25(terms, counts)
+        unused = lengths > 0
+        order, at, seed = np.argsort(-lengths, kind="stable"), 0, None
+        while True:
+            if not self.left:
+                if seed is None:
+                    while at < len(order) and not unused[order[at]]:
+                        at += 1
+                    if at == len(order):
+                        return
+                    seed = int(order[at]), 0
+                k, start = seed
+                seed, unused[k] = None, False
+                self.open, self.left, self.query = self.begin(), self.window, terms[k]
+                self._put(items[k], start, int(lengths[k]) - start)
+            open_ = np.flatnonzero(unused)
+            if not len(open_):
+                if self.left:
+                    return
+                continue
+            ranked = open_[np.argsort(-index.scores(self.query)[open_], kind="stable")]
+            fits = lengths[ranked]
+            while self.left:  # whole neighbours in the order of their scores
+                i = int(np.argmax(fits <= self.left)) if len(fits) else 0
+                if not len(fits) or fits[i] > self.left:
+                    break
+                self._put(items[ranked[i]], 0, int(fits[i]))
+                unused[ranked[i]] = False
+                ranked, fits = np.delete(ranked, i), np.delete(fits, i)
+            if self.left and len(ranked):  # the best one is cut
+                seed = int(ranked[0]), self.left
+                unused[ranked[0]] = False
+                self._put(items[ranked[0]], 0, self.left)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack_shard(table: pa.Table) -> pa.Table:
-    names = [f.split()[0] for f in PIECES.split(", ")]
-    rows: dict[str, list] = {n: [] for n in names}
-    table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("rest", "ascending")])  # the same on every attempt
-    doc, tokens = table.column("doc_id").to_pylist(), table.column("doc_tokens").to_pylist()
-    sequence = (table.column("shard")[0].as_py() << 32) - 1
-
-    def put(k, start, length, crc, offset):
-        for n, v in zip(names, (doc[k], start, length, crc, tokens[k], sequence, offset), strict=True):
-            rows[n].append(v)
-
-    rests = []
-    for k, (crcs, rest) in enumerate(zip(table.column("crcs").to_pylist(), table.column("rest").to_pylist(), strict=True)):
-        for i, crc in enumerate(np.frombuffer(crcs, dtype="<u4").tolist()):
-            sequence += 1
-            put(k, i * WINDOW, WINDOW, crc, 0)
-        rests.append(np.frombuffer(rest, dtype="<u4"))
-    for pieces in pack(rests):
-        sequence += 1
-        offset = 0
-        for k, start, length in pieces:
-            first = tokens[k] - len(rests[k])
-            put(k, first + start, length, zlib.crc32(rests[k][start : start + length].tobytes()), offset)
-            offset += length
-    return pa.table({n: pa.array(v, pa.int64()) for n, v in rows.items()})
-
-
-def shards_of(counts: dict[int, int], size: int = SHARD_DOCS) -> list[tuple[int, int, int]]:
-    """(route, first shard, shards) of each route: routes with many documents are split, others share shards."""
-    out, shard, held = [], 0, 0
-    for route, n in sorted(counts.items()):
-        if n > size:
-            out.append((route, -1, -(-n // size)))
-            continue
-        if held + n > size and held:
-            shard, held = shard + 1, 0
-        out.append((route, shard, 1))
-        held += n
-    shard += 1
-    for i, (route, first, n) in enumerate(out):
-        if first < 0:
-            out[i] = (route, shard, n)
-            shard += n
-    return out
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of one partition of encoded documents, in their order, shard by shard."""
+    schema = pa.schema([(f.split()[0], pa.int64()) for f in PIECES.split(", ")])
+    base = TaskContext.get().partitionId() << 32
+    rows: dict[str, list] = {f.name: [] for f in schema}
+
+    def put(doc, start, length, crc, tokens, sequence, offset):
+        for name, v in zip(rows, (doc, start, length, crc, tokens, base + sequence, offset), strict=True):
+            rows[name].append(v)
+
+    def emit(item, start, length, sequence, offset):
+        doc, tokens, rest = item
+        put(doc, tokens - len(rest) + start, length, zlib.crc32(rest[start : start + length].astype("<u4")), tokens, sequence, offset)
+
+    packer = Packer(emit)
+    shard: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        nonlocal rows, shard
+        packer.shard([s[0] for s in shard], np.array([len(s[0][2]) for s in shard], dtype=np.int64), [s[1] for s in shard], [s[2] for s in shard])
+        out, rows, shard = to_batch(rows, schema), {f.name: [] for f in schema}, []
+        return out
+
+    for batch in batches:
+        for doc, tokens, crcs, rest, terms, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "doc_tokens", "crcs", "rest", "terms", "counts")), strict=True):
+            for i, crc in enumerate(np.frombuffer(crcs, dtype="<u4").tolist()):
+                put(doc, i * WINDOW, WINDOW, crc, tokens, packer.begin(), 0)
+            if rest:
+                shard.append(((doc, tokens, np.frombuffer(rest, dtype="<u2")), np.frombuffer(terms, dtype="<u2"), np.frombuffer(counts, dtype="<u4")))
+            if len(shard) >= SHARD_DOCS:
+                yield close()
+    yield close()
 
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): PIECES."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = materialize(d.mapInArrow(tidy(_encode(tokenizer), owner="packing"), "doc_id long, doc_tokens long, crcs binary, rest binary, route long"), "encoded")
-    # Bounded by the vocabulary: one row for each token that is a route.
-    counts = {r["route"]: r["count"] for r in encoded.groupBy("route").count().collect()}
-    routes = docs.sparkSession.createDataFrame(shards_of(counts), "route long, first long, shards long")
-    spread = F.pmod(F.xxhash64("doc_id", "doc_tokens", "rest"), F.col("shards"))
-    return encoded.join(F.broadcast(routes), "route").withColumn("shard", F.col("first") + spread).drop("route", "first", "shards").groupBy("shard").applyInArrow(tidy_group(_pack_shard), PIECES)
+    encoded = materialize(d.mapInArrow(tidy(_encode(tokenizer), owner="packing"), ENCODED), "encoded")
+    held = encoded.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    # As many partitions as the bytes ask for; fewer bytes are still spread over the cores, in shards of their own.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-held["n"] // SHARD_DOCS), max(cores, -(-(held["size"] or 0) // PART_BYTES))))
+    # Copies have one signature: the hash of the row spreads them over partitions, however many they are.
+    spread = encoded.drop("size").withColumn("spread", F.xxhash64("doc_id", "doc_tokens", "rest"))
+    ordered = spread.repartitionByRange(parts, "route", "spread").sortWithinPartitions("route", "spread", "doc_id", "doc_tokens", "rest", "terms")
+    return ordered.mapInArrow(tidy(_pack), PIECES)
