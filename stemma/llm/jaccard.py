@@ -10,8 +10,8 @@ pair shares is among the most frequent of neither, so no pair is lost.
 
 Equal sets are one class from the start, named by 64 bits of their digest; signatures go to shards in packed batches, and a
 shard groups its signatures by sorting. What is left after the drop makes groups. Groups of up to GROUP classes give their
-pairs. In larger ones classes, and then components, are compared with one of their group in a few rounds, components are formed
-anew each time, and what is still apart within a group is compared in blocks. Pairs are screened by parity bitmaps, a bound that loses none, and verified
+pairs. In larger ones a task draws in a block of classes at a time, then one class of each component is compared with one of another,
+links between components are contracted each time, and what is still apart within a group is compared in blocks. Pairs are screened by parity bitmaps, a bound that loses none, and verified
 on the whole sets; only pairs known to be connected are left out.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; texts of fewer words than a shingle have
@@ -40,8 +40,10 @@ WORDS = 5
 GROUP = 8
 #: Classes in a block of the last comparison, bytes of signatures in a shard, and bits of a parity bitmap.
 BLOCK, SHARD_BYTES, BITS = 512, 12_000_000, 2048
-#: Rounds in which large groups are compared by stars before they are compared by blocks.
-STARS = 5
+#: Rounds in which components within large groups are compared by stars before they are compared by blocks.
+STARS = 2
+#: Sets of so many tokens (160 KB) wait for the stars: a block of them would be too large for a task.
+LONG = 20_000
 #: Classes whose ids may be broadcast (8 MB of ids); above that the join is shuffled.
 BROADCAST_IDS = 500_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -236,28 +238,31 @@ def _bitmaps(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets are similar."""
+    i = np.searchsorted(x, y)
+    return bool(similar(int((x[np.minimum(i, len(x) - 1)] == y).sum()), len(x), len(y)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: bitmaps leave few pairs, and those meet with their whole sets."""
+    """The pairs (a, b, perhaps more longs) whose sets are similar: bitmaps leave few pairs, and those meet with their whole sets."""
     side = lambda new, *columns: sets.select(F.col("class").alias(new), *[F.col(c).alias(f"{c}_{new}") for c in columns])
+    names = pairs.columns
+    schema = ", ".join(f"{c} long" for c in names)
 
     def screen(batches):
         for batch in batches:
             keep = may_be_similar(_bitmaps(batch.column("bits_a")), _bitmaps(batch.column("bits_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                i = np.searchsorted(x, y)
-                common = int((x[np.minimum(i, len(x) - 1)] == y).sum())
-                keep.append(bool(similar(common, len(x), len(y))))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(tidy(screen), "a long, b long")
+            keep = [alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair)) for pair in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(tidy(screen), schema)
     both = left.join(side("a", "set"), "a").join(side("b", "set"), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long")
+    return both.select(*names, "set_a", "set_b").mapInArrow(tidy(compare), schema)
 
 
 def _block_pairs(table: pa.Table) -> pa.Table:
@@ -274,50 +279,66 @@ def _block_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "partners": pa.array(partners, pa.list_(pa.int64()))})
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of groups that have more than one component by the links so far, with comp; members is discarded if it was such a table."""
-    comp = components(links).select(F.col("node").alias("class"), F.col("component").alias("_c"))
-    labelled = members.drop("comp").join(comp, "class", "left").withColumn("comp", F.coalesce("_c", "class")).drop("_c")
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    out = materialize(labelled.join(mixed, "sig"), "apart")
-    if "comp" in members.columns:
-        discard(members)
-    return out
-
-
-def _with(links: DataFrame, star: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
-    """(links and those pairs of star (class, p) that are similar, whether there are any)."""
-    found = materialize(verified(star.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct(), sets), "found")
-    if not found.take(1):
-        discard(found)
-        return links, False
-    both = materialize(links.union(found), "links")
-    discard(links, found)
-    return both, True
+def _cluster(table: pa.Table) -> pa.Table:
+    """Links (a, b) and their components (ca, cb) among the classes of one block: each class in turn meets those before it that are like
+    none before them, unless they are of its component already."""
+    table = table.sort_by("class")
+    who, comp, n = (table.column(c).to_numpy() for c in ("class", "comp", "n"))
+    bits = _bitmaps(table.column("bits"))
+    sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("set")]
+    links, first, root = [], [], comp.copy()
+    for k in range(len(who)):
+        near = np.array(first, dtype=np.int64)
+        near = near[may_be_similar(bits[k], bits[near], n[k], n[near]) & (root[near] != root[k])]
+        alone = True
+        for j in near.tolist():
+            if root[j] != root[k] and alike(sets[k], sets[j]):
+                links.append((who[j], who[k], comp[j], comp[k]))
+                root[root == root[k]] = root[j]
+                alone = False
+        if alone:
+            first.append(k)
+    columns = zip(*links, strict=True) if links else ((),) * 4
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "ca", "cb"), columns, strict=True)})
+
+
+def _joined(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (sig, class, size, comp) of groups that still have more than one component, after links (ca, cb) between components."""
+    named = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("_c"))
+    labelled = labelled.join(small_side(named, BROADCAST_IDS), "comp", "left").select("sig", "class", "size", F.coalesce("_c", "comp").alias("comp"))
+    mixed = materialize(labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "mixed")
+    return materialize(labelled.join(small_side(mixed, BROADCAST_IDS), "sig", "left_semi"), "apart")
 
 
 def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect what is similar within large groups (sig, class, size), besides the links known."""
-    # First each class against the smallest class of its largest group.
-    pivot = members.groupBy("sig").agg(F.min("class").alias("p"))
-    star = members.join(pivot, "sig").where("class <> p").groupBy("class").agg(F.max_by("p", F.struct("size", "sig")).alias("p"))
-    labelled, links, more = members, *_with(links, star, sets)
-    for k in range(1, STARS):
-        if more or k == 1:
-            labelled = _apart(labelled, links)
-            if not labelled.take(1):
-                return links
-        if k == 1:  # the same, but not of its own component
-            pivot = labelled.groupBy("sig").agg(F.min(F.struct("class", "comp")).alias("p"))
-            star = labelled.join(pivot, "sig").where(F.col("comp") != F.col("p.comp")).groupBy("class").agg(F.max_by(F.col("p.class"), F.struct("size", "sig")).alias("p"))
-        else:  # one class of each component of a group against one of another
-            any_of = lambda *c: F.xxhash64(*c, F.lit(k))
-            one = labelled.groupBy("sig", "comp").agg(F.min_by("class", any_of("class")).alias("class"))
-            pivot = one.groupBy("sig").agg(F.min_by(F.col("class"), any_of("comp")).alias("p"))
-            star = one.join(pivot, "sig").select("class", "p").where("class <> p")
-        links, more = _with(links, star, sets)
-    labelled = _apart(labelled, links) if more else labelled
-    labelled = labelled.select("sig", "class", "comp")
+    """Links that connect what is similar within large groups (sig, class, size), and the links known."""
+    labelled = _joined(members.select("sig", "class", "size", F.col("class").alias("comp")), links.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
+    if not labelled.take(1):
+        return links.select("a", "b")
+    # A task draws in each block of classes of one group; a class goes with its largest group.
+    largest = labelled.groupBy("class", "comp").agg(F.max(F.struct("size", "sig")).alias("g"))
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("g.size") / BLOCK).cast("long"))
+    held = largest.select("class", "comp", F.xxhash64("g.sig", block).alias("block")).join(sets.where(F.col("n") < LONG), "class")
+    found = [links, materialize(held.groupBy("block").applyInArrow(tidy_group(_cluster), "a long, b long, ca long, cb long"), "drawn")]
+    for k in range(STARS):  # then one class of each component of a group meets one of another
+        before, labelled = labelled, _joined(labelled, found[-1])
+        discard(before)
+        ends = (F.max, F.min) if k % 2 else (F.min, F.max)
+        pivot = labelled.groupBy("sig").agg(ends[0](F.struct("class", "comp")).alias("p")).select("sig", F.col("p.class").alias("p"), F.col("p.comp").alias("cp"))
+        star = labelled.groupBy("sig", "comp").agg(ends[1]("class").alias("class")).join(small_side(materialize(pivot, "pivots"), BROADCAST_IDS), "sig").where("comp <> cp")
+        pick = lambda x, y: F.when(F.col("class") < F.col("p"), F.col(x)).otherwise(F.col(y))
+        pairs = star.select(pick("class", "p").alias("a"), pick("p", "class").alias("b"), pick("comp", "cp").alias("ca"), pick("cp", "comp").alias("cb")).distinct()
+        found.append(materialize(verified(pairs, sets), "found"))
+        if not found[-1].take(1):
+            break
+    else:
+        before, labelled = labelled, _joined(labelled, found[-1])
+        discard(before)
+    links = found[0].select("a", "b")
+    for more in found[1:]:
+        links = links.unionByName(more.select("a", "b"))
+    if not labelled.take(1):
+        return links
     # Blocks: a component with many classes in a group has blocks of its own, the others share blocks.
     counts = labelled.groupBy("sig", "comp").agg(F.count("*").alias("n"))
     counts = counts.withColumn("own", F.col("n") > BLOCK // 2)
@@ -335,11 +356,9 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
     placed = placed.withColumns({"k": F.xxhash64("sig", "only", "slot")})
     ends = ends.select("task", F.xxhash64("sig", "only", "slot").alias("k"))
     work = ends.join(placed.select("k", "class", "comp"), "k").join(sets.select("class", "n", "bits"), "class")
-    # A pair may share many signatures: partners are made distinct by class before they become pairs.
     near = work.groupBy("task").applyInArrow(tidy_group(_block_pairs), "a long, partners array<long>")
-    near = near.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
-    rest = materialize(near.select("a", F.explode("partners").alias("b")), "rest")
-    return links.union(verified(rest, sets))
+    rest = materialize(near.select("a", F.explode("partners").alias("b")).distinct(), "rest")
+    return links.unionByName(verified(rest, sets))
 
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -379,7 +398,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     large = members.where(F.col("size") > GROUP)
     if large.take(1):
         links = links_in_groups(large, links, sets)
-    name = classes.select("class", "first")
+    name = small_side(classes.select("class", "first"), BROADCAST_IDS)
     links = links.join(name.select(F.col("class").alias("a"), F.col("first").alias("x")), "a").join(name.select(F.col("class").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return rows, classes, links
 

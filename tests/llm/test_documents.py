@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 
 from stemma.llm import byte_bpe, dedup_units, jaccard, licenses, packing, pii, quality, secrets
-from stemma.llm.components import components
+from stemma.llm.components import components, least_reached
 from stemma.llm.queries import pattern, tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,11 +113,24 @@ def test_jaccard_defined_cases(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, 0), (False, 1), (False, 1), (False, 2), (False, 3)]
 
 
-def test_components_of_a_long_path(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (101, 100)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(links).collect()}
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_components_of_a_long_path(spark, one_task):
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (101, 100), (None, 3), (4, None)], "a long, b long").repartition(5)
+    got = {r["node"]: r["component"] for r in components(links, one_task).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
-    assert components(links.where("a < 0")).count() == 0
+    assert components(links.where("a < 0"), one_task).count() == 0
+
+
+def test_least_reached_on_random_links():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 200):
+        a, b = r.integers(-50, 200, n), r.integers(-50, 200, n)
+        least = {int(x): int(x) for x in np.r_[a, b]}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        nodes, found = least_reached(a, b)
+        assert dict(zip(nodes.tolist(), found.tolist(), strict=True)) == least
 
 
 # ---- substring dedup
@@ -240,31 +254,110 @@ def test_packing_holds_every_token_once(spark, texts):
     assert packing.pack_documents(frame(spark, []), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
-def test_word_encoder_equals_the_tokenizer():
+def test_text_encoder_equals_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer_file("word_bpe_49k.json")
-    tokenizer, encoder, r = Tokenizer.from_file(path), packing.WordEncoder.of(path), random.Random(8)
-    alphabet = "abcXYZ.,'-!?12 \n\t\r\x01\x0b\x85\u00a0éÉß\u0301ΣİΩжЖ中ＡǅᏣ\U0001f600\u1c90\U00010d50<|>"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["<|endoftext|> x", "A<|startoftext|>b.", "don't WE'LL i'd.", None, "", "..., a... b,,. c.", "\u1c90. \u1c91,"]
-    for t, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [1], t
+    tokenizer, encoder, r = Tokenizer.from_file(path), packing.TextEncoder.of(path), random.Random(8)
+    alphabet = "abcXYZ.,'-!?12 \n\t\r\x01\x0b\x85\u00a0éÉß\u0301ΣİΩжЖ中ＡǅᏣ\U0001f600\u1c90\U00010d50<|>smtdrevl''\u200b\u180e’€กั가\u1105\u1161あ"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["<|endoftext|> x", "A<|startoftext|>b.", "don't WE'LL i'd.'s 'sun ''s x's'd'll'lls", None, "", "..., a... b,,. c.", "\u1c90. \u1c91,", "a\ue000b"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for t, ids, w in zip(texts, encoder.encode(texts), want, strict=True):
+        assert ids.tolist() == w, t
+    assert all(encoder.encode([t])[0].tolist() == w for t, w in zip(texts[::50], want[::50], strict=True))
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 400)  # texts in slices
+    long = ["".join(texts[k] or "" for k in range(n, n + 100)) for n in (0, 500)] + ["word " * 300, "x" * 900, "b" * 399 + "\n\nc'll"]
+    for t, ids in zip(long, encoder.encode(long), strict=True):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
+def packed(documents, shards, window):
+    """Windows as lists of (item, start, length), of documents in shards, and the number of open places at the end."""
+    windows = defaultdict(list)
+    packer = packing.Packer(lambda item, start, length, sequence, offset: windows[sequence].append((item, start, length, offset)), window)
+    for shard in shards:
+        terms, counts = zip(*(np.unique(documents[k], return_counts=True) for k in shard), strict=True) if shard else ((), ())
+        packer.shard(list(shard), np.array([len(documents[k]) for k in shard]), list(terms), list(counts))
+    return [windows[k] for k in sorted(windows)], packer.left
 
 
 def test_neighbours_share_windows():
     r = np.random.default_rng(3)
-    topics = [r.integers(k * 100, k * 100 + 100, 300).astype("<u4") for k in range(4) for _ in range(5)]
-    order = r.permutation(20)
-    windows = packing.pack([topics[k] for k in order], 1500)
-    for pieces in windows:
-        assert len({order[k] // 5 for k, _, _ in pieces}) == 1
-    assert packing.pack([]) == [] and packing.pack([np.empty(0, "<u4")]) == []
-
-
-def test_shards_split_hot_routes():
-    got = packing.shards_of({1: 5000, 2: 10, 3: 995, 4: 20}, 1000)
-    used = [s for _, first, n in got for s in range(first, first + n)]
-    assert dict((r, n) for r, _, n in got)[1] == 5 and sorted(set(used)) == list(range(max(used) + 1))
+    topics = [r.integers(k * 100, k * 100 + 100, 300).astype("<u2") for k in range(4) for _ in range(5)]
+    order = r.permutation(20).tolist()
+    windows, left = packed(topics, [order], 1500)
+    assert left == 0 and all(len({k // 5 for k, *_ in pieces}) == 1 for pieces in windows)
+    assert packed([], [[]], 1500) == ([], 0)
+
+
+def test_windows_go_on_in_the_next_shard():
+    r = np.random.default_rng(4)
+    documents = [r.integers(0, 500, int(r.integers(1, 200))).astype("<u2") for _ in range(90)]
+    windows, left = packed(documents, [list(range(k, k + 30)) for k in range(0, 90, 30)], 256)
+    held = Counter()
+    for n, pieces in enumerate(windows):
+        at = 0
+        for k, start, length, offset in pieces:
+            assert offset == at and length > 0
+            at += length
+            held.update((k, i) for i in range(start, start + length))
+        assert at == 256 - (left if n == len(windows) - 1 else 0)
+    assert held == Counter((k, i) for k, d in enumerate(documents) for i in range(len(d)))
+
+
+def test_bm25_against_brute_force():
+    r = np.random.default_rng(5)
+    documents = [r.zipf(1.3, int(r.integers(1, 400))).clip(1, 3000).astype("<u2") for _ in range(150)]
+    n, mean = len(documents), np.mean([len(d) for d in documents])
+    df = Counter(t for d in documents for t in set(d.tolist()))
+    counts = [Counter(d.tolist()) for d in documents]
+
+    def score(query, k):
+        weight = lambda t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * counts[k][t] * 2.2 / (counts[k][t] + 1.2 * (0.25 + 0.75 * len(documents[k]) / mean))
+        return sum(weight(t) for t in set(query) if t in counts[k])
+
+    index = packing.Bm25(*zip(*(np.unique(d, return_counts=True) for d in documents), strict=True))
+    for query in [d.tolist() for d in documents[:20]] + [[1, 65_000], [64_999]]:
+        assert np.allclose(index.scores(np.unique(np.array(query, dtype="<u2"))), [score(query, k) for k in range(n)], atol=1e-4)
+
+
+def test_seeds_take_the_best_neighbours_that_fit():
+    """With rests that all fit, a window takes its seed's neighbours in the order of a BM25 computed directly."""
+    r = np.random.default_rng(6)
+    documents = [r.integers(0, 60, 100).astype("<u2") for _ in range(40)]
+    (first, *_), _ = packed(documents, [list(range(40))], 500)
+    index = packing.Bm25(*zip(*(np.unique(d, return_counts=True) for d in documents), strict=True))
+    scores = index.scores(np.unique(documents[0]))
+    assert [k for k, *_ in first] == [0, *sorted(range(1, 40), key=lambda k: (-scores[k], k))[:4]]
+
+
+def test_signatures_keep_copies_together_and_order():
+    r = np.random.default_rng(7)
+    terms = np.unique(r.integers(0, 49_408, 300).astype("<u2"))
+    near = np.unique(np.r_[terms[:-2], [7]]).astype("<u2")
+    assert packing.signature(terms) == packing.signature(terms.copy())
+    assert sum(packing.signature(t) >> 48 == packing.signature(terms) >> 48 for t in [near] + [np.unique(r.integers(0, 49_408, 300).astype("<u2")) for _ in range(50)]) <= 5
+    assert -(1 << 63) <= packing.signature(np.array([65_535], "<u2")) < 1 << 63
+
+
+def test_packing_on_several_partitions(spark, monkeypatch):
+    """Small shards and partitions, a third of all rows copies: every id once, padding in the last window of a partition only."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    r = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "word", "other", "thing", "place"]
+    rows = [(k, "copy of one text " * 20 if k % 3 == 0 else " ".join(r.choice(words) + str(r.randrange(9)) for _ in range(r.randint(1, 120))), "h") for k in range(240)]
+    pieces = packing.pack_documents(frame(spark, rows), tokenizer_file("word_bpe_49k.json")).collect()
+    ids = packing.TextEncoder.of(tokenizer_file("word_bpe_49k.json")).encode([t for _, t, _ in rows])
+    held, ends = Counter(), Counter()
+    for p in pieces:
+        assert zlib.crc32(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"] and p["doc_tokens"] == len(ids[p["doc_id"]])
+        held.update((p["doc_id"], k) for k in range(p["start"], p["start"] + p["length"]))
+        ends[p["sequence_id"]] += p["length"]
+    assert held == Counter((k, i) for k, x in enumerate(ids) for i in range(len(x)))
+    assert len({s >> 32 for s in ends}) > 1
+    for part in {s >> 32 for s in ends}:
+        assert sum(n < 2048 for s, n in ends.items() if s >> 32 == part) <= 1
 
 
 # ---- secrets
