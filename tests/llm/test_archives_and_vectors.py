@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import zipfile
@@ -29,15 +30,16 @@ def test_round_trip(spark):
     assert warc_zip.round_trip_report(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_packages_are_zip_files(spark):
+@pytest.mark.parametrize("packed", [True, False])
+def test_packages_are_zip_files(spark, packed):
     rows = [(k, "u", f"page {k}") for k in range(20)]
-    folder, packages = warc_zip.write_packages(spark.createDataFrame(rows, PAGES))
+    folder, packages = warc_zip.write_packages(spark.createDataFrame(rows, PAGES), packed=packed)
     paths = [r["path"] for r in packages.collect()]
     assert sum(r["records"] for r in packages.collect()) == 20
     for path in paths:
         with zipfile.ZipFile(path) as z:
             assert z.testzip() is None
-            assert z.namelist() == ["archive/data.warc", "indexes/index.cdx"] and all(i.compress_type == 0 for i in z.infolist())
+            assert z.namelist() == ["archive/data.warc" + ".gz" * packed, "indexes/index.cdxj"] and all(i.compress_type == 0 for i in z.infolist())
     records = warc_zip.read_packages(folder, packages).collect()
     assert {r["payload"].decode() for r in records} == {f"page {k}" for k in range(20)}
 
@@ -58,6 +60,58 @@ def test_reader_on_another_writers_file(comment):
         list(warc_zip.ZipReader(io.BytesIO(b"no archive at all......"), 23).members())
 
 
+def record(kind, k, payload, http=True):
+    block = (b"HTTP/1.1 200 OK\r\n\r\n" if http else b"") + payload
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Target-URI: http://x/{k}\r\nContent-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_packages_of_another_writer(spark, tmp_path, monkeypatch):
+    """Several archives and indexes: plain and by gzip members, JSON and columns, and one archive that no index names."""
+    monkeypatch.setattr(warc_zip, "RANGE_BYTES", 150)
+    r = np.random.default_rng(5)
+    payloads = [bytes(r.integers(0, 256, int(r.integers(0, 3000)), dtype=np.uint8)) for _ in range(40)] + [b"\r\n\r\nWARC/1.0"]
+    records = [record("response", k, x) for k, x in enumerate(payloads)]
+    info = record("warcinfo", "info", b"software: x\r\n", False)
+    parts = {"archive/a.warc": (records[:10], False), "archive/b.warc.gz": (records[10:20], True), "deep/c.warc": ([info, *records[20:30]], False), "deep/d.warc.gz": ([info, *records[30:]], True)}
+    places = {}
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        for name, (held, packed) in parts.items():
+            data = b""
+            for x in held:
+                x = gzip.compress(x) if packed else x
+                places.setdefault(name, []).append((len(data), len(x)))
+                data += x
+            z.writestr(name, data)
+        z.writestr("indexes/a.cdx", " CDX N b a m s k r M S V g\n" + "".join(f"key 2020 http://x text/html 200 ABC - - {n} {at} a.warc\n" for at, n in places["archive/a.warc"][::-1]))
+        z.writestr("indexes/b.cdxj.gz", gzip.compress("".join(f'key 2020 {{"offset": "{at}", "filename": "b.warc.gz"}}\n' for at, _ in places["archive/b.warc.gz"]).encode()))
+        z.writestr(zipfile.ZipInfo("pages.jsonl"), b"x" * 1000, zipfile.ZIP_DEFLATED)
+    size = (tmp_path / "x.zip").stat().st_size
+    packages = spark.createDataFrame([(str(tmp_path / "x.zip"), size)], "path string, bytes long")
+    got = warc_zip.read_packages(f"file://{tmp_path}", packages).collect()
+    want = {f"<urn:{k}>": ("response", x, f"http://x/{k}") for k, x in enumerate(payloads)}
+    assert {g["record_id"]: (g["record_type"], bytes(g["payload"]), g["target_uri"]) for g in got if g["record_type"] == "response"} == want
+    assert Counter(g["record_type"] for g in got) == {"response": 41, "warcinfo": 2} and all(g["page_id"] is None for g in got)
+    with zipfile.ZipFile(tmp_path / "y.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.warc", records[0] * 9)
+    bad = spark.createDataFrame([(str(tmp_path / "y.zip"), (tmp_path / "y.zip").stat().st_size)], "path string, bytes long")
+    with pytest.raises(Exception, match="no byte ranges"):
+        warc_zip.read_packages(f"file://{tmp_path}", bad).collect()
+
+
+def test_record_ids_and_urls(spark):
+    """Ids differ for rows without a page, for pages with several payloads or addresses, and addresses keep all their characters."""
+    rows = [(None, "http://a/é ü\t?q=%20#x", "same")] * 3 + [(1, "http://a", "one"), (1, "http://b", "one"), (1, "http://a", "two"), (2, "http://c", "one")]
+    docs = spark.createDataFrame(rows, PAGES).withColumn("sha", bitsliced.F.lit(1)).withColumn("first", bitsliced.F.lit(1)).withColumn("revisit", bitsliced.F.lit(1))
+    folder, packages = warc_zip.write_packages(docs)
+    records = warc_zip.read_packages(folder, packages).collect()
+    assert len({r["record_id"] for r in records}) == 7
+    assert Counter(r["record_type"] for r in records) == {"response": 6, "revisit": 1}
+    (revisit,) = [r for r in records if r["record_type"] == "revisit"]
+    assert [r["target_uri"] for r in records if r["record_id"] == revisit["refers_to_id"]] == ["http://a"]
+    assert {r["target_uri"] for r in records if r["page_id"] is None} == {"http://a/%C3%A9%20%C3%BC%09?q=%20#x"}
+
+
 def brute(vectors, k, every):
     out = {}
     q = {}
@@ -88,6 +142,29 @@ def test_top_k_against_brute_force(spark):
     assert bitsliced.search_report(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows_in_block", [1, 7, 40])
+def test_top_k_over_many_blocks(spark, monkeypatch, rows_in_block):
+    monkeypatch.setattr(bitsliced, "BLOCK_ROWS", rows_in_block)
+    r = np.random.default_rng(18)
+    vectors = [(int(k), [float(v) for v in r.normal(0, 0.4, int(r.integers(1, 6))).astype(np.float32)]) for k in range(90)]
+    vectors += [(7, [0.25, 0.5]), (7, [0.25, 0.5]), (40, [0.25, 0.5])] + [(200, [0.5, 0.5, 0.5])] * 12  # repeated rows under one id
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for x in bitsliced.search_report(df, 10, 8).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    assert set(got) == {*range(0, 90, 10), 200}
+    for k in set(got) - {40}:  # two different vectors have the id 40: both are answered
+        q = [tuple(int(np.floor(64 * float(np.float32(c)))) for c in v) for i, v in vectors if i == k][0]
+        scored = sorted((-sum(a * int(np.floor(64 * float(np.float32(b)))) for a, b in zip(q, v, strict=False)), i) for i, v in vectors if i != k)
+        assert got[k] == [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:8])]
+
+
+def test_scores_that_do_not_fit(spark):
+    big = spark.createDataFrame([(0, [3e7] * 9), (1, [3e7] * 9)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        bitsliced.search_report(big).collect()
+
+
 def test_sums_of_slices():
     r = np.random.default_rng(1)
     rows = r.integers(-70, 70, (130, 5))

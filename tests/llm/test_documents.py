@@ -136,28 +136,41 @@ def test_least_reached_on_random_links():
 # ---- substring dedup
 
 
-def brute_units(rows):
+def brute_units(rows, least):
+    """(doc_id, start, end, kept doc_id, kept start) by trying every run of sentences of a paragraph."""
     found = defaultdict(list)
     for i, t, _ in rows:
-        start = 0
-        for end in [m.end() for m in re.finditer(r"\n|(?<=[.!?])[ \t]+\n?", t or "")] + [len(t or "")]:
-            w = (t or "")[start:end].lower().split()
-            if len(w) >= 6:
-                found[tuple(w)].append(((i is None, i or 0), start, end, i))
+        t, pieces, start = t or "", [], 0
+        lines = t.split("\n")
+        paragraph = [sum(not x.strip() for x in lines[:k]) for k in range(len(lines))]
+        for end in [m.end() for m in re.finditer(r"\n|(?<=[.!?])[ \t]+\n?", t)] + [len(t)]:
+            if t[start:end].split():
+                line = t.count("\n", 0, start)
+                pieces.append((start, end, t[start:end].lower().split(), line, paragraph[line]))
             start = end
-    out = set()
+        for a in range(len(pieces)):
+            words = []
+            for b in range(a, len(pieces)):
+                if pieces[b][4] != pieces[a][4]:
+                    break
+                enough = len(words) >= least
+                words = words + pieces[b][2]
+                whole = [[k for k, p in enumerate(pieces) if p[field] == pieces[a][field]] for field in (3, 4)]
+                if len(words) >= least and (not enough or list(range(a, b + 1)) in whole):
+                    found[tuple(words)].append(((i is None, i or 0), pieces[a][0], pieces[b][1], i))
+    gone = set()
     for occurrences in found.values():
         first = min(occurrences)
-        out |= {(i, s, e, first[3], first[1]) for o, s, e, i in occurrences if (i, s) != (first[3], first[1])}
-    return out
+        gone |= {(i, s, e, first[3], first[1]) for o, s, e, i in occurrences if i != first[3] or s >= first[2]}
+    return {x for x in gone if not any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and y[1:3] != x[1:3] for y in gone)}
 
 
 def test_unit_dedup(spark, texts):
     line = "This line of seven words is repeated."
     rows = texts + [(900, f"{line} Then some other words follow in here.\n{line}\n", "h"), (901, f"x {line}\n  {line.upper()}  \nshort line", "h"), (None, line, "h"), (902, line, "h"), (902, line, "h")]
-    got = {(r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in dedup_units.repeat_report(frame(spark, rows)).collect()}
-    assert got == brute_units(rows)
-    clean = dedup_units.remove_repeats(frame(spark, rows).withColumn("start", dedup_units.F.lit(7)))
+    got = {(r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in dedup_units.repeat_report(frame(spark, rows), 6).collect()}
+    assert got == brute_units(rows, 6)
+    clean = dedup_units.remove_repeats(frame(spark, rows).withColumn("start", dedup_units.F.lit(7)), 6)
     assert clean.columns == ["doc_id", "text", "lang", "source", "n_chars", "start"]
     after = {r["doc_id"]: r for r in clean.where("doc_id >= 900").collect()}
     assert after[900]["text"] == f"{line} Then some other words follow in here.\n"
@@ -172,7 +185,7 @@ def test_unit_dedup_of_short_sentences(spark):
     verse = "roses are red\nviolets are blue\nsugar is sweet\n"
     han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
     rows = [(1, f"one {short}\n{short}\n\n{verse}\n{han}\nend", "h"), (2, f"two\n{short}\nthree {han[:6]}\n\n{verse}\nfour", "h"), (3, f"{han}\nred\nfive\n\n{verse}", "h"), (4, f"Some {short}", "h"), (5, "red\nfive", "h")]
-    clean = {r["doc_id"]: r["text"] for r in dedup_units.remove_repeats(frame(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in dedup_units.remove_repeats(frame(spark, rows), 9).collect()}
     assert clean == {1: rows[0][1], 2: f"two\nthree {han[:6]}\n\n\nfour", 3: "red\nfive\n\n", 4: rows[3][1], 5: "red\nfive"}
     r = random.Random(9)
     pieces = ["aa bb.", "cc dd ee ff gg hh ii.", " ", "\n", "\n\n", "jj kk ll", "mm! ", "nn?\t\n", "字字字字字字字字字字字字。", "\u2029", "\x0b"]
@@ -184,8 +197,33 @@ def test_unit_dedup_of_short_sentences(spark):
             assert 0 <= a < b <= len(text) and n >= 1
             assert all(d <= a or c >= b or (a <= c and d <= b) or (c <= a and b <= d) for c, d, _, _ in found)
     long = [(k, f"Line {k}. {short}\n" if k % 2 else f"{short}\n", "h") for k in range(20)]
-    spans = dedup_units.repeat_report(frame(spark, long)).collect()
-    assert {(s["doc_id"], s["start"], s["words"]) for s in spans} == {(k, 0, 10) for k in range(2, 20, 2)}
+    spans = dedup_units.repeat_report(frame(spark, long), 9).collect()
+    assert {(s["doc_id"], s["start"], s["words"]) for s in spans} == {(k, len(f"Line {k}. ") if k % 2 else 0, 10) for k in range(1, 20)}
+
+
+def test_unit_dedup_of_random_passages(spark):
+    """Passages of many short sentences and lines, in texts of their own: the report equals brute force, what is left holds every passage
+    once, and texts that only share short lines stay as they are."""
+    r = random.Random(13)
+    word = lambda: r.choice("abcdefgh") * r.randint(1, 3)
+    sentence = lambda: " ".join(word() for _ in range(r.randint(1, 9))) + r.choice(".!?")
+    passage = [" ".join(sentence() for _ in range(12)), "\n".join(sentence() for _ in range(12))]
+    footer = "All rights of this page are reserved."
+    rows = []
+    for k in range(30):
+        own = [" ".join(f"w{k}x{j}" for j in range(r.randint(3, 30))) + "." for _ in range(3)]
+        rows.append((k, f"{own[0]} {passage[k % 3] if k % 3 < 2 else own[1]} {own[2]}\n{footer}\n\nend {k}", "h"))
+    rows += [(100, "ha. " * 70, "h"), (101, "ha. " * 70, "h"), (None, passage[0], "h")]
+    got = {(x["doc_id"], x["start"], x["end"], x["kept_doc_id"], x["kept_start"]) for x in dedup_units.repeat_report(frame(spark, rows)).collect()}
+    assert got == brute_units(rows, dedup_units.MIN_WORDS)
+    clean = {x["doc_id"]: x["text"] for x in dedup_units.remove_repeats(frame(spark, rows)).collect()}
+    for k, t, _ in rows[:30]:
+        assert footer in clean[k]
+        if k % 3 == 2:
+            assert clean[k] == t
+        else:
+            assert (passage[k % 3] in clean[k]) == (k < 2) and len(clean[k]) <= len(t)
+    assert clean[None] == "" and clean[101] == "" and clean[100] == "ha. " * 20
 
 
 # ---- quality
@@ -424,6 +462,92 @@ def test_battery_is_calibrated_on_random_strings():
     assert secrets.infer_encoding("deadbeef01") == "hex" and secrets.infer_encoding("ABC-") == "base64url"
 
 
+def test_battery_against_direct_computation():
+    """The three tests and Fisher's combination, computed by hand for each encoding."""
+    r = random.Random(11)
+    tail = lambda x, k: 0.5 * math.erfc(((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)) / math.sqrt(2))
+    for name, alphabet in secrets.ENCODINGS.items():
+        for n in (20, 33, 90):
+            s = "".join(r.choice(alphabet) for _ in range(n))
+            x = [alphabet.index(c) for c in s]
+            chi = 0.0
+            for lo, hi in zip(secrets.BINS[name], secrets.BINS[name][1:], strict=False):
+                want = n * (hi - lo) / len(alphabet)
+                off = abs(sum(lo <= v < hi for v in x) - want)
+                chi += max(0.0, off - (0.5 if want < 2 else 0)) ** 2 / want
+            high = [v >= len(alphabet) / 2 for v in x]
+            n1 = sum(high)
+            runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+            mean = 1 + 2 * n1 * (n - n1) / n
+            z = (runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+            centre = sum(x) / n
+            lag = sum((a - centre) * (b - centre) for a, b in zip(x, x[1:], strict=False)) / sum((a - centre) ** 2 for a in x)
+            p = [tail(chi, len(secrets.BINS[name]) - 2), math.erfc(abs(z) / math.sqrt(2)), math.erfc(abs(lag) * math.sqrt(n) / math.sqrt(2))]
+            assert math.isclose(secrets.battery(s, name), min(1.0, tail(-2 * sum(map(math.log, p)), 6)), rel_tol=1e-6), (name, s)
+
+
+def brute_candidates(text):
+    base = secrets.base_spans(text)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        if any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        run, kind = m[0], 0
+        if re.fullmatch("[a-z]+", run):
+            kind = 1
+        elif re.fullmatch("[A-Z]+", run):
+            kind = 2
+        other = {k for s, _, e in base for k in range(s, e)} | {k for x in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) for k in range(*x.span())}
+        before = re.sub("[^A-Za-z]+" if kind else "[^A-Za-z0-9]+", "", "".join(" " if k in other else c for k, c in enumerate(text[: m.start()])))
+        before = (before.lower() if kind == 1 else before.upper() if kind == 2 else before)[-len(run) :]
+        case = [None, "lower", "upper"][kind]
+        out.append((*m.span(), 6 * kind + sum(len(run) > b for b in secrets.BANDS), secrets.score(run, case), secrets.score(before, case) if len(before) == len(run) else -1))
+    return out
+
+
+def test_thresholds_against_direct_computation(spark):
+    r = random.Random(14)
+    alphabets = [secrets.ENCODINGS[n] for n in ("base64", "lower", "upper", "base62")]
+    words = ["the", "there", "these", "teeth", "tree", "see", "set", "rest", "Esther", "street"]
+    rows = []
+    for k in range(400):
+        parts = [r.choice(words) for _ in range(40)]
+        for _ in range(2):
+            n = r.choice([22, 45, 46, 48])
+            parts.insert(r.randrange(30, 40), "".join(r.choice(alphabets[k % 4]) for _ in range(n)) if r.random() < 0.7 else "".join(r.choice(words) for _ in range(6)))
+        rows.append((k, " ".join(parts), "h"))
+    rows.append((900, 'x secret=abcdefghijklmnopqrstuvwx ' + 'ab ' * 30 + 'token: ' + 'Q' * 30 + ' deadbeefdeadbeefzz0123456789+ ' + 'cd ' * 9 + 'zydeadbeefdeadbeefyx01234567890 ' + 'A1' * 12 + ' ' + 'B2' * 15, 'h'))
+    every = [c for _, t, _ in rows for c in brute_candidates(t)]
+    assert {tuple(c) for _, t, _ in rows for c in secrets.candidates(t, secrets.base_spans(t))} == set(every)
+    want = {}
+    for b in {c[2] for c in every}:
+        own = [c for c in every if c[2] == b]
+        passed = lambda t, place: sum(0 <= c[place] <= t for c in own)  # noqa: E731, B023
+        good = [t for t in range(49) if passed(t, 3) and (passed(t, 4) + 1) / passed(t, 3) <= 0.05]
+        if not good and b < 6:
+            good = [t for t in range(9) if passed(t, 3) and passed(t, 4) <= 0.05 * passed(t, 3)]
+        if good:
+            want[b] = max(good)
+    assert secrets.thresholds(secrets.scan(frame(spark, rows))) == want and any(b >= 6 for b in want)
+    report = {x["doc_id"]: x["spans"] for x in secrets.secret_report(frame(spark, rows + rows[:3])).collect()}
+    for k, t, _ in rows:
+        spans = [(a, e) for a, e, b, s, _ in brute_candidates(t) if s <= want.get(b, -1)]
+        assert [s for s in report[k].split(",") if s.startswith("random")] == [f"random:{a}:{e}" for a, e in spans]
+
+
+def test_secrets_in_odd_tables(spark):
+    """Repeated rows, a very long run, columns with clashing names."""
+    key = "".join(random.Random(3).choice(secrets.ENCODINGS["base62"]) for _ in range(200_000))
+    rows = [(1, "token=abcdefghijkl", "h"), (1, "token=abcdefghijkl", "h"), (2, key, "h"), (3, None, None)]
+    docs = frame(spark, rows).withColumn("base", secrets.F.lit(1)).withColumn("cand", secrets.F.lit("x")).withColumn("spans", secrets.F.lit(2))
+    got = secrets.secret_report(docs)
+    assert got.columns == [f.split()[0] for f in secrets.REPORT.split(", ")] and Counter(x["doc_id"] for x in got.collect()) == {1: 2, 2: 1, 3: 1}
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    assert Counter((x["doc_id"], x["text"], x["base"], x["cand"]) for x in clean.where("doc_id <> 2").collect()) == Counter({(1, "[SECRET]", 1, "x"): 2, (3, None, 1, "x"): 1})
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
 # ---- byte-level BPE
 
 
@@ -450,6 +574,13 @@ def test_bpe_equals_the_library(spark, texts, tiktoken_encoding):
     assert byte_bpe.encode_report(frame(spark, []), tokenizer_file("byte_bpe_50k.tiktoken"), pattern()).count() == 0
 
 
+def test_bpe_of_repeated_rows_and_clashing_columns(spark):
+    docs = frame(spark, [(1, "one two", "h"), (1, "one two", "h"), (None, None, None)]).withColumn("ids", byte_bpe.F.lit(1)).withColumn("n_tokens", byte_bpe.F.lit("x"))
+    got = byte_bpe.encode_report(docs, tokenizer_file("byte_bpe_50k.tiktoken"), pattern())
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert Counter((x["doc_id"], x["n_tokens"], x["decoded_sha256"]) for x in got.collect()) == Counter([(1, 2, hashlib.sha256(b"one two").hexdigest())] * 2 + [(None, 0, hashlib.sha256(b"").hexdigest())])
+
+
 def test_bpe_on_random_strings(tiktoken_encoding):
     bpe = byte_bpe.encoder(tokenizer_file("byte_bpe_50k.tiktoken"), pattern())
     r = random.Random(4)
@@ -462,22 +593,69 @@ def test_bpe_on_random_strings(tiktoken_encoding):
 # ---- licenses
 
 
+def wrapped(text, width):
+    """A text cut into lines of so many characters, between words."""
+    out, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            out, line = [*out, line], ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*out, line])
+
+
+LICENSED = [
+    ("Copyright 2021, X\n" + licenses.TEXTS["MIT"].upper(), "MIT", ""),
+    ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"], "MIT", ""),
+    ("The MIT License (MIT)\n\n© 1999 X\nAll rights reserved.\n\n" + wrapped(licenses.TEXTS["MIT"], 40), "MIT", ""),
+    (licenses.TEXTS["Zlib"].replace("acknowledgment", "acknowledgement"), "Zlib", ""),
+    ("Words.\n  // Licensed under the MIT licence\nmore", None, "MIT-notice"),
+    ("Released under the MIT License.\r\nx\nLicensed under CC BY-SA 4.0\nReleased under the MIT License.", None, "CC-BY-SA-4.0-notice,MIT-notice"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-notice", "GPL-3.0-notice"),
+    (None, None, ""),
+    ("", None, ""),
+    ("MIT License", None, ""),
+    ("nothing", None, ""),
+    ("(c) You must keep this clause", None, ""),
+    ("x " * 60_000 + "\nLicensed under the MIT License.", None, "MIT-notice"),
+    *((wrapped(licenses.TEXTS["BSD-2-Clause"], n), "BSD-2-Clause", "") for n in range(20, 120, 3)),  # a line begins with each of its words
+]
+
+
 def test_licenses(spark):
-    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"]
-    rows = [(1, "Copyright 2021, X\n" + licenses.TEXTS["MIT"].upper(), "h"), (2, mit, "h"), (3, licenses.TEXTS["Zlib"].replace("acknowledgment", "acknowledgement"), "h"), (4, "Words.\n  // Licensed under the MIT licence\nmore", "h"), (5, None, "h"), (6, "", "h"), (7, "nothing", "h")]
-    got = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in licenses.license_scan(frame(spark, rows)).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, ""), 3: ("Zlib", ""), 4: (None, "MIT-notice"), 5: (None, ""), 6: (None, ""), 7: (None, "")}
+    rows = [(k, t, "h") for k, (t, _, _) in enumerate(LICENSED)] + [(0, LICENSED[0][0], None)]
+    docs = frame(spark, rows).withColumn("license", licenses.F.lit(1)).withColumn("digest", licenses.F.lit(1)).withColumn("row", licenses.F.lit(1)).withColumn("lines", licenses.F.lit(1))
+    got = Counter((r["doc_id"], r["license"], r["line_licenses"]) for r in licenses.license_scan(docs).collect())
+    assert got == Counter([(k, a, b) for k, (_, a, b) in enumerate(LICENSED)] + [(0, "MIT", "")])
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_spellings_and_notices(spark):
+    texts = {"b": "licence licence, favour", "a": "LICENSE license favor", "c": "Copyright law applies to it."}
+    rows = [(1, "license licence favour", "h"), (2, "copyright\nlaw applies to it", "h"), (3, "Copyright law, 2020, applies to it.", "h"), (4, "noncommercial centre", "h"), (5, "non commercial center", "h")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, rows), texts).collect()}
+    assert [got[k]["license"] for k in range(1, 6)] == ["a", "c", None, None, None] and got[4]["digest"] == got[5]["digest"]
+
+
+def test_licenses_in_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (t, _, _) in enumerate(LICENSED)])
+    rel = con.sql(licenses.oracle())
+    want = Counter(tuple(r[rel.columns.index(c)] for c in ("doc_id", "digest", "license", "line_licenses")) for r in rel.fetchall())
+    docs = frame(spark, [(k, t, "h") for k, (t, _, _) in enumerate(LICENSED)])
+    assert Counter(tuple(r) for r in licenses.license_scan(docs).select("doc_id", "digest", "license", "line_licenses").collect()) == want
+
+
 def test_full_licenses(spark):
     texts = licenses.full_texts()
-    wanted = ["Apache-2.0-text", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    wanted = sorted(texts)
     assert not set(texts) & set(licenses.TEXTS)
     rows = [(k, "Copyright (c) 2020, Somebody\n\n" + texts[name].upper().replace(" ", "  "), "h") for k, name in enumerate(wanted)]
-    rows += [(50, texts["GPL-3.0"] + "\nMore terms.", "h")]
+    rows += [(500, texts["GPL-3.0"] + "\nMore terms.", "h"), (501, "BSD 3-Clause License\n\n" + wrapped(texts["BSD-3-Clause"], 66), "h")]
     got = {r["doc_id"]: r["license"] for r in licenses.license_scan(frame(spark, rows)).collect()}
-    assert got == {**dict(enumerate(wanted)), 50: None}
+    assert got == {**dict(enumerate(wanted)), 500: None, 501: "BSD-3-Clause"}
 
 
 # ---- personal data
@@ -538,3 +716,36 @@ def test_decoding_equals_all_segmentations():
             total += crf.score(t, next(f for k, _, f in lattice[end] if k == e))
             e = end
         assert abs(total - best(len(spans))) < 1e-9
+
+
+def test_decoding_near_digits_equals_decoding_whole_texts():
+    crf, r = pii.trained(), random.Random(21)
+    pool = [t for t, _ in pii.sentences(300, seed=17)]
+    quiet = "lorem ipsum dolor at sit amet dot consectetur".split()
+    for _ in range(400):
+        text = " ".join(r.choice(pool) if r.random() < 0.5 else " ".join(r.choice(quiet) for _ in range(r.randint(1, 14))) for _ in range(r.randint(1, 5)))
+        spans = [m.span() for m in pii.TOKEN.finditer(text)]
+        whole = []
+        for k, e, label in crf.decode(crf.lattice(text, spans)):
+            a, b = pii.trimmed(text, spans[k][0], spans[e - 1][1])
+            whole += [(a, len(pii.BASE) + label - 1, b)] * (b > a)
+        assert pii.crf_spans(crf, text) == whole, text
+
+
+def test_entities_that_overlap_fixed_forms_go():
+    crf, r = pii.trained(), random.Random(22)
+    pool = [t for t, _ in pii.sentences(200, seed=18)]
+    for _ in range(200):
+        text = " ".join(r.choice(pool) for _ in range(r.randint(1, 6)))
+        base, every = pii.all_spans(crf, text)
+        want = [s for s in pii.crf_spans(crf, text) if not any(s[0] < b and a < s[2] for a, _, b in base)]
+        assert base == pii.base_spans(text) and every == sorted(base + want)
+
+
+def test_personal_data_in_odd_tables(spark):
+    """Repeated rows, very long texts, a very long token, columns with clashing names."""
+    rows = [(1, "mail a@b.de now", "h"), (1, "mail a@b.de now", "h"), (2, "word " * 100_000 + "mail a@b.de", "h"), (3, "9" * 300_000, "h"), (4, None, None)]
+    docs = frame(spark, rows).withColumn("spans", pii.F.lit(1)).withColumn("n_email", pii.F.lit(9))
+    got = pii.pii_report(docs)
+    assert got.columns == [f.split()[0] for f in pii.REPORT.split(", ")]
+    assert Counter((x["doc_id"], x["n_email"], x["spans"]) for x in got.collect()) == Counter([(1, 1, "email:5:11")] * 2 + [(2, 1, "email:500005:500011"), (3, 0, ""), (4, 0, "")])
