@@ -1,11 +1,15 @@
 """License scan by canonical digests, with DataFrame functions only.
 
-A text is put into canonical form (case, copyright lines, comment marks, punctuation, white space and equivalent
-spellings go), hashed with SHA-256 and looked up among the digests of known licenses. Whole texts are looked up, and so
-is each line, as notices of one line are the commonest form in web text.
+A text is put into canonical form line by line: copyright notices go, then case, punctuation, white space and equivalent
+spellings; the lines are joined, so that wrapping does not matter, and titles at the head go. A copyright notice is a line
+that begins with the word or sign and has a year, a sign or a place for one, or that only reserves all rights; other lines
+that begin with the word stay, as wrapped lines of a license may. The canonical text is hashed with SHA-256 and looked up
+among the digests of known licenses by a hash join. Whole texts are looked up, and so is each line, as notices of one line are
+the commonest form in web text.
 
 Defined cases: null and blank texts match nothing; equal rows are reported each; an empty table gives no rows; several
-names with one canonical text give the smallest name; other columns are ignored.
+names with one canonical text give the smallest name; a line that is a title alone matches nothing; very long texts are read
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import small_side
+from stemma.llm.common import materialize, small_side
 
 #: Spellings that license matching guidelines treat as equal, written form -> canonical form.
 SPELLINGS = (
@@ -45,78 +49,127 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT-notice": "Licensed under the MIT License.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "CC0-1.0": "Licensed under CC0 1.0.",
 }
 
+#: Licenses as one-line notices name them, and how such notices begin.
+NOTICE_NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "MIT": ("MIT License",),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0",),
+}
+NOTICE_STARTS = ("Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This project is licensed under")
+#: Titles that stand over license texts, in canonical form.
+TITLES = (
+    "mit license", "mit", "isc license", "isc", "bsd 2 clause license", "bsd 2 clause simplified license", "simplified bsd license", "2 clause bsd license",
+    "bsd 3 clause license", "bsd 3 clause new or revised license", "new bsd license", "3 clause bsd license", "zlib license", "zlib",
+)
+
+
+def notices() -> dict[str, list[str]]:
+    """License name -> notices of one line: each start with each name, with the article and without."""
+    return {f"{k}-notice": [f"{start} {the}{name}" for start in NOTICE_STARTS for the in ("", "the ") for name in names] for k, names in NOTICE_NAMES.items()}
+
 
 def full_texts() -> dict[str, str]:
     """Longer licenses in public use, from a data file beside this one; only the driver reads it."""
     return json.loads(Path(__file__).with_name("license_texts.json").read_text(encoding="utf-8"))
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text: copyright lines dropped, lower case, words of letters and digits only, spellings made equal."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$", " ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
-    t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
+YEAR = r"(19|20)[0-9][0-9]([^0-9]|$)"
+#: A copyright notice, on a line in lower case. Java and RE2 read these patterns alike.
+COPYRIGHT = rf"^[^\p{{L}}\p{{N}}(©]*(copyright([^\p{{L}}\p{{N}}][^\n]*)?(\(c\)|©|[^0-9]{YEAR}|[<\[{{](yyyy|year))|©|\(c\) *(copyright|{YEAR})|all +rights +reserved[^\p{{L}}\p{{N}}]*$)"
+HEAD = rf"^( (?:the  )?(?:{'|'.join(t.replace(' ', '  ') for t in sorted(TITLES, key=len, reverse=True))}) )+"
+
+
+def canonical_line(line: Column) -> Column:
+    """A line in canonical form: its words, each between two blanks of its own, so that neighbours have none in common; empty for a
+    copyright notice."""
+    t = F.lower(line)
+    words = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  "))
+    out = F.concat(F.lit(" "), words, F.lit(" "))
     for old, new in SPELLINGS:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(t)
+        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.when(t.rlike(COPYRIGHT) | (words == ""), "").otherwise(out)
+
+
+def without_titles(text: Column) -> Column:
+    """Canonical lines joined, without the titles at the head."""
+    return F.regexp_replace(text, HEAD, "")
+
+
+def lines_of(text: Column) -> Column:
+    """The canonical lines of a text that have words."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line), lambda x: x != "")
+
+
+def digest_of(lines: Column) -> Column:
+    return F.sha2(without_titles(F.array_join(lines, "")), 256)
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """digest, license of known texts; by default TEXTS and full_texts(). The caller's table of texts is the size bound of the lookup."""
-    known = spark.createDataFrame(sorted((texts or TEXTS | full_texts()).items()), "license string, text string")
-    return known.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    """digest, license of known texts; by default TEXTS, notices() and full_texts(). The caller's table of texts may have any size."""
+    rows = list(texts.items()) if texts is not None else [*TEXTS.items(), *full_texts().items(), *((k, t) for k, ts in notices().items() for t in ts)]
+    known = spark.createDataFrame(sorted(rows), "license string, text string")
+    return known.groupBy(digest_of(lines_of(F.col("text"))).alias("digest")).agg(F.min("license").alias("license")).where(F.col("digest") != EMPTY)
 
 
-def scan_units(units: DataFrame, known: DataFrame) -> DataFrame:
-    """units (any columns and text) with license where the whole text is known; other rows go."""
-    return units.withColumn("digest", F.sha2(canonical(F.col("text")), 256)).join(small_side(known), "digest")
+#: The digest of no words at all, which no text is known by.
+EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def license_scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, digest, license (null if the whole text is none), line_licenses (sorted names on lines of it) for each row of docs."""
-    spark = docs.sparkSession
-    known = known_digests(spark, texts)
-    # Lines are looked up in the row itself: the known digests travel as one map literal of their bounded number.
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("m")).scalar()
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    names = F.array_compact(F.transform(lines, lambda x: F.try_element_at("known", F.sha2(canonical(x), 256))))
-    found = docs.select("doc_id", "text", table.alias("known")).select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("line_licenses"))
-    return found.join(small_side(known), "digest", "left").select("doc_id", "digest", "license", "line_licenses")
+    """doc_id, digest, license (null if the whole text is none), line_licenses (sorted names on lines of it) for each row of docs.
+
+    Each row's digests are written once; the lines' digests then meet the known ones in a hash join, and the few rows that have a known
+    line come back by number. Sides are broadcast only if they have been counted and are small."""
+    known = materialize(known_digests(docs.sparkSession, texts), "known")
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines_of(F.col("text")).alias("lines"))
+    line_digests = F.array_distinct(F.transform("lines", lambda x: F.unhex(F.sha2(without_titles(x), 256))))
+    written = materialize(lines.select("doc_id", "row", digest_of(F.col("lines")).alias("digest"), line_digests.alias("lines")), "digests")
+    by_line = small_side(known.select(F.unhex("digest").alias("line"), F.col("license").alias("name")))
+    hits = written.select("row", F.explode("lines").alias("line")).join(by_line, "line")
+    named = materialize(hits.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("line_licenses")), "named")
+    out = written.drop("lines").join(small_side(named), "row", "left").join(small_side(known), "digest", "left")
+    return out.select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
 def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql_canonical(x: str) -> str:
-    x = rf"lower({x})"
-    x = rf"regexp_replace({x}, '(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
-    x = rf"' ' || trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+def _sql_line(x: str) -> str:
+    words = rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', '  ', 'g'))"
+    out = f"' ' || {words} || ' '"
     for old, new in SPELLINGS:
-        x = f"replace({x}, ' {old} ', ' {new} ')"
-    return f"trim({x})"
+        out = f"replace({out}, ' {old} ', ' {new.replace(' ', '  ')} ')"
+    return f"CASE WHEN regexp_matches(lower({x}), {_sql_text(COPYRIGHT)}) OR {words} = '' THEN '' ELSE {out} END"
+
+
+def _sql_digest(x: str) -> str:
+    return f"sha256(regexp_replace({x}, {_sql_text(HEAD)}, ''))"
 
 
 def oracle(texts: dict[str, str] | None = None) -> str:
     """DuckDB SQL for license_scan(documents), on tables without a text of full_texts()."""
-    rows = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in sorted((texts or TEXTS).items()))
+    pairs = sorted(texts.items()) if texts is not None else sorted([*TEXTS.items(), *((k, t) for k, ts in notices().items() for t in ts)])
+    rows = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in pairs)
     return f"""
-WITH known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(l) AS license FROM (VALUES {rows}) v(l, t) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-lines AS (SELECT DISTINCT r, license FROM (SELECT r, sha256({_sql_canonical("x")}) AS digest FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d)) JOIN known USING (digest)),
-found AS (SELECT r, string_agg(license, ',' ORDER BY license) AS ls FROM lines GROUP BY r)
-SELECT doc_id, sha256({_sql_canonical("text")}) AS digest, license, coalesce(ls, '') AS line_licenses
-FROM d LEFT JOIN found USING (r) LEFT JOIN known ON known.digest = sha256({_sql_canonical("text")})
+WITH src AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id, NULL AS l, coalesce(text, '') AS t FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, l, t FROM (VALUES {rows}) v(l, t)),
+cut AS (SELECT kind, r, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM (SELECT kind, r, string_split(t, chr(10)) AS xs FROM src)),
+canon AS (SELECT * FROM (SELECT kind, r, i, {_sql_line("x")} AS c FROM cut) WHERE c <> ''),
+whole AS (SELECT kind, r, string_agg(c, '' ORDER BY i) AS c FROM canon GROUP BY 1, 2),
+full_digest AS (SELECT s.kind, s.r, s.doc_id, s.l, {_sql_digest("coalesce(w.c, '')")} AS digest FROM src s LEFT JOIN whole w USING (kind, r)),
+known AS (SELECT digest, min(l) AS license FROM full_digest WHERE kind = 1 AND digest <> '{EMPTY}' GROUP BY 1),
+found AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS ls FROM (SELECT r, {_sql_digest("c")} AS digest FROM canon WHERE kind = 0) JOIN known USING (digest) GROUP BY r)
+SELECT doc_id, digest, license, coalesce(ls, '') AS line_licenses
+FROM (SELECT * FROM full_digest WHERE kind = 0) LEFT JOIN found USING (r) LEFT JOIN known USING (digest)
 """
