@@ -6,10 +6,12 @@ higher columns (a negative weight takes the complement), and full adders reduce
 bit slices of all rows' scores. The best k rows are then selected from the most significant slice downward; rows that tie
 at the boundary are resolved by their ids, and the chosen rows' scores are computed from the integers themselves.
 
-Queries and rows meet in blocks: each task has one block of queries and one block of rows, and its k best of each query go on.
+Rows stay in blocks of bounded bytes, and the queries go to the blocks: a block's rows reach its task before the queries, which
+pass by in batches, so one index serves them all and neither all rows nor all queries are ever in one task's memory. The k best
+of each query in each block go on. Where there are fewer blocks than cores, some tasks share a block's queries.
 
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part, nor do rows with a null
-id; shorter vectors count as padded with zeros; equal query rows are answered once; rows with the query's id are its own;
+id; shorter vectors count as padded with zeros; repeated rows under one id are rows each; equal query rows are answered once; rows with the query's id are its own;
 an empty table gives no rows; scores that may not fit a long raise ValueError; other columns are ignored.
 """
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from stemma.llm.common import materialize, tidy, to_batch
 
-ROWS, QUERIES = 65_536, 256
+#: Bytes of a block's integers in memory, and most vectors in it.
+BLOCK_BYTES, BLOCK_ROWS = 64_000_000, 65_536
 
 
 class BitSlicedIndex:
@@ -119,34 +122,56 @@ def _quantise(scale: float):
     return run
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims), dtype=np.int64)
-    for k, v in enumerate(column.to_pylist()):
-        x = np.frombuffer(v, dtype="<i4")
+def _matrix(vectors: list[bytes], dims: int) -> np.ndarray:
+    """Vectors as rows of dims integers: shorter ones padded with zeros, longer ones cut."""
+    out = np.zeros((len(vectors), dims), dtype=np.int64)
+    for k, v in enumerate(vectors):
+        x = np.frombuffer(v, dtype="<i4")[:dims]
         out[k, : len(x)] = x
     return out
 
 
+class Block:
+    """The rows of one block, in the order of their ids, and an index that is made when the first query comes."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.raw: list[bytes] = []
+        self.index: BitSlicedIndex | None = None
+
+    def best(self, query_id: int, query: bytes, k: int) -> tuple[list[int], list[int]]:
+        """(ids, scores) of the k best rows that do not have the query's id."""
+        if not self.ids:
+            return [], []
+        if self.index is None:
+            rows = _matrix(self.raw, max(1, max(map(len, self.raw)) // 4))
+            self.index, self.order, self.largest, self.raw = BitSlicedIndex(rows), np.array(self.ids), float(np.abs(rows).max()), []
+        weights = _matrix([query], self.index.dims)[0]
+        if self.largest * float(np.abs(weights).sum()) >= 2**62:
+            raise ValueError("scores may not fit a long")
+        at = self.index.top(weights.tolist(), k, np.arange(*np.searchsorted(self.order, [query_id, query_id + 1])))
+        return self.order[at].tolist(), (self.index.rows[at] @ weights).tolist()
+
+
 def _search(k: int):
+    """Answers from a stream of (task, query, id, v) in the order of task and query: a block's rows, then its queries."""
     schema = pa.schema([("query_id", pa.int64()), ("query", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        rows = rows.sort_by("id")
-        dims = max(len(v) for t in (rows, queries) for v in t.column("v").to_pylist()) // 4
-        ids, x, q = rows.column("id").to_numpy(), _matrix(rows.column("v"), dims), _matrix(queries.column("v"), dims)
-        if float(np.abs(x).max()) * float(np.abs(q).sum(axis=1).max()) >= 2**62:
-            raise ValueError("scores may not fit a long")
-        index, out = BitSlicedIndex(x), {f.name: [] for f in schema}
-        for i, raw, weights in zip(queries.column("id").to_pylist(), queries.column("v").to_pylist(), q, strict=True):
-            own = np.arange(*np.searchsorted(ids, [i, i + 1]))
-            at = index.top(weights.tolist(), k, own)
-            out["query_id"] += [i] * len(at)
-            out["query"] += [raw] * len(at)
-            out["vec_id"] += ids[at].tolist()
-            out["score"] += (x[at] @ weights).tolist()
-        return pa.table(out, schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, Block()
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for task, is_query, i, v in zip(*(batch.column(c).to_pylist() for c in ("task", "query", "id", "v")), strict=True):
+                if task != held:
+                    held, block = task, Block()
+                if not is_query:
+                    block.ids.append(i)
+                    block.raw.append(v)
+                    continue
+                ids, scores = block.best(i, v, k)
+                for name, values in zip(out, ([i] * len(ids), [v] * len(ids), ids, scores), strict=True):
+                    out[name] += values
+            yield to_batch(out, schema)
 
     return run
 
@@ -156,13 +181,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0) -
     queries (id, v) but those with its id."""
     rows = materialize(vectors.mapInArrow(tidy(_quantise(scale)), "id long, v binary"), "vectors")
     asked = materialize(queries.mapInArrow(tidy(_quantise(scale)), "id long, v binary").distinct(), "queries")
-    row_blocks, query_blocks = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
+    held = rows.agg(F.count("*").alias("n"), F.max(F.octet_length("v")).alias("width")).first()
+    per_block = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(8, 2 * (held["width"] or 0))))
+    blocks = max(1, -(-held["n"] // per_block))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, cores // blocks)  # of the queries: more than one only for small tables
     part = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Blocks by id: rows of one id, if they are many, still spread by their number within the partition that read them.
-    left = rows.select("id", "v", part(row_blocks, "id", "v", F.spark_partition_id()).alias("rb")).withColumn("qb", every(query_blocks))
-    right = asked.select("id", "v", part(query_blocks, "id", "v").alias("qb")).withColumn("rb", every(row_blocks))
-    best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_search(k), "query_id long, query binary, vec_id long, score long")
+    # Rows of one id or value, if they are many, still spread by the partition that read them.
+    left = rows.select(F.lit(False).alias("query"), "id", "v", part(blocks, "id", "v", F.spark_partition_id()).alias("block")).withColumn("share", every(shares))
+    right = asked.select(F.lit(True).alias("query"), "id", "v", part(shares, "id", "v").alias("share")).withColumn("block", every(blocks))
+    both = left.unionByName(right).select((F.col("block") * shares + F.col("share")).alias("task"), "query", "id", "v")
+    # A few tasks would often meet in one partition by their hash: they get more partitions than they fill.
+    stream = both.repartition(max(blocks * shares, min(8 * blocks * shares, 8 * cores)), "task").sortWithinPartitions("task", "query", "id", "v")
+    best = stream.mapInArrow(tidy(_search(k)), "query_id long, query binary, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
