@@ -3,12 +3,15 @@
 Fixed forms (email, ip, card, phone) are found by regular expression and checks. Besides them, a semi-Markov CRF labels
 whole segments of up to MAX_TOKENS tokens: features of the entire segment (its shape, digits, checksum, the word before it)
 score each candidate with each type, everything else is single outside tokens, and dynamic programming over bounded
-segments chooses boundaries and types together. A segment without a digit or an at sign is never an entity, so decoding only
-visits the tokens near such characters; all others are outside with certainty. The weights are trained here, by
+segments chooses boundaries and types together. An entity is bounded: at most MAX_TOKENS tokens and MAX_CHARS characters, and
+never without a digit, an at sign or an address in words. So decoding only visits the tokens near such characters; all others
+are outside with certainty, and a longer run of characters is none of the types (features of a single token outside read its
+first MAX_FEATURE characters). The weights are trained here, by
 gradient ascent on the log-likelihood of sentences made from templates (TRAINING_SENTENCES, SEED), once for each driver.
 
 Defined cases: a null text is an empty one, without spans; equal rows are reported each; an empty table gives no rows; very
-long texts are read whole, and decoding is linear in their tokens; other columns are ignored.
+long texts are read whole, and decoding is linear in their tokens; segmentations of equal score go by the shortest last
+segment and the first type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,7 +75,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the model
 
-MAX_TOKENS, REACH = 5, 3
+#: Scores that differ by less are equal: sums over parts of a text round in another way than sums over all of it.
+SAME = 1e-10
+MAX_TOKENS, MAX_CHARS, MAX_FEATURE, REACH = 5, 80, 120, 5
 TRAINING_SENTENCES, EPOCHS, RATE, DECAY, SEED = 240, 6, 0.3, 1e-3, 7
 HOT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
@@ -114,19 +119,19 @@ class SemiCrf:
     def __init__(self, weights: dict[tuple[int, str], float] | None = None):
         self.weights = weights or {}
 
-    def lattice(self, text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int, tuple[str, ...]]]]:
-        """For each end (token number + 1): (start token, 0 or 1 for entities allowed, features)."""
+    def lattice(self, text: str, spans: list[tuple[int, int]], first: str = "") -> list[list[tuple[int, int, tuple[str, ...]]]]:
+        """For each end (token number + 1): (start token, 0 or 1 for entities allowed, features). first: the token before them all."""
         out = [[] for _ in range(len(spans) + 1)]
         for e in range(1, len(spans) + 1):
             for n in range(1, min(MAX_TOKENS, e) + 1):
                 k = e - n
                 a, b = trimmed(text, spans[k][0], spans[e - 1][1])
                 s = text[a:b]
-                entity = b - a <= 80 and HOT.search(s) is not None or " at " in s and " dot " in s
+                entity = b - a <= MAX_CHARS and HOT.search(s) is not None or " at " in s and " dot " in s
                 if n > 1 and not entity:
                     continue
-                before = text[slice(*spans[k - 1])].lower().rstrip(":,") if k else ""
-                out[e].append((k, int(entity), segment_features(s[:120], n, before)))
+                before = (text[slice(*spans[k - 1])] if k else first).lower().rstrip(":,")
+                out[e].append((k, int(entity), segment_features(s[:MAX_FEATURE], n, before)))
         return out
 
     def score(self, label: int, features: tuple[str, ...]) -> float:
@@ -144,7 +149,7 @@ class SemiCrf:
             for k, entity, features in lattice[e]:
                 for label in self.labels(k, e, entity):
                     v = best[k] + self.score(label, features)
-                    if v > best[e]:
+                    if v > best[e] + SAME:
                         best[e], back[e] = v, (k, label)
         out, e = [], len(lattice) - 1
         while e:
@@ -271,7 +276,7 @@ def crf_spans(crf: SemiCrf, text: str) -> list[tuple[int, int, int]]:
         first, last = near[start], near[i - 1] + 1
         start = i
         region = spans[first:last]
-        for k, e, label in crf.decode(crf.lattice(text, region)):
+        for k, e, label in crf.decode(crf.lattice(text, region, text[slice(*spans[first - 1])] if first else "")):
             a, b = trimmed(text, region[k][0], region[e - 1][1])
             if b > a:
                 out.append((a, len(BASE) + label - 1, b))
@@ -281,7 +286,13 @@ def crf_spans(crf: SemiCrf, text: str) -> list[tuple[int, int, int]]:
 def all_spans(crf: SemiCrf, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(fixed forms, those and the entities that overlap none of them), each sorted."""
     base = base_spans(text)
-    more = [s for s in crf_spans(crf, text) if not any(s[0] < b and a < s[2] for a, _, b in base)]
+    more, k, reach = [], 0, 0  # the fixed forms before k begin before the entity, and reach so far
+    for span in sorted(crf_spans(crf, text)):
+        while k < len(base) and base[k][0] < span[2]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= span[0]:
+            more.append(span)
     return base, sorted(base + more)
 
 
