@@ -1,23 +1,31 @@
 """WARC records in ZIP packages: a writer, and a reader that never extracts a member.
 
-A package is a ZIP file with stored members: archive/data.warc (the records) and indexes/index.cdx (a line for each record:
-offset in the member, length, type, record id). The reader takes the end of the file, finds the end record of the central
-directory (and the ZIP64 end record where there is one), parses the directory with its ZIP64 fields, locates the members,
-reads the index, and hands out byte ranges; tasks then read the ranges and parse the records in them.
+A package is a ZIP file with stored members: archives (*.warc or *.warc.gz, whose records are gzip members of their own) and
+indexes (*.cdx, *.cdxj, or either with .gz) that give the offset and length of each record in its archive. The reader takes
+the end of the file, finds the end record of the central directory (and the ZIP64 end record where there is one), parses the
+directory with its ZIP64 fields, locates the members, reads the indexes, and hands out byte ranges; tasks then read the ranges
+and parse the records in them. An archive that no index names is read from its start to its end by one task. The writer makes
+one archive, archive/data.warc.gz (or data.warc), and one index, indexes/index.cdxj, for each package.
 
 Files are opened by pyarrow's file systems, from the URI of the shared folder (local, HDFS, S3, GCS). A task writes under a
 name of its own attempt and renames the package when it is whole, so a repeated task leaves the same packages.
 
 Defined cases: a null payload is empty; of equal payloads the record with the smallest page_id is the response (nulls after
-all others; every row with that page_id), others revisit it; an empty table makes no packages and gives no rows; other
-columns are ignored.
+all others; every row with that page_id), others revisit it; rows without a page_id have record ids of their own; rows that are
+equal in page_id, url and payload are one record written again, under one id; an empty table makes no packages and gives no
+rows; compressed members of a package are left alone, but a compressed or encrypted archive raises ValueError, as it has no
+byte ranges; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import json
+import re
 import struct
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,37 +42,47 @@ from stemma.llm.common import fresh_folder, materialize, tidy, to_batch
 PACKAGE_BYTES, RANGE_BYTES = 128_000_000, 4_000_000
 MAX32 = 0xFFFFFFFF
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "1970-01-01T00:00:00Z"
+DATE, DATE_KEY = "1970-01-01T00:00:00Z", "19700101000000"
+ARCHIVE, INDEX = re.compile(r"\.warc(\.gz)?$", re.IGNORECASE), re.compile(r"\.cdxj?(\.gz)?$", re.IGNORECASE)
+#: Fields of an index in columns without a header line, by their usual letters: S is the length, V the offset, g the archive.
+CDX_FIELDS = "N b a m s k r M S V g".split()
 
 
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: int | None, sha: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{sha}')}>"
+def record_id(page: int | None, url: str | None, sha: str) -> str:
+    """The id of a page's record: the same wherever it is named. Without a page the record is named nowhere, and has any id."""
+    return f"<urn:uuid:{uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{sha}:{url}')}>"
 
 
-def warc_record(page: int | None, url: str, payload: bytes, sha: str, refers_to: int | None = None, revisit: bool = False) -> bytes:
-    """A response record, or a revisit record that has the HTTP header alone."""
+def target_uri(url: str | None) -> str:
+    """A URL on one line without blanks: other characters than visible ASCII are percent-encoded."""
+    return urllib.parse.quote(url or "", safe="".join(chr(c) for c in range(33, 127)), errors="surrogatepass")
+
+
+def warc_record(page: int | None, url: str | None, payload: bytes, sha: str, refers_to: dict | None = None) -> bytes:
+    """A response record, or a revisit record (refers_to: page_id and url of its response) that has the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    target = "".join(c for c in url if c > " ")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page, sha)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response"]
+    block = http + payload if refers_to is None else http
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, url, sha)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target_uri(url)}", f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response"]
     lines += [f"X-Page-Id: {page}"] if page is not None else []
-    lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, sha)}"] if revisit else []
+    lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to['page_id'], refers_to['url'], sha)}"] if refers_to else []
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """The header fields (lower case) and the payload of one record: what follows the HTTP header."""
+    """The header fields (lower case) and the payload of one record: what follows the HTTP header, if there is one."""
     end = data.index(b"\r\n\r\n")
-    version, *lines = data[:end].decode("utf-8").split("\r\n")
+    version, *lines = data[:end].decode("utf-8", "replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
     block = data[end + 4 : end + 4 + int(fields["content-length"])]
-    return fields, block[block.index(b"\r\n\r\n") + 4 :]
+    if len(block) < int(fields["content-length"]):
+        raise ValueError("a record is cut short")
+    return fields, block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
 
 
 class ZipWriter:
@@ -107,10 +125,11 @@ class Member:
     start: int  # of the data
     size: int
     crc: int
+    stored: bool = True
 
 
 class ZipReader:
-    """Stored members of a ZIP file that can be read at any place."""
+    """Members of a ZIP file that can be read at any place."""
 
     def __init__(self, file, size: int):
         self.file, self.size = file, size
@@ -143,6 +162,11 @@ class ZipReader:
         return start, size, entries
 
     def members(self) -> Iterator[Member]:
+        """The stored members."""
+        return (m for m in self.every_member() if m.stored)
+
+    def every_member(self) -> Iterator[Member]:
+        """All members; for those that are compressed or encrypted only the name counts."""
         start, size, entries = self.directory()
         data, at = self.read(start, size), 0
         for _ in range(entries):
@@ -161,14 +185,16 @@ class ZipReader:
                 k += 4 + length
             at = end + comment
             if method or flags & 1:
-                continue  # compressed or encrypted: it cannot be read by ranges
+                yield Member(name, offset, packed, crc, False)
+                continue
             mark, n, extra = struct.unpack("<4s22xHH", self.read(offset, 30))
             if mark != b"PK\x03\x04":
                 raise ValueError("bad local header")
             yield Member(name, offset + 30 + n + extra, plain, crc)
 
 
-def _write(folder: str):
+def _write(folder: str, packed: bool):
+    archive = "data.warc.gz" if packed else "data.warc"
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +208,12 @@ def _write(folder: str):
             state.update(final=name, temp=f"{name}.{task.taskAttemptId()}.tmp", index=[])
             state["stream"] = store.open_output_stream(state["temp"])
             state["zip"] = ZipWriter(state["stream"])
-            state["zip"].begin("archive/data.warc")
+            state["zip"].begin(f"archive/{archive}")
 
         def close_package():
             z = state["zip"]
             z.end()
-            z.begin("indexes/index.cdx")
+            z.begin("indexes/index.cdxj")
             z.write("".join(state["index"]).encode())
             z.end()
             z.close()
@@ -203,9 +229,11 @@ def _write(folder: str):
                         store.create_dir(root, recursive=True)
                     open_package()
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-                data = warc_record(row["page_id"], row["url"] or "", payload, digest32(payload), row["first"], row["revisit"])
+                data = warc_record(row["page_id"], row["url"], payload, digest32(payload), row["first"] if row["revisit"] else None)
+                data = gzip.compress(data, 1, mtime=0) if packed else data
                 z = state["zip"]
-                state["index"].append(f"{z.member[3]} {len(data)} {'revisit' if row['revisit'] else 'response'} {row['page_id']}\n")
+                where = json.dumps({"offset": str(z.member[3]), "length": str(len(data)), "filename": archive})
+                state["index"].append(f"{target_uri(row['url']) or '-'} {DATE_KEY} {where}\n")
                 z.write(data)
                 if z.member[3] >= PACKAGE_BYTES:
                     close_package()
@@ -216,77 +244,173 @@ def _write(folder: str):
     return run
 
 
-def write_packages(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Write pages (page_id, url, html) to packages in a folder of the shared one; (folder, written table of path, bytes, records)."""
+def write_packages(pages: DataFrame, folder: str | None = None, packed: bool = True) -> tuple[str, DataFrame]:
+    """Write pages (page_id, url, html) to packages in a folder of the shared one; (folder, written table of path, bytes, records).
+    packed: each record is a gzip member of the archive."""
     folder = folder or fresh_folder(pages.sparkSession, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("sha", F.sha1(F.coalesce(F.col("html"), F.lit(""))))
-    first = p.groupBy("sha").agg(F.min("page_id").alias("first"))
-    marked = p.join(first, "sha").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", "html", "first", "revisit")
-    return folder, materialize(marked.mapInArrow(tidy(_write(folder)), "path string, bytes long, records long"), "packages")
+    first = p.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"))
+    marked = p.join(first, "sha").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", "url", "html", "first", "revisit")
+    return folder, materialize(marked.mapInArrow(tidy(_write(folder, packed)), "path string, bytes long, records long"), "packages")
+
+
+def parse_index(text: str) -> Iterator[tuple[str, int, int]]:
+    """(archive or "", offset, length or -1) of each line of an index: JSON after a key and a time, or columns by letters."""
+    fields = CDX_FIELDS
+    for line in text.splitlines():
+        if line.lstrip().upper().startswith("CDX "):
+            fields = line.split()[1:]
+        elif (at := line.find("{")) >= 0:
+            x = json.loads(line[at:])
+            if "offset" in x:
+                yield x.get("filename", ""), int(x["offset"]), int(x.get("length", -1))
+        elif len(parts := line.split()) == len(fields) and (x := dict(zip(fields, parts, strict=True)))["V"].isdigit():
+            yield x.get("g", ""), int(x["V"]), int(x["S"]) if x.get("S", "-").isdigit() else -1
+
+
+def package_ranges(reader: ZipReader, path: str) -> Iterator[tuple[int, list[int], int]]:
+    """(start, lengths of the records, bytes) of consecutive records in the archives of a package; no lengths: bytes to read through."""
+    members = list(reader.every_member())
+    archives = [m for m in members if ARCHIVE.search(m.name)]
+    for m in archives:
+        if not m.stored:
+            raise ValueError(f"{path}: {m.name} is compressed or encrypted, and has no byte ranges")
+    places: dict[str, dict[int, int]] = {m.name: {} for m in archives}
+    for m in members:
+        if not INDEX.search(m.name):
+            continue
+        if not m.stored:
+            raise ValueError(f"{path}: {m.name} is compressed or encrypted")
+        data = reader.read(m.start, m.size)
+        if zlib.crc32(data) != m.crc:
+            raise ValueError(f"{path}: the index is damaged")
+        for name, offset, length in parse_index((gzip.decompress(data) if m.name.lower().endswith(".gz") else data).decode("utf-8")):
+            named = [a for a in archives if a.name == name or a.name.endswith("/" + name)] or (archives if len(archives) == 1 and not name else [])
+            if not named:
+                raise ValueError(f"{path}: {m.name} names {name}, which is not there")
+            places[named[0].name][offset] = max(length, places[named[0].name].get(offset, -1))
+    for m in archives:
+        if not places[m.name]:
+            if m.size:
+                yield m.start, [], m.size
+            continue
+        offsets = sorted(places[m.name])
+        start, lengths = offsets[0], []
+        for offset, after in zip(offsets, [*offsets[1:], m.size], strict=True):
+            if lengths and (offset != start + sum(lengths) or sum(lengths) >= RANGE_BYTES):
+                yield m.start + start, lengths, sum(lengths)
+                start, lengths = offset, []
+            length = places[m.name][offset]
+            lengths.append(length if length >= 0 else after - offset)
+        yield m.start + start, lengths, sum(lengths)
 
 
 def _ranges(folder: str):
-    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("lengths", pa.list_(pa.int64()))])
+    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("lengths", pa.list_(pa.int64())), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 with store.open_input_file(path) as file:
-                    reader = ZipReader(file, size)
-                    members = {m.name: m for m in reader.members()}
-                    warc, index = members["archive/data.warc"], members["indexes/index.cdx"]
-                    data = reader.read(index.start, index.size)
-                if zlib.crc32(data) != index.crc:
-                    raise ValueError(f"{path}: the index is damaged")
-                starts, lengths, held, out = None, [], 0, {"path": [], "start": [], "lengths": []}
-                for line in data.decode().splitlines():
-                    offset, length = map(int, line.split(" ", 2)[:2])
-                    if starts is None:
-                        starts = warc.start + offset
-                    lengths.append(length)
-                    held += length
-                    if held >= RANGE_BYTES:
-                        out = {"path": [*out["path"], path], "start": [*out["start"], starts], "lengths": [*out["lengths"], lengths]}
-                        starts, lengths, held = None, [], 0
-                if lengths:
-                    out = {"path": [*out["path"], path], "start": [*out["start"], starts], "lengths": [*out["lengths"], lengths]}
-                yield to_batch(out, schema)
+                    found = list(package_ranges(ZipReader(file, size), path))
+                yield to_batch({"path": [path] * len(found), "start": [x[0] for x in found], "lengths": [x[1] for x in found], "size": [x[2] for x in found]}, schema)
 
     return run
 
 
+def unpacked(data: bytes) -> bytes:
+    """A record as it is, or out of its gzip member."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def through(file, start: int, size: int) -> Iterator[bytes]:
+    """The records of an archive without an index, one after another; at most one record and a buffer are held."""
+    file.seek(start)
+    left, held, raw = size, b"", b""
+    gz = None
+
+    def more() -> bool:
+        nonlocal left, held, raw, gz
+        while True:
+            if not raw:
+                raw = file.read(min(left, 1 << 20))
+                if not raw:
+                    return False
+                left -= len(raw)
+                if gz is None and size - left == len(raw) and raw[:2] == b"\x1f\x8b":
+                    gz = zlib.decompressobj(31)
+            if gz is None:
+                held, raw = held + raw, b""
+                return True
+            out = gz.decompress(raw)
+            raw = gz.unused_data
+            gz = zlib.decompressobj(31) if gz.eof else gz
+            if out:
+                held += out
+                return True
+
+    while True:
+        held = held.lstrip(b"\r\n")
+        while b"\r\n\r\n" not in held:
+            if not more():
+                if held.strip():
+                    raise ValueError("the archive is cut short")
+                return
+            held = held.lstrip(b"\r\n")
+        end = held.index(b"\r\n\r\n") + 4
+        length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", held[:end])
+        if not length:
+            raise ValueError("a record has no length")
+        while len(held) < end + int(length[1]):
+            if not more():
+                raise ValueError("the archive is cut short")
+        yield held[: end + int(length[1])]
+        held = held[end + int(length[1]) :]
+
+
 def _read(folder: str):
     schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
+    def records(file, start: int, lengths: list[int], size: int) -> Iterator[bytes]:
+        if not lengths:
+            yield from through(file, start, size)
+            return
+        file.seek(start)
+        data, at = file.read(size), 0
+        for n in lengths:
+            yield unpacked(data[at : at + n])
+            at += n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, start, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "lengths")), strict=True):
+            for path, start, lengths, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "lengths", "size")), strict=True):
                 with store.open_input_file(path) as file:
-                    file.seek(start)
-                    data = file.read(sum(lengths))
-                rows: dict[str, list] = {f.name: [] for f in schema}
-                at = 0
-                for n in lengths:
-                    fields, payload = parse_record(data[at : at + n])
-                    at += n
-                    revisit = fields["warc-type"] == "revisit"
-                    sha = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if not revisit and digest32(payload) != sha:
-                        raise ValueError(f"{path}: a payload does not have its digest")
-                    page = fields.get("x-page-id")
-                    for k, v in zip(rows, (int(page) if page else None, fields["warc-record-id"], fields["warc-type"], fields.get("warc-refers-to"), fields["warc-target-uri"], sha, None if revisit else payload), strict=True):
-                        rows[k].append(v)
-                yield to_batch(rows, schema)
+                    rows, held = {f.name: [] for f in schema}, 0
+                    for data in records(file, start, lengths, size):
+                        fields, payload = parse_record(data)
+                        kind, sha = fields["warc-type"], fields.get("warc-payload-digest", "")
+                        own = digest32(payload)
+                        if kind == "response" and sha.startswith("sha1:") and len(sha) == 37 and own != sha[5:]:
+                            raise ValueError(f"{path}: a payload does not have its digest")
+                        page = fields.get("x-page-id")
+                        values = int(page) if page else None, fields["warc-record-id"], kind, fields.get("warc-refers-to"), fields.get("warc-target-uri"), sha.removeprefix("sha1:") or own, None if kind == "revisit" else payload
+                        for k, v in zip(rows, values, strict=True):
+                            rows[k].append(v)
+                        held += len(payload)
+                        if held > RANGE_BYTES:
+                            yield to_batch(rows, schema)
+                            rows, held = {f.name: [] for f in schema}, 0
+                    yield to_batch(rows, schema)
 
     return run
 
 
 def read_packages(folder: str, packages: DataFrame) -> DataFrame:
-    """The records of packages (path, bytes): page_id, record_id, record_type, refers_to_id, target_uri, payload_digest, payload
-    (null for revisits). The byte ranges are dealt out anew, so that one large package is read by many tasks."""
-    ranges = packages.select("path", "bytes").mapInArrow(tidy(_ranges(folder)), "path string, start long, lengths array<long>")
+    """The records of packages (path, bytes): page_id (null unless this writer's), record_id, record_type, refers_to_id, target_uri,
+    payload_digest, payload (null for revisits). The byte ranges are dealt out anew, so that one large package is read by many tasks."""
+    ranges = packages.select("path", "bytes").mapInArrow(tidy(_ranges(folder)), "path string, start long, lengths array<long>, size long")
     spread = ranges.repartition(packages.sparkSession.sparkContext.defaultParallelism * 4, "path", "start")
     return spread.mapInArrow(tidy(_read(folder)), "page_id long, record_id string, record_type string, refers_to_id string, target_uri string, payload_digest string, payload binary")
 
