@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,9 +18,12 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all is one process, as in tests, one is made
+    here; on a cluster that would be a folder of the driver alone, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stemma-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -40,9 +44,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.stemma_path = path
+    for made in _RECORDED:
+        made.append(path)
     return written
 
 
+_RECORDED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that materialize() writes meanwhile."""
+    made: list[str] = []
+    _RECORDED.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDED[:] = [x for x in _RECORDED if x is not made]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of materialize() that nothing will read again; others are left alone."""
     for df in tables:

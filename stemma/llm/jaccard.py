@@ -383,9 +383,10 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     slack = F.element_at(F.create_map(*[F.lit(v) for b, p in (plan or {0: (0, 0, 0)}).items() for v in (b, p[2])]), F.col("band"))
     rank = F.row_number().over(W.partitionBy("class", "band").orderBy(F.col("droppable").desc(), F.col("size").desc(), "sig"))
     kept = materialize(found.withColumn("rank", rank).where(~F.col("droppable") | (F.col("rank") > slack)).select("sig", "class"), "kept")
-    sizes = kept.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(kept.join(sizes, "sig"), "members")
-    discard(kept)
+    # Written first, so that the join has no aggregate beside it: adaptive execution can then split a hot signature.
+    sizes = materialize(kept.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = materialize(kept.join(small_side(sizes, BROADCAST_IDS), "sig"), "members")
+    discard(kept, sizes)
     wanted = materialize(members.select("class").distinct(), "wanted")
     wanted = classes.join(wanted, "class").select(F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     texts = d.join(small_side(materialize(wanted.select("_first").distinct(), "firsts"), BROADCAST_IDS), F.col("doc_id") == F.col("_first"), "left_semi").select("text")
