@@ -211,7 +211,7 @@ def truncate(s: Column, n: int) -> Column:
 
 def translate_abbreviation(df, key: str, dim, abbreviation: str, value: str):
     """SCL-28: the value of an abbreviation by a dimension table, or the abbreviation itself; without its spaces where only that matches."""
-    d = F.broadcast(dim.select(F.col(abbreviation).alias("_abbr"), F.col(value).alias("_value")).dropDuplicates(["_abbr"]))
+    d = dim.select(F.col(abbreviation).alias("_abbr"), F.col(value).alias("_value")).dropDuplicates(["_abbr"])
     first = df.join(d, F.col(key) == F.col("_abbr"), "left").drop("_abbr").withColumnRenamed("_value", "_first")
     second = first.join(d, F.regexp_replace(F.col(key), r"\s+", "") == F.col("_abbr"), "left").drop("_abbr")
     return second.withColumn("resolved", F.coalesce("_first", "_value", F.col(key))).drop("_first", "_value")

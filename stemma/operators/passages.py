@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stemma.sources.sqldump import document_lines
 
-GRAM = 4
+GRAM, TRIGRAM = 4, 3
 
 
 def plain_norm(c: Column) -> Column:
@@ -31,8 +31,8 @@ def find_passages(passages: DataFrame, lines: DataFrame) -> DataFrame:
     the next line. passages: item_id, norm; lines: doc_id, line_no, norm.
 
     The second to fifth words of a passage stand between spaces, so they are whole words of the line: their hash is an equi-key, and only
-    lines with it are tested. Passages of fewer than six words have no such key; they meet lines by their longest inner word, or, with fewer
-    than three, by nothing."""
+    lines with it are tested. Passages of three to five words meet lines by their second word. Those of one or two may stand within words:
+    they meet lines by their first three characters, and passages of fewer characters than that meet nothing."""
     w = W.partitionBy("doc_id").orderBy("line_no")
     two = lines.withColumn("ord", F.row_number().over(w)).withColumn("next", F.lead("norm").over(w))
     p = passages.withColumn("w", F.split("norm", " "))
@@ -43,6 +43,12 @@ def find_passages(passages: DataFrame, lines: DataFrame) -> DataFrame:
     hits = reach.select("doc_id", "ord", F.explode(F.array_distinct(grams(F.col("both")))).alias("key")).join(long, "key")
     if short.take(1):
         hits = hits.unionByName(reach.select("doc_id", "ord", F.explode(F.array_distinct(F.transform("own", lambda x: F.xxhash64(x)))).alias("key")).join(short, "key"))
+    head = F.substring("norm", 1, TRIGRAM)
+    tiny = p.where((F.size("w") < 3) & (F.length("norm") >= TRIGRAM)).select("item_id", F.col("norm").alias("passage"), F.xxhash64(head).alias("key"))
+    if tiny.take(1):
+        text = two.select("doc_id", "ord", F.concat_ws(" ", "norm", "next").alias("text"))
+        places = F.sequence(F.lit(1), F.greatest(F.length("text") - TRIGRAM + 1, F.lit(1)))
+        hits = hits.unionByName(text.select("doc_id", "ord", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(TRIGRAM)))))).alias("key")).join(tiny, "key"))
     starts = hits.select("item_id", "passage", "doc_id", F.explode(F.array("ord", F.col("ord") - 1)).alias("ord")).distinct()
     met = starts.join(two, ["doc_id", "ord"])
     tier = F.when(F.contains("norm", F.col("passage")), 1).when(F.contains(F.concat_ws(" ", "norm", "next"), F.col("passage")), 3)
@@ -50,15 +56,14 @@ def find_passages(passages: DataFrame, lines: DataFrame) -> DataFrame:
     return first.select("item_id", "doc_id", F.col("m.line_no").alias("line_no"), F.lit("exact_quote").alias("match_type"), F.when(F.col("m.tier") == 1, 1.0).otherwise(0.95).alias("confidence"))
 
 
-def edition_pairs_by_lines(lines: DataFrame, shared: int = 3, length: int = 30, common: int | None = None) -> DataFrame:
+def edition_pairs_by_lines(lines: DataFrame, shared: int = 3, length: int = 30) -> DataFrame:
     """JN-08: pairs of documents that share so many distinct lines, each longer than length characters. lines: doc_id, line.
 
     Exact, however many documents hold a line. Documents with equal sets of lines are one class; pairs of classes are expanded to pairs of
     their members. Each class drops its shared - 1 most frequent lines from the join: two classes with shared lines in common still meet by
-    the rarest of them, and their whole sets are counted. Lines are compared by 64-bit hash. With common, lines in more documents are left
-    out first."""
+    the rarest of them, and their whole sets are counted. Lines are compared by 64-bit hash."""
     held = lines.where(F.length("line") > length).select("doc_id", F.xxhash64("line").alias("h")).distinct()
-    counts = held.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2" if common is None else F.col("n").between(2, common))
+    counts = held.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
     sets = held.join(counts, "h").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]).alias("held")).where(F.size("held") >= shared)
     docs = sets.withColumn("sig", F.sha2(F.array_join(F.transform("held", lambda x: x.cast("string")), ","), 256))
     reps = docs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("held").alias("held"))

@@ -37,7 +37,7 @@ def footer_attributions(attributions: DataFrame, sources: DataFrame, editions: D
     used = editions.join(lines.select(F.col("edition_id").alias("id")).distinct(), "id", "left_semi").select("source_id")
     named = sources.where(F.col("short_code").isin(also or [])).select(F.col("id").alias("source_id"))
     wanted = used.union(named).distinct()
-    return attributions.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "name", "short_code")), "source_id").join(wanted, "source_id", "left_semi").orderBy(F.col("required").desc(), "name")
+    return attributions.join(sources.select(F.col("id").alias("source_id"), "name", "short_code"), "source_id").join(wanted, "source_id", "left_semi").orderBy(F.col("required").desc(), "name")
 
 
 def works_list(works: DataFrame) -> DataFrame:
@@ -69,8 +69,8 @@ def divisions(lines: DataFrame) -> DataFrame:
 def editions_of_works(editions: DataFrame, sources: DataFrame, lines: DataFrame) -> DataFrame:
     """API-06: editions with lines, by work."""
     held = lines.select("work_id", F.col("edition_id").alias("id")).distinct()
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")))
-    return held.join(F.broadcast(editions), "id").join(s, "source_id", "left").orderBy("work_id", "id")
+    s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    return held.join(editions, "id").join(s, "source_id", "left").orderBy("work_id", "id")
 
 
 def letters(entries: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def scene_view(lines: DataFrame, mappings: DataFrame, anchor: DataFrame) -> Data
 
     Each other edition's lines come through the symmetric mappings; those without an anchor line stand after the last anchor line before
     them (WIN-10). All windows are within one scene and pair of editions."""
-    a = F.broadcast(anchor.select("work_id", F.col("edition_id").alias("from_edition")))
+    a = anchor.select("work_id", F.col("edition_id").alias("from_edition"))
     mine = lines.join(a, (lines["work_id"] == a["work_id"]) & (lines["edition_id"] == a["from_edition"])).select(lines["work_id"], F.coalesce("act", F.lit(0)).alias("act"), F.coalesce("scene", F.lit(0)).alias("scene"), F.col("id").alias("row_line"), F.col("edition_id").alias("edition"), F.col("id").alias("line_id"))
     sym = symmetric(mappings).join(a, ["work_id", "from_edition"])
     w = W.partitionBy("work_id", "act", "scene", "from_edition", "to_edition").orderBy("align_order").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -210,17 +210,17 @@ def cross_search(entries: DataFrame, references: DataFrame, q: str) -> DataFrame
 def source_counts(entries: DataFrame, references: DataFrame, sources: DataFrame) -> DataFrame:
     """API-16, AGG-04: entries of each source."""
     lex = entries.agg(F.lit("lexicon").alias("source"), F.count_distinct("base_key").alias("n"))
-    ref = references.join(F.broadcast(sources.select(F.col("short_code").alias("source"))), "source").groupBy("source").agg(F.count("*").alias("n"))
+    ref = references.join(sources.select(F.col("short_code").alias("source")), "source").groupBy("source").agg(F.count("*").alias("n"))
     return lex.unionByName(ref)
 
 
 def build_summary(lines: DataFrame, editions: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """OTH-12, AGG-06: (lines by edition, matches by type with their mean confidence)."""
-    by_edition = lines.groupBy("edition_id").agg(F.count("*").alias("lines")).join(F.broadcast(editions.select(F.col("id").alias("edition_id"), "short_code")), "edition_id")
+    by_edition = lines.groupBy("edition_id").agg(F.count("*").alias("lines")).join(editions.select(F.col("id").alias("edition_id"), "short_code"), "edition_id")
     return by_edition, matches.groupBy("match_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
 def title_slugs(abbreviations: DataFrame, works: DataFrame) -> DataFrame:
     """OTH-10: abbreviation -> title -> slug. abbreviations: abbrev, schmidt_abbrev; works: schmidt_abbrev, title."""
-    w = F.broadcast(works.select("schmidt_abbrev", "title"))
+    w = works.select("schmidt_abbrev", "title")
     return abbreviations.join(w, "schmidt_abbrev", "left").withColumn("slug", slugify(F.col("title")))

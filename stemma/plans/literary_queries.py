@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from stemma.functions.similarity import words
 from stemma.operators.align import KEYS, MAPPINGS, _align_task, alignment_stats, symmetric
-from stemma.operators.citations import prepared_citations, prepared_lines, resolve
-from stemma.operators.passages import edition_pairs_by_lines, find_passages, line_table, pair_lines, plain_norm, plain_norm_sql
+from stemma.operators.citations import prepared_citations, prepared_lines, propagate, resolve
+from stemma.operators.passages import edition_pairs_by_lines, find_passages, grams, line_table, pair_lines, plain_norm, plain_norm_sql
 from stemma.operators.views import scene_view, visible_editions
 from stemma.plans.registry import Tables, query
+from stemma.session import checkpointed, small_side
 
 LINES = "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(s) + 1))::INT AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE trim(line) <> ''"
 NORMED = f"SELECT doc_id, line_no, norm, lead(norm) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM (SELECT doc_id, line_no, {plain_norm_sql('line')} AS norm FROM ({LINES}))"
@@ -19,9 +20,7 @@ CITED = f"""SELECT item_id, doc_id, line_no, 'exact_quote' AS match_type, CASE t
 (SELECT item_id, doc_id, line_no, tier, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY tier, line_no) AS rn FROM
 (SELECT item_id, doc_id, line_no, CASE WHEN contains(norm, p) THEN 1 WHEN contains(norm || ' ' || coalesce(next, ''), p) THEN 3 END AS tier FROM ({NORMED}), (SELECT item_id, {plain_norm_sql('text')} AS p FROM benchmark)) WHERE tier IS NOT NULL) WHERE rn = 1"""
 PAIRS = f"""SELECT a.doc_id AS a, b.doc_id AS b, count(*)::BIGINT AS shared FROM (SELECT DISTINCT doc_id, line FROM ({LINES}) WHERE length(line) > 30) a JOIN (SELECT DISTINCT doc_id, line FROM ({LINES})) b
-ON a.line = b.line AND a.doc_id < b.doc_id JOIN (SELECT line FROM (SELECT DISTINCT doc_id, line FROM ({LINES})) GROUP BY line HAVING count(*) BETWEEN 2 AND 20) c ON c.line = a.line GROUP BY 1, 2 HAVING count(*) >= 3"""
-#: The SQL above leaves out lines in more documents. Queries compared with it do the same; all others take every line.
-SQL_COMMON = 20
+ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 3"""
 
 
 def _normed(t: Tables) -> DataFrame:
@@ -47,7 +46,7 @@ def cite_exact(t: Tables) -> DataFrame:
 @query(PAIRS)
 def edition_pairs(t: Tables) -> DataFrame:
     """JN-08: documents that share lines are editions of one text."""
-    return edition_pairs_by_lines(line_table(t.documents), common=SQL_COMMON)
+    return edition_pairs_by_lines(line_table(t.documents))
 
 
 ANCHORS = f"""WITH p AS ({PAIRS}), l AS ({LINES}), w AS (SELECT doc_id, line_no, list_distinct(string_split({plain_norm_sql('line')}, ' ')) AS w FROM l),
@@ -60,7 +59,7 @@ SELECT a, b, i, j, round(sim, 6) AS similarity FROM r WHERE ri = 1 AND rj = 1 AN
 def mutual_best_anchors(t: Tables) -> DataFrame:
     """ALN-03: lines that are each other's best by word Jaccard, 0.7 at least; lines meet by shared words only."""
     lines = line_table(t.documents).withColumn("w", words(plain_norm(F.col("line"))))
-    pairs = edition_pairs_by_lines(line_table(t.documents), common=SQL_COMMON).select("a", "b")
+    pairs = edition_pairs_by_lines(line_table(t.documents)).select("a", "b")
     side = lambda s, no, n: pairs.join(lines, F.col(s) == F.col("doc_id")).select("a", "b", F.col("line_no").alias(no), F.size("w").alias(n), F.explode("w").alias("word"))
     met = side("a", "i", "n").join(side("b", "j", "m"), ["a", "b", "word"]).groupBy("a", "b", "i", "j").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     sim = met.select("a", "b", "i", "j", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("sim"))
@@ -109,35 +108,39 @@ def scene_editions(t: Tables) -> DataFrame:
     return visible_editions(scene_view(lines, m, m.select("work_id", F.col("edition_a_id").alias("edition_id")).distinct()))
 
 
+def _cited(t: Tables) -> DataFrame:
+    """Passages and the documents that they may come from: those with four words of it in a row. The first such line is the line cited."""
+    norms = _passages(t).select("item_id", F.split("norm", " ").alias("w"))
+    keys = norms.select("item_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("key"))
+    lines = _normed(t).select("doc_id", "line_no", F.explode(F.array_distinct(grams(F.split("norm", " ")))).alias("key"))
+    return lines.join(small_side(keys, 100_000), "key").groupBy("item_id", "doc_id").agg(F.min("line_no").alias("line_no"))
+
+
 @query()
 def cite_cascade(t: Tables) -> DataFrame:
-    """RES-05..07: every passage cited to each document that shares a line's match with it, resolved by the whole cascade."""
-    hits = find_passages(_passages(t), _normed(t))
-    cited = hits.join(t.benchmark, "item_id").select(F.xxhash64("item_id", "doc_id").alias("id"), F.col("doc_id").alias("work_id"), F.lit(None).cast("int").alias("act"), F.lit(None).cast("int").alias("scene"), F.col("line_no").alias("line"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("quote_text"), F.lit("").alias("headword"), "item_id")
+    """RES-05..07: every passage, whole, cited to each document that has four words of it in a row, resolved by the whole cascade."""
+    hits = checkpointed(_cited(t))
+    cited = hits.join(t.benchmark, "item_id").select(F.xxhash64("item_id", "doc_id").alias("id"), F.col("doc_id").alias("work_id"), F.lit(None).cast("int").alias("act"), F.lit(None).cast("int").alias("scene"), F.col("line_no").alias("line"), F.col("text").alias("quote_text"), F.lit("").alias("headword"), "item_id")
     lines = line_table(t.documents).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = lines.select(F.xxhash64("doc_id", "line_no").alias("id"), F.col("doc_id").alias("work_id"), F.lit(1).cast("long").alias("edition_id"), F.lit(None).cast("int").alias("act"), F.lit(None).cast("int").alias("scene"), F.col("line_no").alias("line_number"), F.col("line").alias("content"))
-    # Both are read by every level of the search: normalised once, kept while the session lives.
-    return resolve(prepared_citations(cited).persist(), prepared_lines(lines).persist()).select("citation_id", "text_line_id", "edition_id", "match_type", "confidence")
-
+    # Both are read by every level of the search: normalised and written once.
+    found = resolve(checkpointed(prepared_citations(cited)), checkpointed(prepared_lines(lines)))
+    return found.select("citation_id", "text_line_id", "edition_id", "match_type", "confidence")
 
-PROPAGATED = f"""WITH c AS ({CITED}), l AS ({LINES}), p AS ({PAIRS}),
-m AS (SELECT a, b, x.line_no AS i, min(y.line_no) AS j FROM p JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b AND y.line = x.line GROUP BY 1, 2, 3)
-SELECT item_id, b AS doc_id, arg_min(j, (-confidence, j))::INT AS line_no, max(confidence) AS confidence FROM c JOIN m ON m.a = c.doc_id AND m.i = c.line_no
-WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.item_id = c.item_id AND d.doc_id = m.b) GROUP BY 1, 2"""
 
-
-@query(PROPAGATED)
+@query()
 def propagate_matches(t: Tables) -> DataFrame:
-    """RES-08, WIN-01: one step along equal lines to editions without a match of their own."""
-    lines = line_table(t.documents)
-    c = find_passages(_passages(t), _normed(t))
-    pairs = edition_pairs_by_lines(lines, common=SQL_COMMON)
-    left = pair_lines(pairs, lines, "a").withColumnRenamed("line_no", "i")
-    right = pair_lines(pairs, lines, "b").withColumnRenamed("line_no", "j")
-    m = left.join(right, ["a", "b", "line"]).groupBy("a", "b", "i").agg(F.min("j").alias("j"))
-    step = c.join(m, (F.col("a") == F.col("doc_id")) & (F.col("i") == F.col("line_no"))).select("item_id", F.col("b").alias("doc_id"), "j", "confidence")
-    step = step.join(c.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
-    return step.groupBy("item_id", "doc_id").agg(F.min_by("j", F.struct(-F.col("confidence"), "j")).alias("line_no"), F.max("confidence").alias("confidence"))
+    """RES-08, WIN-01: exact matches carried along the alignment's mappings, forward and back in up to three rounds, to editions without a
+    match of their own."""
+    place = lambda doc, line: F.xxhash64(doc, line)
+    lines = line_table(t.documents).select(place("doc_id", "line_no").alias("line_id"), "doc_id", "line_no", F.col("line").alias("content"))
+    exact = find_passages(_passages(t), _normed(t))
+    matches = exact.select(F.col("item_id").alias("citation_id"), place("doc_id", "line_no").alias("text_line_id"), F.col("doc_id").alias("edition_id"), "match_type", "confidence").join(lines.select(F.col("line_id").alias("text_line_id"), F.col("content").alias("matched_text")), "text_line_id")
+    both = _aligned(t).where("line_a_id IS NOT NULL AND line_b_id IS NOT NULL")
+    mappings = checkpointed(both.select("edition_a_id", "edition_b_id", *[F.xxhash64(f"edition_{s}_id", F.col(f"line_{s}_id").cast("int")).alias(f"line_{s}_id") for s in "ab"], "similarity"))
+    found = propagate(matches, mappings, lines.select("line_id", "content"))
+    named = lines.select(F.col("line_id").alias("text_line_id"), "line_no")
+    return found.join(named, "text_line_id").select(F.col("citation_id").alias("item_id"), F.col("edition_id").alias("doc_id"), "line_no", "match_type", F.round("confidence", 9).alias("confidence"))
 
 
 @query()

@@ -41,10 +41,10 @@ def between_band(t: Tables) -> DataFrame:
     return t.lineitem.where(F.col("l_quantity").between(10, 12) & ((line == 0) | (F.col("l_linenumber") == line))).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'a%' OR p_name ILIKE '%9'")
+@query("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'e%' OR p_name ILIKE '%GEAR'")
 def ilike_prefix(t: Tables) -> DataFrame:
     """FLT-08."""
-    return t.part.where(F.col("p_type").ilike("a%") | F.col("p_name").ilike("%9")).select("p_partkey", "p_type")
+    return t.part.where(F.col("p_type").ilike("e%") | F.col("p_name").ilike("%GEAR")).select("p_partkey", "p_type")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type <> 'click' OR event_type IS NULL")
@@ -220,11 +220,11 @@ def symmetric_mapping(t: Tables) -> DataFrame:
     return m.select("g", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("g", F.col("p.x").alias("from_id"), F.col("p.y").alias("to_id"))
 
 
-@query("SELECT a.c_custkey, b.n_nationkey FROM customer a JOIN nation b ON lower(a.c_mktsegment[1:1]) = lower(b.n_name[1:1])")
+@query("SELECT a.c_custkey, b.n_nationkey FROM customer a JOIN nation b ON upper(a.c_name) = upper('cUSTOMER#' || lpad(b.n_nationkey::VARCHAR, 9, '0'))")
 def case_insensitive_join(t: Tables) -> DataFrame:
     """JN-19."""
-    first = lambda c: F.lower(F.substring(c, 1, 1))
-    return t.customer.join(F.broadcast(t.nation), first("c_mktsegment") == first("n_name")).select("c_custkey", "n_nationkey")
+    named = t.nation.select("n_nationkey", F.concat(F.lit("cUSTOMER#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("name"))
+    return t.customer.join(F.broadcast(named), F.upper("c_name") == F.upper("name")).select("c_custkey", "n_nationkey")
 
 
 @query("""SELECT a.p_partkey AS id, b.p_partkey AS alias_id FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size = b.p_size""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir, so that its lineage ends there. Without that setting a session in one process
+    takes a folder of its own; on a cluster that would be the driver's alone, and is an error."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stemma-checkpoint-"))
+    return df.checkpoint()
+
+
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

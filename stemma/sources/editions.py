@@ -104,7 +104,7 @@ def xhtml_poetry(files: DataFrame, articles: DataFrame, edition_id: int) -> Data
     (article sonnet for all sonnets)."""
     parsed = markup.parse_files(files, "html", markup.XhtmlPoems, [])
     key = F.when(F.col("sonnet").isNotNull(), F.lit("sonnet")).otherwise(F.col("article"))
-    placed = parsed.withColumn("key", key).join(F.broadcast(articles.withColumnRenamed("article", "key")), "key")
+    placed = parsed.withColumn("key", key).join(articles.withColumnRenamed("article", "key"), "key")
     return placed.select(line_id("work_id", F.lit(edition_id), "article", "line").alias("id"), "work_id", F.lit(edition_id).cast("long").alias("edition_id"), F.lit(None).cast("int").alias("act"), F.col("sonnet").alias("scene"), F.col("line").alias("line_number"), F.col("text").alias("content"), "stanza")
 
 

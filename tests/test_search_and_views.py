@@ -69,6 +69,16 @@ def test_edition_pairs_of_frequent_lines(spark):
     assert {(r["a"], r["b"], r["shared"]) for r in got} == want and len(got) == len(want) > 300
 
 
+def test_short_passages(spark):
+    """Passages of one and two words are found wherever their letters stand, also within words and over two lines."""
+    from stemma.operators.passages import find_passages
+
+    lines = spark.createDataFrame([(1, 1, "the heart of it"), (1, 2, "art thou"), (2, 1, "no such thing"), (2, 5, "part"), (2, 6, "ly so"), (3, 1, "ar")], "doc_id long, line_no int, norm string")
+    passages = spark.createDataFrame([(1, "art"), (2, "it art"), (3, "such thing"), (4, "rt l"), (5, "ar"), (6, "zzz"), (7, "of it art")], "item_id long, norm string")
+    got = {(r["item_id"], r["doc_id"]): (r["line_no"], r["confidence"]) for r in find_passages(passages, lines).collect()}
+    assert got == {(1, 1): (1, 1.0), (1, 2): (5, 1.0), (2, 1): (1, 0.95), (3, 2): (1, 1.0), (4, 2): (5, 0.95), (7, 1): (1, 0.95)}
+
+
 def test_small_views(spark):
     works = spark.createDataFrame([(1, "Hamlet", "play"), (2, "Sonnets", "sonnet_sequence"), (3, "Other", "essay")], "id long, title string, work_type string")
     assert [(r["kind"], r["slug"]) for r in views.works_list(works).collect()] == [("plays", "hamlet"), ("poetry", "sonnets")]
