@@ -341,9 +341,9 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
         return links
     # Blocks: a component with many classes in a group has blocks of its own, the others share blocks.
     counts = labelled.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("own", F.col("n") > BLOCK // 2)
-    shared = counts.where("not own").groupBy("sig").agg(F.sum("n").alias("rest"))
-    placed = labelled.join(counts, ["sig", "comp"]).join(shared, "sig", "left")
+    counts = materialize(counts.withColumn("own", F.col("n") > BLOCK // 2), "counts")
+    shared = materialize(counts.where("not own").groupBy("sig").agg(F.sum("n").alias("rest")), "shared")
+    placed = labelled.join(small_side(counts, BROADCAST_IDS), ["sig", "comp"]).join(small_side(shared, BROADCAST_IDS), "sig", "left")
     slot = F.pmod(F.xxhash64("class"), F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("rest")) / (BLOCK // 2)).cast("long"))
     placed = materialize(placed.select("sig", "class", "comp", F.when(F.col("own"), F.col("comp")).alias("only"), slot.alias("slot")), "placed")
     blocks = placed.select("sig", "only", "slot").distinct()
