@@ -42,8 +42,8 @@ GROUP = 8
 BLOCK, SHARD_BYTES, BITS = 512, 12_000_000, 2048
 #: Rounds in which components within large groups are compared by stars before they are compared by blocks.
 STARS = 2
-#: Sets of so many tokens (160 KB) wait for the stars: a block of them would be too large for a task.
-LONG = 20_000
+#: Classes that one task draws in, with their whole sets; sets of so many tokens (800 KB) wait for the stars.
+DRAWN, LONG = 128, 100_000
 #: Classes whose ids may be broadcast (8 MB of ids); above that the join is shuffled.
 BROADCAST_IDS = 500_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -317,7 +317,7 @@ def links_in_groups(members: DataFrame, links: DataFrame, sets: DataFrame) -> Da
         return links.select("a", "b")
     # A task draws in each block of classes of one group; a class goes with its largest group.
     largest = labelled.groupBy("class", "comp").agg(F.max(F.struct("size", "sig")).alias("g"))
-    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("g.size") / BLOCK).cast("long"))
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("g.size") / DRAWN).cast("long"))
     held = largest.select("class", "comp", F.xxhash64("g.sig", block).alias("block")).join(sets.where(F.col("n") < LONG), "class")
     found = [links, materialize(held.groupBy("block").applyInArrow(tidy_group(_cluster), "a long, b long, ca long, cb long"), "drawn")]
     for k in range(STARS):  # then one class of each component of a group meets one of another
