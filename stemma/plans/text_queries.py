@@ -167,12 +167,14 @@ def jaccard_bench_docs(t: Tables) -> DataFrame:
     # Words that no line has come first, and need no place.
     rare = F.col("m") - F.ceil(F.col("m") * 0.3 - 1e-9) + 1 - (F.col("m") - F.size("ws"))
     keys = checkpointed(held.where(rare >= 1).select("item_id", "m", F.explode(F.slice("ws", 1, rare.cast("int"))).alias("x")).select("item_id", "m", F.col("x.w").alias("w")))
-    e = l.select("doc_id", "line_no", F.size("dw").alias("n"), "dw", F.explode("dw").alias("w"))
+    e = l.select("doc_id", "line_no", F.size("dw").alias("n"), F.explode("dw").alias("w"))
     met = e.join(small_side(keys, 100_000), "w").where((F.col("n") * 10 >= F.col("m") * 3) & (F.col("m") * 10 >= F.col("n") * 3))
-    # The first of a line's words that are keys of the passage stands for the pair, so no pair needs to be made distinct.
-    by_item = keys.groupBy("item_id").agg(F.collect_set("w").alias("ks"))
-    pair = met.join(small_side(b.join(by_item, "item_id"), 20_000), "item_id").where(F.col("w") == F.get(F.array_intersect("dw", "ks"), F.lit(0)))
-    both = pair.withColumn("i", F.size(F.array_intersect("bw", "dw")))
+    # A line with i of the keys has at most the frequent words besides: few pairs are left to be counted on whole sets.
+    n_keys = keys.groupBy("item_id").agg(F.count("*").alias("k"))
+    near = met.groupBy("item_id", "doc_id", "line_no", "m", "n").agg(F.count("*").alias("i")).join(small_side(n_keys, 20_000), "item_id")
+    most = F.least(F.col("i") + F.col("m") - F.col("k"), F.col("n"))
+    near = near.where(most / (F.col("m") + F.col("n") - most) >= 0.3).drop("i", "k")
+    both = near.join(l, ["doc_id", "line_no"]).join(small_side(b, 20_000), "item_id").withColumn("i", F.size(F.array_intersect("bw", "dw")))
     j = F.col("i") / (F.col("m") + F.col("n") - F.col("i"))
     return both.where(j >= 0.3).select("item_id", "doc_id", "line_no", F.round(j, 6).alias("jaccard"))
 
