@@ -36,7 +36,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from stemma.plans import literary_queries, model_queries, relational_queries, text_queries  # noqa: F401
+    from stemma.plans import literary_queries, model_queries, relational_queries, scan_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
