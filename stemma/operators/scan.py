@@ -77,7 +77,7 @@ def interpolated(df: DataFrame, number: str, keys: list[str], order: list[str])
     d = dealt(df, keys, order)
     placed = running(d, keys, order, {"_k": ("count", F.lit(1))})
     known = F.when(F.col(number).isNotNull(), F.struct(F.col("_k").alias("k"), F.col(number).cast("long").alias("n")))
-    both = running(dealt(placed, keys, order), keys, order, {"_b": ("last", known), "_a": ("next", known)})
+    both = running(dealt(placed, keys, ["_k"]), keys, ["_k"], {"_b": ("last", known), "_a": ("next", known)})
     k, b, a = F.col("_k"), F.col("_b"), F.col("_a")
     step = F.expr("(_a.n - _b.n) * (_k - _b.k) div nullif(_a.k - _b.k, 0)")
     line = F.when(F.col(number).isNotNull(), F.col(number)).when(b.isNull() & a.isNull(), k).when(b.isNull(), F.greatest(F.lit(1), a["n"] - (a["k"] - k))).when(a.isNull(), b["n"] + (k - b["k"])).otherwise(b["n"] + step)

@@ -45,16 +45,16 @@ def long_run_ids(t: Tables) -> DataFrame:
     return running(dealt(starts, [], ORDER), [], ORDER, {"run": ("sum", F.col("c"))}).select("event_id", "run")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN l_orderkey * 2 END AS n, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem),
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN l_orderkey * 2 END AS n, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem),
 f AS (SELECT *, last_value(CASE WHEN n IS NOT NULL THEN k END IGNORE NULLS) OVER w AS bk, last_value(n IGNORE NULLS) OVER w AS bn,
  first_value(CASE WHEN n IS NOT NULL THEN k END IGNORE NULLS) OVER v AS ak, first_value(n IGNORE NULLS) OVER v AS an
  FROM s WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING), v AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT l_orderkey, l_linenumber, (CASE WHEN n IS NOT NULL THEN n WHEN bk IS NULL AND ak IS NULL THEN k WHEN bk IS NULL THEN greatest(1, an - (ak - k)) WHEN ak IS NULL THEN bn + (k - bk) ELSE bn + trunc((an - bn) * (k - bk) / (ak - bk)) END)::INT AS line_number FROM f""")
 def long_interpolation(t: Tables) -> DataFrame:
     """WIN-05, SCL-20 over all line items in order."""
-    keys = ["l_orderkey", "l_linenumber"]
-    l = t.lineitem.select(*keys, F.when(F.col("l_partkey") % 9 == 0, F.col("l_orderkey") * 2).alias("n"))
-    return interpolated(l, "n", [], keys).select(*keys, "line_number")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    l = t.lineitem.select(*order, F.when(F.col("l_partkey") % 9 == 0, F.col("l_orderkey") * 2).alias("n"))
+    return interpolated(l, "n", [], order).select("l_orderkey", "l_linenumber", "line_number")
 
 
 @query("""SELECT event_id, row_number() OVER w AS n_in_type, max(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS top FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
