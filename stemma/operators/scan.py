@@ -51,9 +51,12 @@ def dealt(df: DataFrame, keys: list[str], order: list[str], cut: Callable[[DataF
     return cut(df.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id()))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], few: bool = True) -> DataFrame:
     """df, a result of dealt() with the same keys and order, and for each name the running (kind, value): over the rows of the key up to
-    this one, or from this one on for "next". count counts values that are not null; last and next are the nearest that are not null."""
+    this one, or from this one on for "next". count counts values that are not null; last and next are the nearest that are not null.
+
+    df may have a _part of its own making, in which later rows of a key never have a smaller one; then few is False, as nothing bounds the
+    carries, and they are joined by a shuffle."""
     kinds = {name: KINDS[kind] for name, (kind, _) in values.items()}
     place = F.struct(*order)
     sums = df.groupBy(*keys, PART).agg(*[kinds[n].summary(v, place).alias(n) for n, (_, v) in values.items()])
@@ -67,7 +70,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     own = W.partitionBy(*keys, PART)
     back, ahead = (own.orderBy(*o).rowsBetween(W.unboundedPreceding, W.currentRow) for o in (order, [F.desc(c) for c in order]))
     local = df.select("*", *[kinds[n].local(v).over(ahead if kinds[n].ahead else back).alias(f"_l_{n}") for n, (_, v) in values.items()])
-    joined = local.join(F.broadcast(carries), same, "left")  # at most two rows for each range partition
+    joined = local.join(F.broadcast(carries) if few else carries, same, "left")  # few: at most two rows for each range partition
     return joined.select(*[c for c in df.columns if c != PART], *[kinds[n].join(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values])
 
 
