@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bitsliced, byte_bpe, dedup_units, jaccard, licenses, packing, pii, quality, secrets, warc_zip
+from stemma.llm import bitsliced, byte_bpe, dedup_units, jaccard, licenses, packing, pii, prefix_trie, pstable, quality, repair, secrets, warc_zip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,6 +36,9 @@ def queries() -> dict:
         "op8_bit_sliced_topk": lambda s, d: bitsliced.search_report(_read(s, d, "embeddings", "vec_id", "embedding")),
         "op9_license_digests": lambda s, d: licenses.license_scan(_read(s, d, "documents", "doc_id", "text")),
         "op10_semi_crf_pii": lambda s, d: pii.pii_report(_read(s, d, "documents", "doc_id", "text")),
+        "op11_prefix_trie": lambda s, d: prefix_trie.trie_report(_read(s, d, "conversations", "conv_id", "turn", "role", "text")),
+        "op12_conversation_repair": lambda s, d: repair.repair_report(_read(s, d, "conversations", "conv_id", "turn", "role", "text")),
+        "op13_pstable_neighbours": lambda s, d: pstable.neighbour_report(_read(s, d, "embeddings", "vec_id", "embedding")),
     }
 
 
@@ -46,4 +49,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard_join": jaccard.ORACLE,
         "op8_bit_sliced_topk": bitsliced.ORACLE,
         "op9_license_digests": licenses.oracle(),
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_conversation_repair": repair.oracle(),
     }
