@@ -8,9 +8,9 @@ RECALL. r is the distance of the query's k-th best in a first, short search of o
 tables are merged and ranked by their exact products.
 
 The width comes from a bounded sample (SAMPLE rows, by hash of id and vector), the number of functions from the number of rows, so that a
-cell holds CELL_ROWS rows on average. Cells over PIECE rows are cut in pieces, each of which a visiting query meets; a
-task holds pieces, not tables, and each gives k rows a query. Equal vectors are one row with their k + 1 least ids: more of them are
-never among the k nearest of any query.
+cell holds CELL_ROWS rows on average. Cells are dealt to groups by their name; a query goes to a group once, with its cells there. Groups
+over PIECE rows are cut in pieces, each of which the query meets, so a cell of any size is spread. Each piece gives a query at most k rows,
+none worse than the k-th that it knows from the first search. Equal vectors are one row with their k + 1 least ids: more of them are never among the k nearest of any query.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do rows with a null id;
 shorter vectors count as padded with zeros; rows that share an id are one candidate, at its best; equal query rows are answered once;
@@ -19,6 +19,8 @@ rows with the query's id are its own; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,8 +35,8 @@ from stemma.llm.common import discard, materialize, small_side, tidy, to_batch
 
 #: Tables, probability of finding a neighbour at the bounding distance, and in the first search.
 TABLES, RECALL, FIRST = 2, 0.93, 0.35
-#: Rows of a cell on average, rows of a piece, rows from which the width is taken.
-CELL_ROWS, PIECE, SAMPLE = 128, 2048, 1024
+#: Rows of a cell on average, rows of a piece of a group, rows from which the width is taken.
+CELL_ROWS, PIECE, SAMPLE = 128, 8192, 1024
 SEED = 20
 
 
@@ -158,8 +160,17 @@ def together(ids: list[list[int]], vectors: list[bytes], most: int) -> tuple[lis
     return [sorted(set(x))[:most] for x in held.values()], list(held)
 
 
-def _rows(h: Hashes, kind: str, k: int, tables: int) -> Callable:
-    schema = pa.schema([("table", pa.int32()), ("cell", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.binary())])
+def groups(names: np.ndarray, n: int) -> np.ndarray:
+    """The group of each cell."""
+    return ((names.astype(np.uint64) >> np.uint64(7)) % np.uint64(n)).astype(np.int64)
+
+
+ROWS = "group long, cell long, ids array<long>, v binary"
+VISITS = "group long, query_id long, tag long, v binary, near double, cells array<long>"
+
+
+def _rows(h: Hashes, kind: str, k: int, tables: int, n: int) -> Callable:
+    schema = pa.schema([("group", pa.int64()), ("cell", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,24 +179,31 @@ def _rows(h: Hashes, kind: str, k: int, tables: int) -> Callable:
             ids, vectors = together([[i] for i in b.column("id").to_pylist()], b.column("v").to_pylist(), k + 1)
             cells = h.names(np.floor(h.positions(as_matrix(vectors, h.dims, kind), False)))
             for t in range(tables):
-                yield to_batch({"table": [t] * len(ids), "cell": cells[:, t].tolist(), "ids": ids, "v": vectors}, schema)
+                yield to_batch({"group": groups(cells[:, t], n).tolist(), "cell": cells[:, t].tolist(), "ids": ids, "v": vectors}, schema)
 
     return run
 
 
-def _visits(h: Hashes, kind: str, mass: float, tables: int, unknown: float) -> Callable:
-    schema = pa.schema([("query_id", pa.int64()), ("tag", pa.int64()), ("table", pa.int32()), ("cells", pa.list_(pa.int64()))])
+def _visits(h: Hashes, kind: str, mass: float, tables: int, n: int, unknown: float) -> Callable:
+    schema = pa.schema([("group", pa.int64()), ("query_id", pa.int64()), ("tag", pa.int64()), ("v", pa.binary()), ("near", pa.float64()), ("cells", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, tags = b.column("id").to_pylist(), b.column("tag").to_pylist()
-            x = as_matrix(b.column("v").to_pylist(), h.dims, kind)
-            near = np.array([math.nan if s is None else s for s in b.column("near").to_pylist()])  # the k-th best product found
+            ids, tags, vectors = (b.column(c).to_pylist() for c in ("id", "tag", "v"))
+            x = as_matrix(vectors, h.dims, kind)
+            known = b.column("near").to_pylist()  # the k-th best product found
+            near = np.array([math.nan if s is None else s for s in known])
             own = np.sqrt((x * x).sum(axis=1))
             far = np.where(np.isnan(near), unknown, np.sqrt(np.maximum(2 * h.norm**2 - 2 * h.norm * near / own, 0)))
-            out = [(ids[q], tags[q], t, cells) for q, t, cells in h.visits(h.positions(x, True), far, mass, tables)]
+            out: list[tuple] = []
+            for q, found in itertools.groupby(h.visits(h.positions(x, True), far, mass, tables), key=lambda o: o[0]):
+                cells = np.unique(np.concatenate([c for _, _, c in found]))
+                where = groups(cells, n)
+                order = np.argsort(where, kind="stable")
+                each, starts = np.unique(where[order], return_index=True)
+                out += [(g, ids[q], tags[q], vectors[q], known[q], c) for g, c in zip(each.tolist(), np.split(cells[order], starts[1:]), strict=True)]
             yield to_batch({f.name: [o[j] for o in out] for j, f in enumerate(schema)}, schema)
 
     return run
@@ -200,48 +218,46 @@ def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Held:
-    """The rows of one task, by cell."""
+    """The rows of one piece, by cell."""
 
     def __init__(self, dims: int, kind: str, k: int):
         self.dims, self.kind, self.k = dims, kind, k
-        self.raw: dict[tuple[int, int], tuple[list, list]] = {}
-        self.cells: dict[tuple[int, int], tuple[list[list[int]], np.ndarray]] | None = None
+        self.raw: dict[int, tuple[list, list]] = {}
+        self.cells: dict[int, tuple[list[list[int]], np.ndarray]] | None = None
 
-    def add(self, cell: tuple[int, int], ids: list[int], v: bytes) -> None:
+    def add(self, cell: int, ids: list[int], v: bytes) -> None:
         own = self.raw.setdefault(cell, ([], []))
         own[0].append(ids)
         own[1].append(v)
 
-    def answer(self, ids: list[int], x: np.ndarray, cells: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int, float]]:
-        """(place of the query, id, product): the k best of each query in its cells here."""
+    def answer(self, ids: list[int], x: np.ndarray, near: np.ndarray, cells: list[list[int]]) -> Iterator[tuple[int, int, float]]:
+        """(place of the query, id, product): the k best of each query in its cells here, of those that reach near."""
         if self.cells is None:
             self.cells = {}
             for cell, (held, vectors) in self.raw.items():
                 held, vectors = together(held, vectors, self.k + 1)
                 self.cells[cell] = held, as_matrix(vectors, self.dims, self.kind)
             self.raw = {}
-        asked: dict[tuple[int, int], list[int]] = {}
+        asked: dict[int, list[int]] = {}
         for q, own in enumerate(cells):
             for c in own:
                 if c in self.cells:
                     asked.setdefault(c, []).append(q)
-        found: list[list[tuple[float, int]]] = [[] for _ in ids]
+        # The k + 1 best products of each query so far (one may be its own): what is below the least of them is not looked at.
+        best = np.full((len(ids), self.k + 1), -np.inf)
+        found: list[list[tuple[float, list[int]]]] = [[] for _ in ids]
+        slack = 1e-9 * (1 + float(np.abs(x).max(initial=0)) * max((float(np.abs(r).max(initial=0)) for _, r in self.cells.values()), default=0.0) * self.dims)
         for c, who in asked.items():
             held, rows = self.cells[c]
             s = x[who] @ rows.T
-            if s.shape[1] > self.k + 1:  # one may be the query itself
-                bound = -np.partition(-s, self.k, axis=1)[:, self.k]
-            else:
-                bound = np.full(len(who), -np.inf)
-            slack = 1e-9 * (np.abs(s).max(initial=0) + 1)
-            a, b = np.nonzero(s >= bound[:, None] - slack)
+            best[who] = np.partition(np.c_[best[who], s], s.shape[1], axis=1)[:, -(self.k + 1) :]
+            a, b = np.nonzero(s >= np.maximum(best[who].min(axis=1), near[who])[:, None] - slack)
             for q, r, score in zip(a.tolist(), b.tolist(), exact(x[who][a], rows[b]).tolist(), strict=True):
-                found[who[q]] += [(-score, i) for i in held[r] if i != ids[who[q]]]
-            for q in who:
-                if len(found[q]) > 8 * self.k:
-                    found[q] = sorted(set(found[q]))[: self.k]
+                if score >= near[who[q]]:
+                    found[who[q]].append((-score, held[r]))
         for q, own in enumerate(found):
-            for score, i in sorted(set(own))[: self.k]:
+            every = {(score, i) for score, held in own for i in held if i != ids[q]}
+            for score, i in heapq.nsmallest(self.k, every):
                 yield q, i, -score
 
 
@@ -249,48 +265,47 @@ def _answers(dims: int, kind: str, k: int) -> Callable:
     schema = pa.schema([("query_id", pa.int64()), ("tag", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From a stream of tasks in order, the rows of each before its queries."""
-        task, held = None, Held(dims, kind, k)
+        """From a stream of pieces in order, the rows of each before its queries."""
+        at, held = None, Held(dims, kind, k)
         for b in batches:
             queries: list[tuple] = []
 
             def flush() -> pa.RecordBatch:
-                found = list(held.answer([q[0] for q in queries], as_matrix([q[2] for q in queries], dims, kind), [q[3] for q in queries])) if queries else []  # noqa: B023
+                near = np.array([-math.inf if q[3] is None else q[3] for q in queries])  # noqa: B023
+                found = list(held.answer([q[0] for q in queries], as_matrix([q[2] for q in queries], dims, kind), near, [q[4] for q in queries])) if queries else []  # noqa: B023
                 out = [(queries[q][0], queries[q][1], i, s) for q, i, s in found]  # noqa: B023
                 queries.clear()  # noqa: B023
                 return to_batch({f.name: [o[j] for o in out] for j, f in enumerate(schema)}, schema)
 
             for row in b.to_pylist():
-                if row["task"] != task:
+                if (row["group"], row["piece"]) != at:
                     if queries:
                         yield flush()
-                    task, held = row["task"], Held(dims, kind, k)
+                    at, held = (row["group"], row["piece"]), Held(dims, kind, k)
                 if row["is_query"]:
-                    queries.append((row["id"], row["tag"], row["v"], list(zip(row["tables"], row["cells"], strict=True))))
+                    queries.append((row["query_id"], row["tag"], row["v"], row["near"], row["cells"]))
                 else:
-                    held.add((row["table"], row["cell"]), row["ids"], row["v"])
+                    held.add(row["cell"], row["ids"], row["v"])
             yield flush()
 
     return run
 
 
 def _search(rows: DataFrame, asked: DataFrame, h: Hashes, kind: str, k: int, mass: float, tables: int, unknown: float) -> DataFrame:
-    """query_id, tag, vec_id, score: for each query the k best of each task that it visits. asked: id, tag, v, near (a product that k
+    """query_id, tag, vec_id, score: for each query the k best of each piece that it visits. asked: id, tag, v, near (a product that k
     rows reach; null: the k-th is taken to be at distance unknown)."""
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    placed = rows.select("id", "v").mapInArrow(tidy(_rows(h, kind, k, tables), 10_000), "table int, cell long, ids array<long>, v binary")
-    sizes = placed.groupBy("table", "cell").agg(F.count("*").alias("n"))
-    large = small_side(materialize(sizes.where(F.col("n") > PIECE).select("table", "cell", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "large"))
-    tasks = max(2 * cores, -(-h.tables * rows.count() // (4 * PIECE)))
-    task = F.pmod(F.xxhash64("table", "cell", "piece"), F.lit(tasks)).cast("int").alias("task")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(2 * cores, -(-tables * rows.count() // PIECE))
+    placed = rows.select("id", "v").mapInArrow(tidy(_rows(h, kind, k, tables, n), 10_000), ROWS)
+    sizes = placed.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PIECE)
+    large = small_side(materialize(sizes.select("group", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "large"))
     pieces = F.coalesce("pieces", F.lit(1))
-    left = placed.join(large, ["table", "cell"], "left").withColumn("piece", F.pmod(F.xxhash64("v"), pieces).cast("int")).select(task, F.lit(False).alias("is_query"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("tag"), "v", "table", "cell", "ids", F.lit(None).cast("array<int>").alias("tables"), F.lit(None).cast("array<long>").alias("cells"))
-    cells = asked.mapInArrow(tidy(_visits(h, kind, mass, tables, unknown), 256), "query_id long, tag long, table int, cells array<long>").select("query_id", "tag", "table", F.explode("cells").alias("cell"))
-    met = cells.join(large, ["table", "cell"], "left").select("query_id", "tag", "table", "cell", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).select("query_id", "tag", "table", "cell", task)
-    visits = met.groupBy(F.col("query_id").alias("id"), "tag", "task").agg(F.collect_set(F.struct("table", "cell")).alias("c"))
-    right = visits.join(asked.select("id", "tag", "v"), ["id", "tag"]).select("task", F.lit(True).alias("is_query"), "id", "tag", "v", F.lit(None).cast("int").alias("table"), F.lit(None).cast("long").alias("cell"), F.lit(None).cast("array<long>").alias("ids"), F.col("c.table").alias("tables"), F.col("c.cell").alias("cells"))
-    stream = left.unionByName(right).repartition(max(tasks, min(4 * tasks, 8 * cores)), "task").sortWithinPartitions("task", "is_query")
+    left = placed.join(large, "group", "left").withColumn("near", F.lit(None).cast("double")).withColumn("piece", F.pmod(F.xxhash64("v"), pieces).cast("int")).drop("pieces")
+    visits = asked.mapInArrow(tidy(_visits(h, kind, mass, tables, n, unknown), 256), VISITS)
+    right = visits.join(large, "group", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    stream = left.unionByName(right, allowMissingColumns=True).withColumn("is_query", F.col("query_id").isNotNull())
+    # Groups would often meet in one partition by their hash: they get more partitions than they fill.
+    stream = stream.repartition(min(4 * n, n + 8 * cores), "group", "piece").sortWithinPartitions("group", "piece", "is_query")
     return stream.mapInArrow(tidy(_answers(h.dims, kind, k), 1024), "query_id long, tag long, vec_id long, score double")
 
 
