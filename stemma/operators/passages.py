@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stemma.session import checkpointed
 from stemma.sources.sqldump import document_lines
 
 GRAM, TRIGRAM = 4, 3
@@ -68,7 +69,8 @@ def edition_pairs_by_lines(lines: DataFrame, shared: int = 3, length: int = 30)
     docs = sets.withColumn("sig", F.sha2(F.array_join(F.transform("held", lambda x: x.cast("string")), ","), 256))
     reps = docs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("held").alias("held"))
     members = docs.select("doc_id", "sig").join(reps.select("sig", "rep", F.size("held").cast("long").alias("shared")), "sig").drop("sig")
-    met = reps.select("rep", F.explode(F.slice("held", 1, F.size("held") - (shared - 1))).alias("h"))
+    # Written, so that the join can be split where a line is in very many classes.
+    met = checkpointed(reps.select("rep", F.explode(F.slice("held", 1, F.size("held") - (shared - 1))).alias("h")))
     near = met.withColumnRenamed("rep", "p").join(met.withColumnRenamed("rep", "q"), "h").where("p < q").select("p", "q").distinct()
     one = lambda c: reps.select(F.col("rep").alias(c), F.col("held").alias(f"held_{c}"))
     near = near.join(one("p"), "p").join(one("q"), "q").select("p", "q", F.size(F.array_intersect("held_p", "held_q")).cast("long").alias("shared")).where(F.col("shared") >= shared)
@@ -78,6 +80,41 @@ def edition_pairs_by_lines(lines: DataFrame, shared: int = 3, length: int = 30)
     return across.unionByName(within)
 
 
+def edition_classes(lines: DataFrame) -> DataFrame:
+    """JN-08: doc_id, rep: documents whose lines are equal, each under its number, and the smallest of them. lines: doc_id, line_no, line.
+
+    Lines are summed up by the xor of two 64-bit hashes of each, so no document's lines are gathered."""
+    digest = lines.groupBy("doc_id").agg(F.bit_xor(F.xxhash64("line_no", "line")).alias("h1"), F.bit_xor(F.xxhash64("line", "line_no")).alias("h2"), F.count("*").alias("n"))
+    digest = checkpointed(digest)
+    keys = ["h1", "h2", "n"]
+    return digest.join(digest.groupBy(*keys).agg(F.min("doc_id").alias("rep")), keys).select("doc_id", "rep")
+
+
+def class_pairs(lines: DataFrame, classes: DataFrame, shared: int = 3, length: int = 30) -> DataFrame:
+    """JN-08: p, q, shared: pairs of classes whose documents share so many lines, p <= q: a class of several documents pairs with itself.
+    As many rows as there are different texts that pair, however many copies they have."""
+    reps = classes.where("doc_id = rep").select("doc_id")
+    own = lines.join(reps, "doc_id", "left_semi")
+    across = edition_pairs_by_lines(own, shared, length).select(F.col("a").alias("p"), F.col("b").alias("q"), "shared")
+    several = classes.where("doc_id <> rep").select(F.col("rep").alias("doc_id")).distinct()
+    within = own.where(F.length("line") > length).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.count_distinct("line").alias("shared")).where(F.col("shared") >= shared)
+    return across.unionByName(within.select(F.col("doc_id").alias("p"), F.col("doc_id").alias("q"), "shared"))
+
+
+def expanded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, shared: the pairs of documents, a < b, that pairs of classes stand for."""
+    side = lambda rep, doc: classes.select(F.col("rep").alias(rep), F.col("doc_id").alias(doc))
+    both = pairs.join(side("p", "x"), "p").join(side("q", "y"), "q").where("p <> q OR x < y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+
+def directed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: the orders in which classes of pairs meet, a being the class of the document with the smaller id."""
+    last = classes.groupBy("rep").agg(F.max("doc_id").alias("last"))
+    both = pairs.select(F.col("p").alias("a"), F.col("q").alias("b")).unionByName(pairs.where("p <> q").select(F.col("q").alias("a"), F.col("p").alias("b")))
+    return both.join(last.withColumnRenamed("rep", "b"), "b").where("a < last").select("a", "b")  # a class's name is its smallest id
+
+
 def pair_lines(pairs: DataFrame, lines: DataFrame, side: str) -> DataFrame:
     """The lines of one side of each pair: a, b, line_no, line."""
     return pairs.select("a", "b").join(lines, F.col(side) == F.col("doc_id")).select("a", "b", "line_no", "line")

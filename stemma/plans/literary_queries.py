@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions.similarity import words
-from stemma.operators.align import KEYS, MAPPINGS, _align_task, alignment_stats, symmetric
+from stemma.operators.align import align_tasks, alignment_stats, symmetric, task_costs
+from stemma.operators.balance import packed
 from stemma.operators.citations import prepared_citations, prepared_lines, propagate, resolve
-from stemma.operators.passages import edition_pairs_by_lines, find_passages, grams, line_table, pair_lines, plain_norm, plain_norm_sql
+from stemma.operators.passages import class_pairs, directed, edition_classes, edition_pairs_by_lines, expanded, find_passages, grams, line_table, pair_lines, plain_norm, plain_norm_sql
 from stemma.operators.views import scene_view, visible_editions
 from stemma.plans.registry import Tables, query
 from stemma.session import checkpointed, small_side
@@ -49,6 +50,31 @@ def edition_pairs(t: Tables) -> DataFrame:
     return edition_pairs_by_lines(line_table(t.documents))
 
 
+TEXTS = f"SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS rep FROM (SELECT doc_id, list((line_no, line) ORDER BY line_no) AS l FROM ({LINES}) GROUP BY 1)"
+
+
+@query(TEXTS)
+def text_classes(t: Tables) -> DataFrame:
+    """JN-08: documents of equal lines, and the smallest of them."""
+    return edition_classes(line_table(t.documents))
+
+
+@query(f"""WITH c AS ({TEXTS}), l AS (SELECT DISTINCT doc_id, line FROM ({LINES}) WHERE length(line) > 30 AND doc_id IN (SELECT rep FROM c))
+SELECT x.doc_id AS p, y.doc_id AS q, count(*) AS shared FROM l x JOIN l y ON x.line = y.line AND (x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.doc_id IN (SELECT rep FROM c WHERE doc_id <> rep)) GROUP BY 1, 2 HAVING count(*) >= 3""")
+def text_class_pairs(t: Tables) -> DataFrame:
+    """JN-08: pairs of different texts, each once, and texts of several copies with themselves."""
+    lines = line_table(t.documents)
+    return class_pairs(lines, checkpointed(edition_classes(lines)))
+
+
+@query(PAIRS)
+def expanded_pairs(t: Tables) -> DataFrame:
+    """JN-08: all pairs of editions, from the classes."""
+    lines = line_table(t.documents)
+    classes = checkpointed(edition_classes(lines))
+    return expanded(class_pairs(lines, classes), classes)
+
+
 ANCHORS = f"""WITH p AS ({PAIRS}), l AS ({LINES}), w AS (SELECT doc_id, line_no, list_distinct(string_split({plain_norm_sql('line')}, ' ')) AS w FROM l),
 s AS (SELECT a, b, x.line_no AS i, y.line_no AS j, len(list_intersect(x.w, y.w)) AS c, len(list_distinct(list_concat(x.w, y.w))) AS u FROM p JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b),
 r AS (SELECT a, b, i, j, c / u AS sim, row_number() OVER (PARTITION BY a, b, i ORDER BY c / u DESC, j) AS ri, row_number() OVER (PARTITION BY a, b, j ORDER BY c / u DESC, i) AS rj FROM s WHERE c > 0)
@@ -68,15 +94,51 @@ def mutual_best_anchors(t: Tables) -> DataFrame:
     return best.select("a", "b", "i", "j", F.round("sim", 6).alias("similarity"))
 
 
-def _aligned(t: Tables) -> DataFrame:
-    lines = line_table(t.documents)
-    pairs = edition_pairs_by_lines(lines)
-
+def _sides(pairs: DataFrame, lines: DataFrame) -> list[DataFrame]:
     def side(name: str) -> DataFrame:
         l = pair_lines(pairs, lines, name)
         return l.select(F.col("a").alias("edition_a_id"), F.col("b").alias("edition_b_id"), F.lit(0).cast("long").alias("work_id"), F.lit(1).alias("act"), F.lit(1).alias("scene"), F.struct(F.col("line_no").alias("no")).alias("place"), F.col("line_no").cast("long").alias("line_id"), F.col("line").alias("content"), F.col("line_no").alias("line_number"), F.lit("speech").alias("content_type"), F.lit(0.0).alias("affinity"), F.lit(-0.1).alias("gap"))
 
-    return side("a").groupBy(*KEYS).cogroup(side("b").groupBy(*KEYS)).applyInArrow(_align_task, MAPPINGS)
+    return [side("a"), side("b")]
+
+
+def _aligned(t: Tables) -> DataFrame:
+    """Line mappings of all pairs of editions. Equal texts are aligned once, and their mappings given to each pair of them."""
+    lines = line_table(t.documents)
+    classes = checkpointed(edition_classes(lines))
+    pairs = checkpointed(directed(class_pairs(lines, classes), classes))
+    mapped = align_tasks(*_sides(pairs, lines))
+    side = lambda s: classes.select(F.col("rep").alias(f"edition_{s}_id"), F.col("doc_id").alias(s))
+    each = mapped.join(side("a"), "edition_a_id").join(side("b"), "edition_b_id").where("a < b")
+    return each.select(*[F.col(c[-4]).alias(c) if c.startswith("edition_") else F.col(c) for c in mapped.columns])
+
+
+LOADS = f"""WITH p AS ({PAIRS}), n AS (SELECT doc_id, count(*) AS n FROM ({LINES}) GROUP BY 1),
+c AS (SELECT a, b, CASE WHEN x.n * y.n > 15000000 THEN x.n + y.n ELSE greatest(x.n * y.n, x.n + y.n) END::BIGINT AS cost FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b),
+t AS (SELECT greatest(1, max(cost), (sum(cost)::BIGINT + 31) // 32) AS t FROM c),
+k AS (SELECT *, CASE WHEN cost * 3 > 2 * t THEN 0 WHEN cost * 3 > t THEN 1 ELSE 2 END AS kind FROM c, t),
+r AS (SELECT *, row_number() OVER w - 1 AS r, sum(cost) OVER w::BIGINT - cost AS before FROM k WINDOW w AS (PARTITION BY kind ORDER BY cost DESC, a, b ROWS UNBOUNDED PRECEDING)),
+i AS (SELECT *, CASE kind WHEN 0 THEN r WHEN 1 THEN r // 2 ELSE before // t END AS i FROM r),
+u AS (SELECT coalesce(max(i) FILTER (kind = 0), -1) + 1 AS u0, coalesce(max(i) FILTER (kind = 1), -1) + 1 AS u1 FROM i)
+SELECT a, b, cost, (i + CASE kind WHEN 0 THEN 0 WHEN 1 THEN u0 ELSE u0 + u1 END)::BIGINT AS partition FROM i, u"""
+
+
+def _packed(t: Tables) -> DataFrame:
+    lines = line_table(t.documents)
+    costs = task_costs(*_sides(edition_pairs_by_lines(lines), lines), ["edition_a_id", "edition_b_id"])
+    return packed(costs.select(F.col("edition_a_id").alias("a"), F.col("edition_b_id").alias("b"), "cost"), ["a", "b"], 32)
+
+
+@query(LOADS)
+def task_packing(t: Tables) -> DataFrame:
+    """SRT-06: what aligning each pair costs, and the partition that does it."""
+    return _packed(t)
+
+
+@query(f"SELECT partition, count(*) AS tasks, sum(cost)::BIGINT AS cost, max(cost) AS dearest FROM ({LOADS}) GROUP BY 1")
+def partition_loads(t: Tables) -> DataFrame:
+    """SRT-06: the load of each partition."""
+    return _packed(t).groupBy("partition").agg(F.count("*").alias("tasks"), F.sum("cost").alias("cost"), F.max("cost").alias("dearest"))
 
 
 @query()
