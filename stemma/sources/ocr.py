@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions.text import first_letter, is_all_caps, is_page_number
+from stemma.operators.scan import dealt, running
+from stemma.session import small_side
+from stemma.sources.splits import numbered_lines
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """volume, line_no, line of the text files at a path, in the order of each file."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("volume"), "value")
-    return texts.select("volume", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """volume, line_no, line of the text files at a path, in the order of each file; files are read by splits."""
+    return numbered_lines(spark, path)
 
 
 def segment(lines: DataFrame, starts: Column, drop: Column | None = None) -> DataFrame:
     """volume, entry_no, first, raw_text: a flagged line begins an entry, which goes on to the next one; lines before the first are left
-    out. Each volume is one task's order, so volumes are numbered apart."""
+    out. Volumes are numbered apart; the numbers are a running sum, so a volume is not one task."""
     kept = lines.where(~drop) if drop is not None else lines
-    flagged = kept.withColumn("_s", F.coalesce(starts, F.lit(False)).cast("int"))
-    numbered = flagged.withColumn("entry_no", F.sum("_s").over(W.partitionBy("volume").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow))).where("entry_no > 0")
+    flagged = kept.select("volume", "line_no", "line", F.coalesce(starts, F.lit(False)).cast("int").alias("_s"))
+    numbered = running(dealt(flagged, ["volume"], ["line_no"]), ["volume"], ["line_no"], {"entry_no": ("sum", F.col("_s"))}).where("entry_no > 0")
     parts = numbered.groupBy("volume", "entry_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     return parts.select("volume", "entry_no", F.col("ls")[0]["line"].alias("first"), F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("raw_text"))
 
@@ -55,10 +56,10 @@ def slang_start(line: Column) -> Column:
 
 def between_markers(lines: DataFrame, begin: str, end: str) -> DataFrame:
     """The lines of each volume after the first line that holds begin and before the next that holds end."""
-    w = W.partitionBy("volume")
-    marked = lines.withColumn("_b", F.min(F.when(F.contains("line", F.lit(begin)), F.col("line_no"))).over(w))
-    marked = marked.withColumn("_e", F.min(F.when(F.contains("line", F.lit(end)) & (F.col("line_no") > F.col("_b")), F.col("line_no"))).over(w))
-    return marked.where("line_no > _b AND (_e IS NULL OR line_no < _e)").drop("_b", "_e")
+    first = lines.where(F.contains("line", F.lit(begin))).groupBy("volume").agg(F.min("line_no").alias("_b"))
+    after = lines.where(F.contains("line", F.lit(end))).join(first, "volume").where("line_no > _b").groupBy("volume").agg(F.min("line_no").alias("_e"))
+    bounds = small_side(first.join(after, "volume", "left"), 100_000)  # a row for each volume
+    return lines.join(bounds, "volume").where("line_no > _b AND (_e IS NULL OR line_no < _e)").select(*lines.columns)
 
 
 def reference_entries(lines: DataFrame, source: str) -> DataFrame:
