@@ -166,16 +166,29 @@ def _int(s: str | None) -> int | None:
     return int(s) if s and s.isdigit() else None
 
 
-_SHOWN = re.compile(r"([IVXLC]+|\d+)(?:\s*,\s*(\d+))?(?:\s*,\s*(\d+))?\s*\.?\s*$")
+#: Numbers of a displayed reference: act, scene and line at most.
+MOST_SHOWN = 3
+
+
+def shown_numbers(shown: str | None) -> list[int]:
+    """The numbers that a displayed reference ends in, set off by commas; the first may be Roman and follow the name of the work."""
+    out: list[int] = []
+    for part in reversed((shown or "").rstrip().removesuffix(".").split(",")):
+        last = re.split(r"[^0-9A-Za-z]", part.strip())[-1]
+        if not (last.isdigit() or last and set(last) <= set("IVXLC")) or len(out) == MOST_SHOWN:
+            break
+        out.insert(0, _number(last))
+        if not part.strip().isdigit():
+            break
+    return out
 
 
 def supplement(ref: dict | None, shown: str | None, kind: str) -> dict | None:
     """PRS-02: parts that the reference lacks, from the numbers at the end of the displayed text; a play shown with two numbers cites
     act and line, so a scene without a line is read as the line."""
-    m = _SHOWN.search(shown or "")
-    if ref is None or not m:
+    numbers = shown_numbers(shown)
+    if ref is None or not numbers:
         return ref
-    numbers = [_number(g) for g in m.groups() if g]
     names = {"sonnet_sequence": ("scene", "line"), "poem": ("line",)}.get(kind, ("act", "scene", "line"))
     if kind not in ("sonnet_sequence", "poem") and len(numbers) == 2:
         if ref["line"] is None and ref["scene"] == numbers[1]:

@@ -10,8 +10,8 @@ from stemma.functions import text as tx
 from stemma.functions.normalize import norm_chain, normalize, normalize_text
 
 NORMAL = [
-    ("Hello, World! How's it going?", "hello world hows it going"),
-    ("  multiple   spaces  and\ttabs\nnewlines", "multipl spaces and tabs newlines"),
+    ("Stay; you there -- \"Friend\"?", "stay you ther friend"),
+    (" \ttwo  words\nor\t three ", "two words or thre"),
     ("have", "haue"), ("vpon", "upon"), ("virtue", "uirtue"), ("beautie", "beauty"), ("pittie", "pitty"), ("die", "die"),
     ("Juliet", "iuliet"), ("joy", "ioy"), ("speake", "speak"), ("done", "done"), ("arrive", "arriue"), ("shallle", "shall"),
     ("i' th' air", "in the air"), ("o'th'world", "of theworld"), ("'gainsth", "againsth"), ("ﬁre ſee", "fire se"), ("to-morrow", "tomorrow"),

@@ -59,8 +59,8 @@ def test_inline_citations():
 
 def test_concordance_citations():
     forms = ct.Forms(plays=("Com. of Errors", "Coriolanus"), poems=("Sonnet",), style="spaced", spellings={"Coriolanut": "Coriolanus"})
-    text = "Abbey.  housed  in  Com.  of  Errors  v  1  188\nmore text  iii  2  5\nShow them Coriolanut  ii  2  152\n love  Sonnet  12\nvi  1  2"
-    assert ct.citations(text, forms) == [("Com. of Errors", 5, 1, 188), ("Com. of Errors", 3, 2, 5), ("Coriolanus", 2, 2, 152), ("Sonnet", None, None, 12), ("Sonnet", 6, 1, 2)]
+    text = "Quarry.  near  the  old  quarry  stood  Com.  of  Errors  iv  2  61\nas before  iii  2  5\nLet us go Coriolanut  ii  2  152\n sweet  Sonnet  12\nvi  1  2"
+    assert ct.citations(text, forms) == [("Com. of Errors", 4, 2, 61), ("Com. of Errors", 3, 2, 5), ("Coriolanus", 2, 2, 152), ("Sonnet", None, None, 12), ("Sonnet", 6, 1, 2)]
     henley = ct.Forms(plays=("Hamlet", "Henry V"), style="act_scene")
     assert ct.citations("1602. Hamlet [1602], iii. Sc. 2; Henry V [iv., 3.]", henley) == [("Hamlet", 3, 2, None), ("Henry V", 4, 3, None)]
     assert ct.segments("see Ham. i. here", [(4, 11)]) == [("see ", False), ("Ham. i.", True), (" here", False)]
@@ -207,3 +207,8 @@ def test_stream(spark, tmp_path):
 def test_missing_files(spark, q):
     a = spark.createDataFrame([("a",), ("b",)], "name string")
     assert {r["name"] for r in tables.missing_files(a, a.where(f"name = '{q}'")).collect()} == {"a", "b"}
+
+
+def test_shown_numbers():
+    said = {"Hml. I, 2, 15": [1, 2, 15], "Tp. IV, 12.": [4, 12], "Sonn. 18, 3": [18, 3], "Ven. 30": [30], "H6A I, 1, 1, 1": [1, 1, 1], "no number": [], "": [], "Ham.III": [3], "1, 2, 3, 4": [2, 3, 4]}
+    assert {s: ct.shown_numbers(s) for s in said} == said and ct.shown_numbers(None) == []
