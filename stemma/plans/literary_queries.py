@@ -11,6 +11,7 @@ from stemma.operators.align import align_tasks, alignment_stats, symmetric, task
 from stemma.operators.balance import packed
 from stemma.operators.citations import prepared_citations, prepared_lines, propagate, resolve
 from stemma.operators.passages import class_pairs, directed, edition_classes, edition_pairs_by_lines, expanded, find_passages, grams, line_table, pair_lines, plain_norm, plain_norm_sql
+from stemma.operators.patience import anchors, filled
 from stemma.operators.views import scene_view, visible_editions
 from stemma.plans.registry import Tables, query
 from stemma.session import checkpointed, small_side
@@ -94,6 +95,35 @@ def mutual_best_anchors(t: Tables) -> DataFrame:
     return best.select("a", "b", "i", "j", F.round("sim", 6).alias("similarity"))
 
 
+NORMS = f"SELECT doc_id, line_no, {plain_norm_sql('line')} AS norm FROM ({LINES})"
+CHAIN = f"""WITH RECURSIVE p AS ({PAIRS}), l AS (SELECT * FROM ({NORMS}) WHERE norm <> ''), o AS (SELECT doc_id, norm, min(line_no) AS line_no FROM l GROUP BY 1, 2 HAVING count(*) = 1),
+s AS (SELECT a, b, x.line_no AS i, y.line_no AS j, row_number() OVER (PARTITION BY a, b ORDER BY x.line_no) AS k FROM p JOIN o x ON x.doc_id = a JOIN o y ON y.doc_id = b AND y.norm = x.norm),
+v AS (SELECT a, b, list(j ORDER BY k) AS v FROM s GROUP BY 1, 2),
+r AS (SELECT a, b, v, 0 AS k, []::BIGINT[] AS ls, []::BIGINT[] AS bs FROM v UNION ALL SELECT a, b, v, k + 1, list_append(ls, m + 1), list_append(bs, CASE WHEN m = 0 THEN 0 ELSE list_position(x, m) END)
+ FROM (SELECT *, coalesce(list_max(x), 0) AS m FROM (SELECT *, list_transform(range(1, k + 1), lambda q: CASE WHEN v[q] < v[k + 1] THEN ls[q] ELSE 0 END) AS x FROM r WHERE k < len(v)))),
+t AS (SELECT a, b, bs, list_position(ls, list_max(ls)) AS k FROM r WHERE k = len(v) UNION ALL SELECT a, b, bs, bs[k] FROM t WHERE bs[k] > 0),
+c AS (SELECT a, b, i, j FROM t JOIN s USING (a, b, k))"""
+
+
+@query(f"{CHAIN} SELECT * FROM c")
+def patience_anchors(t: Tables) -> DataFrame:
+    """ALN-03, ALN-04: the longest chain of lines that each of two editions has once."""
+    lines = line_table(t.documents)
+    return anchors(edition_pairs_by_lines(lines).select("a", "b"), _normed(t))
+
+
+@query(f"""{CHAIN}, g AS (SELECT a, b, x.line_no AS i, list_distinct(list_filter(string_split(norm, ' '), lambda z: z <> '')) AS w, (SELECT count(*) FROM c WHERE c.a = p.a AND c.b = p.b AND c.i < x.line_no) AS gap FROM p JOIN l x ON x.doc_id = a WHERE NOT EXISTS (FROM c WHERE c.a = p.a AND c.b = p.b AND c.i = x.line_no)),
+h AS (SELECT a, b, x.line_no AS j, list_distinct(list_filter(string_split(norm, ' '), lambda z: z <> '')) AS w, (SELECT count(*) FROM c WHERE c.a = p.a AND c.b = p.b AND c.j < x.line_no) AS gap FROM p JOIN l x ON x.doc_id = b WHERE NOT EXISTS (FROM c WHERE c.a = p.a AND c.b = p.b AND c.j = x.line_no)),
+e AS (SELECT a, b, gap, i, j, len(list_intersect(g.w, h.w)) / len(list_distinct(list_concat(g.w, h.w))) AS sim FROM g JOIN h USING (a, b, gap) WHERE list_has_any(g.w, h.w)),
+n AS (SELECT *, row_number() OVER (PARTITION BY a, b, gap, i ORDER BY sim DESC, j) AS ri, row_number() OVER (PARTITION BY a, b, gap, j ORDER BY sim DESC, i) AS rj FROM e)
+SELECT a, b, i, j, 1.0::DOUBLE AS similarity FROM c UNION ALL SELECT a, b, i, j, round(sim, 6) FROM n WHERE ri = 1 AND rj = 1 AND sim >= 0.7""")
+def patience_fill(t: Tables) -> DataFrame:
+    """ALN-03, ALN-04: anchors, and the best lines between them."""
+    lines = line_table(t.documents)
+    found = filled(checkpointed(edition_pairs_by_lines(lines).select("a", "b")), _normed(t))
+    return found.select("a", "b", "i", "j", F.round("similarity", 6).alias("similarity"))
+
+
 def _sides(pairs: DataFrame, lines: DataFrame) -> list[DataFrame]:
     def side(name: str) -> DataFrame:
         l = pair_lines(pairs, lines, name)
