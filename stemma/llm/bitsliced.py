@@ -10,7 +10,7 @@ Rows stay in blocks of bounded bytes, and the queries go to the blocks: a block'
 pass by in batches, so one index serves them all and neither all rows nor all queries are ever in one task's memory. The k best
 of each query in each block go on. Where there are fewer blocks than cores, some tasks share a block's queries.
 
-Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part, nor do rows with a null
+Defined cases: vectors that are null, or hold a null or a non-finite component, take no part; empty ones do, with products of 0, nor do rows with a null
 id; shorter vectors count as padded with zeros; repeated rows under one id are rows each; equal query rows are answered once; rows with the query's id are its own;
 an empty table gives no rows; scores that may not fit a long raise ValueError; other columns are ignored.
 """
@@ -108,12 +108,12 @@ def _quantise(scale: float):
         for batch in batches:
             ids, out = [], []
             for i, v in zip(batch.column("id").to_pylist(), batch.column("v"), strict=True):
-                if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
+                if i is None or not v.is_valid or v.values is not None and v.values.null_count:
                     continue
                 x = np.floor(np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64) * scale)
                 if not np.isfinite(x).all():
                     continue
-                if np.abs(x).max() >= 2**31:
+                if np.abs(x).max(initial=0) >= 2**31:
                     raise ValueError("a quantised component needs more than 32 bits: scores may not fit a long")
                 ids.append(i)
                 out.append(x.astype("<i4").tobytes())
@@ -208,7 +208,7 @@ def search_report(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFr
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.e, r.e), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, r.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
 k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM k WHERE rank <= 20
 """

@@ -67,7 +67,10 @@ def host_rates(counted: DataFrame, host: str = "source", rules: dict[str, str] |
     hosts = materialize(hosts, "hosts")
     mean = hosts.agg(F.sum("failed") / F.sum("n")).scalar()
     spread = hosts.agg(F.sum(F.col("n") * F.pow(F.col("failed") / F.col("n") - mean, F.lit(2))) / F.sum("n")).scalar()
-    strength = F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.coalesce(F.try_divide(mean * (1 - mean), spread) - 1, F.lit(STRENGTH[1]))))
+    # Rates of hosts with few documents vary by chance alone: of the spread, that share is taken off before the moments give the prior.
+    chance = hosts.agg(F.count("*") / F.sum("n")).scalar()
+    between = F.try_divide(spread - mean * (1 - mean) * chance, 1 - chance)
+    strength = F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.when(between > 1e-12, mean * (1 - mean) / F.nullif(between, F.lit(0.0)) - 1).otherwise(F.lit(STRENGTH[1]))))
     return hosts.withColumn("rate", (F.col("failed") + strength * mean) / (F.col("n") + strength))
 
 
@@ -104,8 +107,9 @@ m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS other FROM m),
 h AS (SELECT source AS host, count(*) AS n, sum((base_failed OR other)::INT) AS failed FROM f WHERE source IS NOT NULL GROUP BY 1),
 p AS (SELECT sum(failed) / sum(n) AS mu FROM h),
-v AS (SELECT any_value(mu) AS mu, sum(n * (failed / n - mu) * (failed / n - mu)) / sum(n) AS var FROM h, p),
-s AS (SELECT mu, least(10000.0, greatest(1.0, coalesce(mu * (1 - mu) / nullif(var, 0) - 1, 10000.0))) AS k FROM v)
+u AS (SELECT any_value(mu) AS mu, sum(n * (failed / n - mu) * (failed / n - mu)) / sum(n) AS var, count(*) / sum(n) AS c FROM h, p),
+v AS (SELECT mu, (var - mu * (1 - mu) * c) / nullif(1 - c, 0) AS var FROM u),
+s AS (SELECT mu, least(10000.0, greatest(1.0, CASE WHEN var > 1e-12 THEN mu * (1 - mu) / var - 1 ELSE 10000.0 END)) AS k FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce((SELECT (failed + k * mu) / (n + k) <= 0.8 FROM h, s WHERE host = f.source), true) AS kept
 FROM f

@@ -249,7 +249,8 @@ def write_packages(pages: DataFrame, folder: str | None = None, packed: bool = T
     packed: each record is a gzip member of the archive."""
     folder = folder or fresh_folder(pages.sparkSession, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("sha", F.sha1(F.coalesce(F.col("html"), F.lit(""))))
-    first = p.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"))
+    # Both are written before they are joined: copies of one payload, however many, can then be split over tasks.
+    first = materialize(p.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first")), "first")
     marked = p.join(first, "sha").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", "url", "html", "first", "revisit")
     return folder, materialize(marked.mapInArrow(tidy(_write(folder, packed)), "path string, bytes long, records long"), "packages")
 
@@ -420,7 +421,7 @@ def round_trip_report(pages: DataFrame) -> DataFrame:
     folder, packages = write_packages(pages)
     read = read_packages(folder, packages)
     records = materialize(read.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "records")
-    response = records.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("to_page"), F.any_value("payload_bytes").alias("to_bytes"))
+    response = materialize(records.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("to_page"), F.any_value("payload_bytes").alias("to_bytes")), "responses")
     joined = records.join(response.select(F.col("record_id").alias("_to"), "to_page", "to_bytes"), F.col("refers_to_id") == F.col("_to"), "left")
     revisit = F.col("record_type") == "revisit"
     return joined.select("page_id", F.when(revisit, F.col("to_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", "record_type", F.when(revisit, F.col("to_page")).alias("refers_to"))

@@ -30,6 +30,12 @@ def test_round_trip(spark):
     assert warc_zip.round_trip_report(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_most_pages_are_one_payload(spark):
+    rows = [(k, "u", "same" * 30_000 if k % 5 else f"page {k}") for k in range(400)]
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc_zip.round_trip_report(spark.createDataFrame(rows, PAGES).repartition(9)).collect()}
+    assert got == {k: (len(h), "revisit" if k % 5 and k != 1 else "response", 1 if k % 5 and k != 1 else None) for k, _, h in rows}
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_packages_are_zip_files(spark, packed):
     rows = [(k, "u", f"page {k}") for k in range(20)]
@@ -116,7 +122,7 @@ def brute(vectors, k, every):
     out = {}
     q = {}
     for i, v in vectors:
-        if i is None or v is None or not len(v) or any(c is None or not np.isfinite(c) for c in v):
+        if i is None or v is None or any(c is None or not np.isfinite(c) for c in v):
             continue
         q.setdefault(i, []).append(tuple(int(np.floor(64 * float(np.float32(c)))) for c in v))
     for i in q:

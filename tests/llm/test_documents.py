@@ -237,6 +237,21 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def test_small_hosts_keep_the_prior_strong(spark):
+    """All hosts fail alike, by chance a few of two documents fail twice: what they vary by is chance, and none is rejected for it."""
+    import random
+
+    rng = random.Random(4)
+    counted = [(f"h{k // 2}", rng.random() < 0.5) for k in range(4000)]
+    df = spark.createDataFrame(counted, "source string, failed boolean")
+    rates = {r["host"]: (r["n"], r["failed"], r["rate"]) for r in quality.host_rates(df, rules={"x": "failed"}).collect()}
+    twice = [r for n, f, r in rates.values() if f == n]
+    assert len(twice) > 300 and max(twice) < 0.6
+    two_kinds = spark.createDataFrame([(f"h{k // 2}", k // 2 % 2 == 0) for k in range(4000)], "source string, failed boolean")
+    rates = [r["rate"] for r in quality.host_rates(two_kinds, rules={"x": "failed"}).where("failed = n").collect()]
+    assert min(rates) > 0.8
+
+
 def test_quality_counts(spark, texts):
     rows = texts + [(500, "a b c a b c a b c\nx y\nx y\n\n", "h"), (501, "a a a a a", None), (502, "#$ <b> \U0001f600 é %", "h")]
     got = {r["doc_id"]: r for r in quality.quality_report(frame(spark, rows)).collect()}
