@@ -61,7 +61,7 @@ def scattered(passages: DataFrame, lines: DataFrame) -> DataFrame:
         one = grams.join(keys, "key").select("item_id", "doc_id", "line_no")
         met = one if met is None else met.unionByName(one)
     if met is None:
-        return quotes.select("item_id").crossJoin(lines.select("doc_id", "line_no").limit(0))  # no quote is short
+        return lines.where("false").select(F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id"), "doc_id", "line_no")
     whole = met.join(lines, ["doc_id", "line_no"]).join(quotes.select("item_id", "own"), "item_id")
     return whole.where(F.forall("own", lambda w: F.contains("norm", w))).select("item_id", "doc_id", "line_no")
 

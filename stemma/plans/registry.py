@@ -36,7 +36,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from stemma.plans import citation_queries, evidence_queries, given_queries, literary_queries, merge_queries, relational_queries, scan_queries, split_queries, stored_queries, text_queries  # noqa: F401
+    from stemma.plans import citation_queries, evidence_queries, given_queries, literary_queries, merge_queries, relational_queries, resolution_queries, scan_queries, split_queries, stored_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

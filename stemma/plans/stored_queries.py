@@ -102,8 +102,9 @@ def trigram_shares(t: Tables) -> DataFrame:
     i, out = _trigrams(t), None
     n = t.documents.count()
     for needle in NEEDLES:
-        tested = stored.candidates(i, stored.rarest(i, needle)).agg(F.count("*").alias("tested"))
-        found = stored.containing(i, t.documents, "doc_id", "text", needle).agg(F.count("*").alias("found"))
-        one = tested.crossJoin(found).select(F.lit(needle).alias("needle"), "tested", "found", F.lit(n).cast("long").alias("documents"))  # one row each
+        tested = stored.candidates(i, stored.rarest(i, needle)).select(F.lit(1).alias("tested"), F.lit(0).alias("found"))
+        found = stored.containing(i, t.documents, "doc_id", "text", needle).select(F.lit(0).alias("tested"), F.lit(1).alias("found"))
+        sums = tested.unionByName(found).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tested", "found")])
+        one = sums.select(F.lit(needle).alias("needle"), "tested", "found", F.lit(n).cast("long").alias("documents"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -305,10 +305,10 @@ def fts_stemmed(t: Tables) -> DataFrame:
     return fts.search(i, 'the OR role:assistant "of the"')
 
 
-@query("""SELECT lang, arg_min(doc_id, (-n_chars, doc_id)) AS doc, max(n_chars)::DOUBLE AS score FROM documents GROUP BY 1""")
+@query(f"""WITH s AS ({_bm25_sql("CASE term WHEN 'the' THEN 0 WHEN 'that' THEN 1 END", 2)}) SELECT lang, arg_min(doc, (-score, doc)) AS doc, max(score) AS score FROM s JOIN documents ON doc_id = doc GROUP BY 1""")
 def fts_grouped(t: Tables) -> DataFrame:
-    """FTS-07, FTS-09: the best document of each key."""
-    scored = t.documents.select(F.col("doc_id").alias("doc"), F.col("n_chars").cast("double").alias("score"))
+    """FTS-07, FTS-09, JN-18: the best document of each language for two words."""
+    scored = fts.bm25(_index(t), ["the", "that"]).select("doc", F.round("score", 6).alias("score"))
     return fts.grouped(scored, t.documents.select(F.col("doc_id").alias("doc"), "lang"), "lang")
 
 
