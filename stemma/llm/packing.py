@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.byte_bpe import blocks
-from stemma.llm.common import keep, materialize, tidy, to_batch
+from stemma.llm.common import keep, materialize, release, tidy, to_batch
 
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, K1, B = 1000, 1.2, 0.75
 #: Characters of text encoded at once, and bytes of encoded documents in a partition of shards.
-BLOCK_BYTES, PART_BYTES = 3_000_000, 16_000_000
+BLOCK_BYTES, PART_BYTES = 1_000_000, 16_000_000
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 LETTER, DIGIT, SPACE, OTHER, END, UNSURE = range(6)
@@ -71,18 +71,28 @@ class TextEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            vocabulary = json.load(f)["model"]["vocab"]
         # Bytes that are no printable characters have stand-ins from 256 on, in their order.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in model["vocab"].items() if not t.startswith("<|")}
+        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in vocabulary.items() if not t.startswith("<|")}
+        del vocabulary
         self.ranks = tiktoken.Encoding("word ends", pat_str="[^ ]+ | ", mergeable_ranks=ranks, special_tokens={"<|no text|>": max(ranks.values()) + 9})
         self.mark = ranks[b" "]  # a space by itself: the end of a text
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.own = path, None
         self.kinds = char_kinds()
+        release()  # what the reading of the vocabulary took
+
+    @property
+    def tokenizer(self):
+        """The tokenizer itself, which few texts need."""
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -114,7 +124,7 @@ class TextEncoder:
             for k, ids in zip(ready, self._block(codes, kinds), strict=True):
                 out[k] = ids
         rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] or "" for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] or "" for k in rest], add_special_tokens=False) if rest else (), strict=True):
             out[k] = np.array([*e.ids, END_ID], dtype="<u4")
         return out
 
@@ -134,8 +144,8 @@ class TextEncoder:
             for found, n in ((quote[begins & short], 1), (quote[begins & long], 2)):
                 last[found] = False
                 last[found + n] = True
-        size = held + last.astype(np.int64) + (kinds == END)
-        upto = np.cumsum(size)
+        size = held.astype(np.int8) + last + (kinds == END)
+        upto = np.cumsum(size, dtype=np.int32 if len(size) < 2**29 else np.int64)
         spaced = np.full(int(upto[-1]), 32, dtype="<u4")
         spaced[(upto - size)[held]] = codes[held]
         ids = self.ranks.encode_to_numpy(spaced.tobytes().decode("utf-32-le"), disallowed_special=()).astype("<u4")
