@@ -75,15 +75,17 @@ def trie(rows: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = ["depth", "k1", "k2"]
     nodes = materialize(keyed.groupBy(*name).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "nodes")
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    root = convs.agg(F.min("conv_id").alias("root"), F.count("*").alias("n_convs")).where("root IS NOT NULL")  # one row
+    root = convs.agg(F.min("conv_id").alias("id"), F.count("*").alias("n")).first()  # two numbers
+    root_id = F.lit(root["id"]).cast("long")
     kept = ["conv_id", "depth", "parent_conv_id", "n_convs", "chars"]
     tree = nodes.where("depth > 1").join(above, ["depth", "p1", "p2"]).select(*kept)
-    tree = tree.unionByName(nodes.where("depth = 1").crossJoin(F.broadcast(root.select(F.col("root").alias("parent_conv_id")))).select(*kept))
-    tree = tree.unionByName(root.select(F.col("root").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", F.lit(0).cast("long").alias("chars")))
+    tree = tree.unionByName(nodes.where("depth = 1").withColumn("parent_conv_id", root_id).select(*kept))
+    top = [(root["id"], 0, None, root["n"], 0)] if root["n"] else []
+    tree = tree.unionByName(convs.sparkSession.createDataFrame(top, "conv_id long, depth long, parent_conv_id long, n_convs long, chars long"))
     last = materialize(keyed.groupBy("conv_id").agg(F.max(F.struct(*name)).alias("end")).select(F.col("conv_id").alias("member"), "end.*"), "last")
     ends = last.join(nodes.select(*name, "conv_id"), name).select("conv_id", "depth", "member")
-    bare = convs.select(F.col("conv_id").alias("member")).join(last.select("member"), "member", "left_anti").crossJoin(F.broadcast(root.select(F.col("root").alias("conv_id"))))
-    ends = ends.unionByName(bare.select("conv_id", F.lit(0).cast("long").alias("depth"), "member"))
+    bare = convs.select(F.col("conv_id").alias("member")).join(last.select("member"), "member", "left_anti")
+    ends = ends.unionByName(bare.select(root_id.alias("conv_id"), F.lit(0).cast("long").alias("depth"), "member"))
     out = materialize(tree, "tree"), materialize(ends, "ends")
     discard(x, keyed, nodes, last)
     return out
