@@ -4,8 +4,7 @@ A document's set holds the hashes of its distinct word shingles. Sets whose simi
 H tokens, H = (x + y) / 9 for sizes x <= y <= x / 0.8. For each band of sizes the universe of tokens is dealt into
 segments by hash. A segment has threshold 0 (its subset is indexed) or 1 (its one-deletion neighbourhood is indexed too);
 thresholds t with sum(t + 1) = H + 1 + slack make any similar pair agree, within its threshold, on segments of weight
-slack + 1 at least. allocate() chooses the thresholds of a band by cost: signatures to send against expected false
-candidates. The slack lets every set drop its most frequent signatures, up to that weight: the rarest signature that a
+slack + 1 at least. allocate() chooses the thresholds of a band by the signatures that they send. The slack lets every set drop its most frequent signatures, up to that weight: the rarest signature that a
 pair shares is among the most frequent of neither, so no pair is lost.
 
 Equal sets are one class from the start, named by 64 bits of their digest; signatures go to shards in packed batches, and a
@@ -98,7 +97,9 @@ def bands_of(n: int) -> range:
 
 
 def allocate(band: int, sets: int) -> tuple[int, int, int]:
-    """(segments of threshold 0, segments of threshold 1, slack) of a band that holds so many sets, by cost."""
+    """(segments of threshold 0, segments of threshold 1, slack) of a band: those that send the fewest signatures, however many sets it holds.
+
+    Groups bound the candidates of a signature, so what is sent need not grow with the sets; signatures of threshold 1 are not dropped."""
     top = int(EDGES[band + 1]) - 1
     need = (top + top * 5 // 4) // 9 + 1
     slack = math.ceil(0.5 * need) if need > 1 else 0
@@ -106,13 +107,9 @@ def allocate(band: int, sets: int) -> tuple[int, int, int]:
     for share in (0.0, 0.25, 0.5, 1.0):
         ones = int((need + slack) * share / 2)
         zeros = need + slack - 2 * ones
-        load = top / (zeros + ones)
-        signatures = zeros + ones * (1 + load)
-        # Of all pairs of sets some share half of their text: a segment agrees by chance if neither set has its own token in it.
-        chance = zeros * math.exp(-load) + ones * math.exp(-load) * (1 + load)
-        cost = sets * signatures + 1e-4 * sets * sets * chance
-        if best is None or cost < best[0]:
-            best = (cost, zeros, ones, slack)
+        signatures = zeros + ones * (1 + top / (zeros + ones))
+        if best is None or signatures < best[0]:
+            best = (signatures, zeros, ones, slack)
     return best[1:]
 
 

@@ -80,6 +80,14 @@ def test_jaccard_large_groups(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("band", [5, 10, 15, 20, 30])
+def test_what_a_set_sends_does_not_grow_with_the_sets(band):
+    top = int(jaccard.EDGES[band + 1]) - 1
+    for sets in (1_000, 10_000_000):
+        zeros, ones, _ = jaccard.allocate(band, sets)
+        assert zeros + ones * (1 + top / (zeros + ones)) <= 0.5 * top
+
+
 @pytest.mark.parametrize("band", [0, 1, 3, 7, 12, 20])
 def test_similar_sets_always_share_a_kept_signature(band):
     r = np.random.default_rng(band)
