@@ -127,9 +127,15 @@ def word_count(s: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(s, F.lit("")), r"(?U)\s+"), ""))
 
 
+#: Letters whose upper case is several letters, and the one letter that stands for it: as in SQL, or the letter itself.
+_SEVERAL = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+_ONE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL)
+
+
 def first_letter(s: Column) -> Column:
-    """SCL-19: the first character in upper case if it is a letter, else ?."""
-    c = F.upper(F.substring(F.trim(s), 1, 1))
+    """SCL-19: the first character after spaces of any kind, in upper case if it is a letter, else ?."""
+    first = F.substring(F.regexp_replace(s, r"^\p{Zs}+", ""), 1, 1)
+    c = F.when(F.contains(F.lit(_SEVERAL), first), F.translate(first, _SEVERAL, _ONE)).otherwise(F.upper(first))
     return F.when(F.rlike(c, F.lit(r"^\p{L}$")), c).otherwise(F.lit("?"))
 
 

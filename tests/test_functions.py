@@ -104,3 +104,8 @@ def test_abbreviation_fallback(spark):
     dim = spark.createDataFrame([("J.C.", "Julius"), ("Ham.", "Hamlet")], "a string, v string")
     got = tx.translate_abbreviation(spark.createDataFrame([("J. C.",), ("Ham.",), ("X",)], "k string"), "k", dim, "a", "v")
     assert {r["k"]: r["resolved"] for r in got.collect()} == {"J. C.": "Julius", "Ham.": "Hamlet", "X": "X"}
+
+
+def test_first_letter_that_has_no_single_capital_or_follows_other_spaces(spark):
+    rows = spark.createDataFrame([(1, "ßan"), (2, "  ß"), (3, "ŉa"), (4, "　ét"), (5, "ᾳ"), (6, "\tab"), (7, ""), (8, None)], "k int, s string")
+    assert dict(rows.select("k", tx.first_letter(F.col("s"))).collect()) == {1: "ẞ", 2: "ẞ", 3: "ŉ", 4: "É", 5: "ᾼ", 6: "?", 7: "?", 8: "?"}
