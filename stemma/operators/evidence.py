@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions.similarity import jaccard, words
+from stemma.operators.fts import grams
 from stemma.operators.passages import find_passages
 from stemma.session import checkpointed, small_side
 
@@ -56,9 +57,8 @@ def scattered(passages: DataFrame, lines: DataFrame) -> DataFrame:
     met = None
     for size in sorted(r[0] for r in quotes.select(F.length("head")).distinct().collect()):  # 1, 2 or 3
         keys = quotes.where(F.length("head") == size).select("item_id", F.col("head").alias("key"))
-        places = F.sequence(F.lit(1), F.greatest(F.length("norm") - size + 1, F.lit(1)))
-        grams = lines.select("doc_id", "line_no", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("norm", i, F.lit(size))))).alias("key"))  # noqa: B023
-        one = grams.join(keys, "key").select("item_id", "doc_id", "line_no")
+        held = lines.select("doc_id", "line_no", F.explode(grams(F.col("norm"), size)).alias("key"))
+        one = held.join(keys, "key").select("item_id", "doc_id", "line_no")
         met = one if met is None else met.unionByName(one)
     if met is None:
         return lines.where("false").select(F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id"), "doc_id", "line_no")

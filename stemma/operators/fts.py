@@ -11,7 +11,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -228,11 +228,14 @@ def trigram_search(df: DataFrame, column: str, q: str) -> DataFrame:
     return df.where(F.contains(F.lower(column), F.lit(q.lower()))) if len(q) >= 3 else df.limit(0)
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of so many characters, in one pass over a text: substring() would look for each place from the beginning."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
+
+
 def trigram_postings(df: DataFrame, key: str, column: str) -> DataFrame:
     """gram, doc: the distinct trigrams of each text, a prefilter for substring search on large tables."""
-    low = F.lower(F.coalesce(column, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return df.where(F.length(column) >= 3).select(F.col(key).alias("doc"), F.explode(F.array_distinct(grams)).alias("gram"))
+    return df.where(F.length(column) >= 3).select(F.col(key).alias("doc"), F.explode(grams(F.lower(column), 3)).alias("gram"))
 
 
 def grouped(scored: DataFrame, entries: DataFrame, key: str = "base_key") -> DataFrame:

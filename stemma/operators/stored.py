@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.operators.fts import B, K1, plain_tokens, stemmed_tokens
+from stemma.operators.fts import B, K1, grams, plain_tokens, stemmed_tokens
 from stemma.session import small_side
 
 #: Documents of a range on average, partitions by hash of the term.
@@ -220,10 +220,6 @@ def phrase(index: StoredIndex, terms: list[str]) -> DataFrame:
 # ---- trigrams
 
 
-def _grams(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))
-
-
 def write_trigrams(df: DataFrame, key: str, column: str, path: str, per_range: int = RANGE, buckets: int = BUCKETS) -> StoredIndex:
     """FTS-03: the documents of each trigram of a column in lower case, as blocks. Rows without a text, or with less than three characters, have none."""
     spark = df.sparkSession
@@ -231,7 +227,7 @@ def write_trigrams(df: DataFrame, key: str, column: str, path: str, per_range: i
     t.select("doc").write.mode("overwrite").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     low, width = _width(docs, per_range)
-    each = t.where(F.length("text") >= GRAM).select("doc", F.explode(F.array_distinct(_grams(F.col("text")))).alias("term")).withColumn("range", _range(F.col("doc"), low, width))
+    each = t.select("doc", F.explode(grams(F.col("text"), GRAM)).alias("term")).withColumn("range", _range(F.col("doc"), low, width))
     place = ["bucket", "slice", "term", "range"]
     blocks = _dealt(each, buckets).groupBy(*place).agg(F.array_sort(F.collect_list("doc")).alias("doc"))
     _write_by_term(blocks.withColumn("n", F.size("doc")), f"{path}/blocks")

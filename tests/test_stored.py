@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from stemma.operators import stored
+from stemma.operators import fts, stored
 
 WORDS = ["sun", "moon", "star", "sea", "sand", "rock", "tree", "leaf", "rain", "snow"]
 
@@ -89,3 +91,12 @@ def test_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     i = stored.write_index(df, "doc_id", "text", str(tmp_path / "e"))
     assert i.n == 0 and stored.best(i, ["sun"], 3).best.count() == 0 and stored.phrase(i, ["sun"]).count() == 0
+
+
+def test_grams_of_a_long_text_take_one_pass(spark):
+    """Looking for each place from the beginning takes minutes here."""
+    text = "".join(chr(0x1F600 + k * k % 40) + "ab\n"[k % 3] for k in range(400_000))
+    began = time.time()
+    got = {r[0] for r in spark.createDataFrame([(text,)], "t string").select(F.explode(fts.grams(F.col("t"), 3))).collect()}
+    assert got == {text[k : k + 3] for k in range(len(text) - 2)}
+    assert time.time() - began < 30
