@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.similarity import words
 from stemma.operators.evidence import evidence, fuzzy_candidates, fuzzy_pairs, scattered
+from stemma.operators.patience import mutual_best, rare_first
 
 VOCABULARY = [a + b for a in ("ka", "lo", "mi", "ru", "x") for b in ("n", "rast", "", "vel", "o")]
 
@@ -61,3 +62,14 @@ def test_evidence(frames, corpus):
     holds = lambda i, q, d, k, x: q and len(q) >= 3 and (q in x or (d, k + 1) in after and q in f"{x} {after[d, k + 1]}")
     want = {(i, d) for i, q in passages for d, k, x in lines if holds(i, q, d, k, x) or short(q, x) or similarity(q, x) > 0.5}
     assert {tuple(r) for r in evidence(*frames).collect()} == want
+
+
+def test_mutual_best_meets_by_rare_words(spark, frames, corpus):
+    lines = [(d, k, x) for d, k, x in corpus[0] if d < 2]
+    held = rare_first(frames[1].where("doc_id < 2"), 0.4)
+    side = lambda d, no, n: held.where(F.col("doc_id") == d).select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("line_no").alias(no), F.size("w").alias(n), "rare")
+    got = {(r["i"], r["j"]) for r in mutual_best(side(0, "i", "n"), side(1, "j", "m"), ["a", "b"], held, 0.4).collect()}
+    sim = {(i, j): similarity(x, y) for d, i, x in lines if d == 0 for e, j, y in lines if e == 1}
+    best = {(i, j) for (i, j), s in sim.items() if s >= 0.4 and all((-s, j) <= (-sim[i, k], k) and (-s, i) <= (-sim[k, j], k) for k in range(1, 8))}
+    assert got == best
+    assert all(r["rare"] < r["w"] for r in held.select(F.size("w").alias("w"), F.size("rare").alias("rare")).where("w > 3").collect())
