@@ -138,6 +138,22 @@ def signatures(s: np.ndarray, plan: dict[int, tuple[int, int, int]]) -> tuple[np
     return np.concatenate(sigs), np.concatenate(tags)
 
 
+def shortened(sig: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards, five bytes) of signatures: what the shard does not tell already, cut to 39 bits, and the lowest bit. Different signatures that
+    fall together make candidates only."""
+    key = sig >> np.uint64(1)
+    rest = ((key // np.uint64(shards) & np.uint64(2**39 - 1)) << np.uint64(1)) | (sig & np.uint64(1))
+    return (key % np.uint64(shards)).astype(np.int64), rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def restored(rest: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    """Signatures of one shard from their bytes: one number for each of shortened()'s, the lowest bit as it was."""
+    wide = np.zeros((len(rest) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = rest.reshape(-1, 5)
+    value = wide.view("<u8").ravel().astype(np.uint64)
+    return (((value >> np.uint64(1)) * np.uint64(shards) + np.uint64(shard)) << np.uint64(1)) | (value & np.uint64(1))
+
+
 # ---- passes over the documents
 
 
@@ -154,9 +170,9 @@ def _emit(plan: dict[int, tuple[int, int, int]], shards: int):
     def packed(sigs: list, ids: list, tags: list) -> pa.RecordBatch:
         sig, tag = np.concatenate(sigs), np.concatenate(tags)
         who = np.repeat(np.array(ids, dtype=np.uint64), [len(x) for x in sigs])
-        shard = ((sig >> np.uint64(1)) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        sig, who, tag, shard = sig[order], who[order], tag[order], shard[order]
+        shard, sig = shortened(sig, shards)
+        order = np.argsort((shard << 8) | tag, kind="stable")  # equal tags in a row take no place once compressed
+        sig, who, tag, shard = sig[order], who[order], tag[order], shard[order].astype(np.int32)
         cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
         ends = np.r_[cuts[1:], len(sig)]
         return to_batch({"shard": shard[cuts], **{k: [v[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] for k, v in (("sigs", sig), ("ids", who), ("tags", tag))}}, schema)
@@ -186,17 +202,19 @@ def _emit(plan: dict[int, tuple[int, int, int]], shards: int):
     return run
 
 
-def _groups(table: pa.Table) -> pa.Table:
+def _groups(table: pa.Table, shards: int) -> pa.Table:
     """The signatures of one shard that two or more classes share: sig, class, size (of the group), tag."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-    sig, who, tag = join("sigs", np.uint64), join("ids", np.uint64), join("tags", np.uint8)
+    sig, who, tag = restored(join("sigs", np.uint8), table.column("shard")[0].as_py(), shards), join("ids", np.uint64), join("tags", np.uint8)
     order = np.lexsort((who, sig >> np.uint64(1)))
     sig, who, tag = sig[order], who[order], tag[order]
     key = sig >> np.uint64(1)
-    # A set may meet a signature twice (its deletion and another's subset); a subset outranks a deletion.
-    new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])][: len(sig)]
-    deletion = np.minimum.reduceat((sig & np.uint64(1)).astype(np.uint8), np.flatnonzero(new))
-    key, who, tag = key[new], who[new], tag[new]
+    # A set may meet a signature twice (its deletion and another's subset); a subset outranks a deletion. One that has fallen
+    # together with another band's (or kind's) is not dropped.
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])][: len(sig)])
+    deletion = np.minimum.reduceat((sig & np.uint64(1)).astype(np.uint8), first)
+    low, high = (f.reduceat(tag, first) if len(tag) else tag for f in (np.minimum, np.maximum))
+    key, who, tag = key[first], who[first], np.where(low == high, low, high | 128).astype(np.uint8)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     some = np.repeat((sizes > 1) & (np.minimum.reduceat(deletion, starts) == 0), sizes)  # two deletions are two apart
@@ -376,7 +394,9 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     total = sum(held[b] * (z + o * (1 + EDGES[b + 1] / (z + o))) for b, (z, o, _) in plan.items())
     shards = max(8, int(total * 17 / SHARD_BYTES) + 1)
     packed = d.where("doc_id IS NOT NULL").select("text").mapInArrow(tidy(_emit(plan, shards)), "shard int, sigs binary, ids binary, tags binary")
-    found = packed.groupBy("shard").applyInArrow(tidy_group(_groups), "sig long, class long, size int, tag int").withColumns({"band": F.col("tag").bitwiseAND(127), "droppable": F.col("tag") < 128})
+    # Two shards to a partition, however many there are: a partition is sorted in memory, and nothing is spilled.
+    packed = packed.repartition(shards // 2, "shard")
+    found = packed.groupBy("shard").applyInArrow(tidy_group(lambda one: _groups(one, shards)), "sig long, class long, size int, tag int").withColumns({"band": F.col("tag").bitwiseAND(127), "droppable": F.col("tag") < 128})
     slack = F.element_at(F.create_map(*[F.lit(v) for b, p in (plan or {0: (0, 0, 0)}).items() for v in (b, p[2])]), F.col("band"))
     rank = F.row_number().over(W.partitionBy("class", "band").orderBy(F.col("droppable").desc(), F.col("size").desc(), "sig"))
     kept = materialize(found.withColumn("rank", rank).where(~F.col("droppable") | (F.col("rank") > slack)).select("sig", "class"), "kept")

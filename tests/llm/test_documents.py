@@ -11,8 +11,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stemma.llm import byte_bpe, dedup_units, jaccard, licenses, packing, pii, quality, secrets
+from stemma.llm.common import materialize
 from stemma.llm.components import components, least_reached
 from stemma.llm.queries import pattern, tokenizer_file
 
@@ -80,6 +82,26 @@ def test_jaccard_large_groups(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("shards", [8, 97, 1100])
+def test_signatures_are_sent_in_five_bytes(shards):
+    r = np.random.default_rng(3)
+    sig = r.integers(0, 2**63, 5000).astype(np.uint64)
+    shard, rest = jaccard.shortened(sig, shards)
+    assert rest.shape == (5000, 5)
+    back = np.zeros_like(sig)
+    for k in np.unique(shard):
+        back[shard == k] = jaccard.restored(np.ascontiguousarray(rest[shard == k]).ravel(), int(k), shards)
+    assert (back & np.uint64(1) == sig & np.uint64(1)).all()
+    assert len(np.unique(back >> np.uint64(1))) == len(np.unique(sig >> np.uint64(1)))  # 5,000 do not fall together
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    count = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = count()
+    materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert count() <= before
+
+
 @pytest.mark.parametrize("band", [5, 10, 15, 20, 30])
 def test_what_a_set_sends_does_not_grow_with_the_sets(band):
     top = int(jaccard.EDGES[band + 1]) - 1
