@@ -10,8 +10,12 @@ from stemma.operators.citations import band_join, nearest
 from stemma.operators.fts import page, relevance_tier
 from stemma.operators.views import first_per_group, stats_row, table_counts
 from stemma.plans.registry import Tables, query
+from stemma.session import checkpointed
 from stemma.sources.markup import fill_running_max, interpolate_numbers, run_ids, scene_counter
 
+#: Rows that a partition makes where a join gives many for one.
+OUT = 2_000_000
+
 # ---- filters and projections
 
 
@@ -234,9 +238,16 @@ def case_insensitive_join(t: Tables) -> DataFrame:
 
 @query("""SELECT a.p_partkey AS id, b.p_partkey AS alias_id FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size = b.p_size""")
 def alias_expansion(t: Tables) -> DataFrame:
-    """JN-20: n to m by equal titles."""
+    """JN-20: n to m by equal titles. The rows that a title gives are counted first: partitions have about OUT of them, and a title of more is
+    dealt over several."""
     title = ["p_type", "p_brand", "p_size"]
-    return t.part.select(*title, F.col("p_partkey").alias("id")).join(t.part.select(*title, F.col("p_partkey").alias("alias_id")), title).select("id", "alias_id")
+    n = checkpointed(t.part.groupBy(*title).agg(F.count("*").alias("n")))
+    made = n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    slices = F.ceil(F.col("n") * F.col("n") / OUT).cast("int")
+    one = t.part.select(*title, F.col("p_partkey").alias("id")).join(n, title).select(*title, "id", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"))
+    other = t.part.select(*title, F.col("p_partkey").alias("alias_id")).join(n, title).select(*title, "alias_id", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    keys, parts = [*title, "slice"], 1 + int(made // OUT)
+    return one.repartition(parts, *keys).hint("merge").join(other.repartition(parts, *keys), keys).select("id", "alias_id")
 
 
 @query("SELECT a.l_orderkey, a.l_partkey AS a_part, b.l_partkey AS b_part, abs(a.l_quantity - b.l_quantity) AS d FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem) b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey")

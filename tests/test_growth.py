@@ -22,3 +22,12 @@ def test_prefix_join_meets_one_supplier_of_each_prefix(spark):
     got = relational_queries.prefix_theta_join(SimpleNamespace(part=part, supplier=supplier))
     assert {tuple(r) for r in got.collect()} == {(1, 9), (2, 4), (4, 7)}
     assert "StartsWith" not in joined_rows(got)  # no test over all pairs of a nation
+
+
+def test_titles_of_many_rows_are_dealt_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(relational_queries, "OUT", 100)
+    part = spark.createDataFrame([(k, "a", "b", 1) for k in range(40)] + [(k, "c", "d", None) for k in range(40, 45)] + [(50, "e", "f", 2)], "p_partkey long, p_type string, p_brand string, p_size int")
+    got = relational_queries.alias_expansion(SimpleNamespace(part=part))
+    rows = got.withColumn("at", F.spark_partition_id()).collect()
+    assert sorted((r["id"], r["alias_id"]) for r in rows) == sorted([(a, b) for a in range(40) for b in range(40)] + [(50, 50)])
+    assert len({r["at"] for r in rows}) > 4
