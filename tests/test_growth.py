@@ -31,3 +31,10 @@ def test_titles_of_many_rows_are_dealt_over_partitions(spark, monkeypatch):
     rows = got.withColumn("at", F.spark_partition_id()).collect()
     assert sorted((r["id"], r["alias_id"]) for r in rows) == sorted([(a, b) for a in range(40) for b in range(40)] + [(50, 50)])
     assert len({r["at"] for r in rows}) > 4
+
+
+def test_pairs_of_suppliers_are_not_shuffled(spark):
+    items = spark.createDataFrame([(1, 3), (1, 1), (1, 3), (1, 2), (2, 1), (2, 3), (3, 5), (None, 7), (None, 8), (4, None), (4, 9)], "l_partkey long, l_suppkey long")
+    got = relational_queries.pairs_with_shared_key(SimpleNamespace(lineitem=items))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert "Exchange" not in joined_rows(got).split("Generate explode(rest")[0]  # pairs are made after the last shuffle
