@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
-from stemma.plans import relational_queries
+from stemma.operators import align, views
+from stemma.plans import literary_queries, relational_queries
 from stemma.plans.registry import queries
 
 queries()
@@ -38,3 +41,32 @@ def test_pairs_of_suppliers_are_not_shuffled(spark):
     got = relational_queries.pairs_with_shared_key(SimpleNamespace(lineitem=items))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 3)]
     assert "Exchange" not in joined_rows(got).split("Generate explode(rest")[0]  # pairs are made after the last shuffle
+
+
+def test_equal_texts_are_aligned_without_a_matrix(monkeypatch):
+    r = random.Random(4)
+    for n in (1, 5, 40):
+        text = [" ".join(r.choices(["a", "b", "sea", "sand", ""], k=r.randrange(6))) for _ in range(n)]
+        numbers, kinds = [r.randrange(5) for _ in text], ["speech"] * n
+        side = lambda t: align.Lines(t, numbers, kinds)  # noqa: B023, E731
+        plain = align.align_sequences(side(text), side([t + " " for t in text]), 0.15)  # the same to every measure, by the whole way
+        with monkeypatch.context() as m:
+            m.setattr(align, "similarity_matrix", None)
+            assert align.align_sequences(side(text), side(text), 0.15) == plain
+
+
+def test_rows_of_classes_for_pairs_of_documents(spark):
+    classes = spark.createDataFrame([(1, 1), (4, 1), (6, 1), (2, 2), (5, 2)], "doc_id long, rep long")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "a long, b long")
+    rows = spark.createDataFrame([(1, 1, "s"), (1, 2, "x"), (2, 1, "y")], "a long, b long, v string")
+    got = {tuple(x) for x in literary_queries._each(rows, pairs, classes, "a", "b").collect()}
+    assert got == {(1, 4, "s"), (1, 6, "s"), (4, 6, "s"), (1, 2, "x"), (1, 5, "x"), (4, 5, "x"), (2, 4, "y"), (2, 6, "y"), (5, 6, "y")}
+
+
+@pytest.mark.parametrize("shown", [True, False])
+def test_scenes_seen_as_the_view_has_them(spark, shown):
+    m = spark.createDataFrame([(1, 1, 1, 1, 1, 2, 1, 7 if shown else None, "aligned", 1.0), (1, 1, 1, 2, 1, 2, 2, None, "only_a", 0.0)], "work_id long, act int, scene int, align_order int, edition_a_id long, edition_b_id long, line_a_id long, line_b_id long, match_type string, similarity double")
+    lines = spark.createDataFrame([(k, 1, 1, 1, 1) for k in (1, 2)], "id long, work_id long, edition_id long, act int, scene int")
+    view = views.visible_editions(views.scene_view(lines, m, spark.createDataFrame([(1, 1)], "work_id long, edition_id long")))
+    seen = {r["edition_b_id"] for r in views.scenes_seen(m).where("seen").collect()}
+    assert {r["edition_id"] for r in view.collect()} == {1} | seen == ({1, 2} if shown else {1})
