@@ -12,17 +12,24 @@ Substrings are found by trigrams in the same layout: documents that hold the rar
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.operators.fts import B, K1, grams, plain_tokens, stemmed_tokens
+from stemma.operators.fts import B, K1, grams, tokens
 from stemma.session import small_side
 
 #: Documents of a range on average, partitions by hash of the term.
 RANGE, BUCKETS = 128, 32
 GRAM = 3
+#: Documents of a partition on average while an index is made; tokens after which a range is cut.
+DEALT, TOKENS = 20_000, 2_000_000
+PLAIN = re.compile("[a-z0-9]+")
 
 #: Trigram blocks have documents only.
 BLOCKS = "term string, range long, n int, most double, doc array<long>, tf array<int>, dl array<int>, positions array<array<int>>, bucket int"
@@ -57,6 +64,57 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return placed.repartition(n, "bucket", "slice")
 
 
+def _words(text: str, stem: bool) -> list[str]:
+    return tokens(text) if stem else PLAIN.findall(text)
+
+
+def _lengths(stem: bool) -> Callable[[Column], Column]:
+    @F.arrow_udf("int")
+    def lengths(texts: pa.Array) -> pa.Array:
+        return pa.array([len(_words(t.as_py(), stem)) for t in texts], pa.int32())
+
+    return lengths
+
+
+def _blocks(mean: float, stem: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of texts in order (range, doc, text), the blocks of each range."""
+
+    def block(at: int, docs: list[int], words: list[list[str]]) -> pa.RecordBatch:
+        names: dict[str, int] = {}
+        term = np.array([names.setdefault(w, len(names)) for own in words for w in own], np.int64)
+        size = np.array([len(own) for own in words], np.int32)
+        doc = np.repeat(np.arange(len(docs)), size)
+        order = np.argsort(term, kind="stable")  # by term, then document, then position
+        term, doc, pos = term[order], doc[order], (np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size))[order]
+        held = np.flatnonzero(np.diff(term, prepend=-1).astype(bool) | np.diff(doc, prepend=-1).astype(bool))  # where postings begin
+        first = np.flatnonzero(np.diff(term[held], prepend=-1))  # where blocks begin, in postings
+        tf, own = np.diff(held, append=len(term)).astype(np.int32), doc[held]
+        dl = size[own]
+        most = np.maximum.reduceat(_weight(tf, dl, mean), first) if len(first) else np.array([], np.float64)
+        ends = pa.array(np.append(first, len(held)), pa.int32())
+        positions = pa.ListArray.from_arrays(pa.array(np.append(held, len(term)), pa.int32()), pa.array(pos, pa.int32()))
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(np.array(docs, np.int64)[own]), pa.array(tf), pa.array(dl), positions)]
+        n = np.diff(first, append=len(held)).astype(np.int32)
+        columns = [pa.array(list(names), pa.string()), pa.array(np.full(len(names), at, np.int64)), pa.array(n), pa.array(most), *lists]
+        return pa.RecordBatch.from_arrays(columns, ["term", "range", "n", "most", "doc", "tf", "dl", "positions"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, docs, words, n = None, [], [], 0
+        for batch in batches:
+            for r, d, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if docs and (r.as_py() != at or n > TOKENS):
+                    yield block(at, docs, words)
+                    docs, words, n = [], [], 0
+                at = r.as_py()
+                docs.append(d.as_py())
+                words.append(_words(text.as_py(), stem))
+                n += len(words[-1])
+        if docs:
+            yield block(at, docs, words)
+
+    return make
+
+
 @dataclass(frozen=True)
 class StoredIndex:
     """An index at a path: blocks by bucket, terms with their document frequency, and one row of statistics."""
@@ -80,22 +138,18 @@ class StoredIndex:
 def write_index(df: DataFrame, key: str, column: str, path: str, stem: bool = False, per_range: int = RANGE, buckets: int = BUCKETS) -> StoredIndex:
     """FTS-01: the index of a column of df, whose key is a whole number without nulls or repetition. An existing one is replaced.
 
-    Tokens are shuffled once, by bucket and slice; both aggregates, to postings and to blocks, find them in place."""
+    Texts are dealt by their key, so that a range's documents come together: what is shuffled to its bucket is a block, not a token. A range
+    that lies in two partitions, or has very many tokens, has several blocks of a term."""
     spark = df.sparkSession
-    token = stemmed_tokens if stem else plain_tokens
-    t = df.select(F.col(key).cast("long").alias("doc"), token(F.col(column)).alias("words"))
-    t.select("doc", F.size("words").alias("dl")).write.mode("overwrite").parquet(f"{path}/docs")
+    text = F.coalesce(F.col(column), F.lit(""))
+    text = text if stem else F.lower(text)
+    df.select(F.col(key).cast("long").alias("doc"), _lengths(stem)(text).alias("dl")).write.mode("overwrite").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     low, width = _width(docs, per_range)
     held = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    each = t.select("doc", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "term")).withColumn("range", _range(F.col("doc"), low, width))
-    place = ["bucket", "slice", "term", "range"]
-    postings = _dealt(each, buckets).groupBy(*place, "doc", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    one = F.array_sort(F.collect_list(F.struct("doc", F.size("positions").alias("tf"), "dl", "positions")))
-    weight = _weight(F.size("positions"), F.col("dl"), held["mean"] or 1.0)
-    blocks = postings.groupBy(*place).agg(one.alias("p"), F.max(weight).alias("most"))
-    blocks = blocks.select(*place, F.size("p").alias("n"), "most", *[F.col(f"p.{c}").alias(c) for c in ("doc", "tf", "dl", "positions")])
-    _write_by_term(blocks, f"{path}/blocks")
+    texts = df.select(_range(F.col(key).cast("long"), low, width).alias("range"), F.col(key).cast("long").alias("doc"), text.alias("text"))
+    texts = texts.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held["n"] // DEALT)), "doc").sortWithinPartitions("doc")
+    _write_by_term(_dealt(texts.mapInArrow(_blocks(held["mean"] or 1.0, stem), BLOCKS.removesuffix(", bucket int")), buckets), f"{path}/blocks")
     written = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     terms = written.groupBy("term").agg(F.sum("n").alias("df"), F.first("bucket").alias("bucket"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
@@ -108,9 +162,9 @@ def open_index(spark: SparkSession, path: str) -> StoredIndex:
     return StoredIndex(spark, path, **spark.read.parquet(f"{path}/stats").first().asDict())
 
 
-def _weight(tf: Column, dl: Column, mean: float) -> Column:
+def _weight(tf: Column | np.ndarray, dl: Column | np.ndarray, mean: float) -> Column | np.ndarray:
     """BM25 without the term's rarity; it grows with tf."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
 def _rarity(n: int, df: int) -> float:
@@ -174,7 +228,7 @@ def best(index: StoredIndex, terms: list[str], k: int, must: bool = False, digit
     rarity, need = {t: _rarity(index.n, x) for t, x in df.items()}, len(terms) if must else 1
     blocks = _read(index, list(df))
     top = lambda scored: scored.select("doc", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
-    # A range's bound is a few bytes; as many ranges go on as blocks of the rarest term could fill with k documents.
+    # Where a term has several blocks in a range, bounds are only larger. A range's bound is a few bytes; as many ranges go on as blocks of the rarest term could fill with k documents.
     bounds = blocks.groupBy("range").agg(F.sum(_by_term(rarity) * F.col("most")).alias("bound"), F.count("*").alias("_n")).where(F.col("_n") >= need)
     first = [r["range"] for r in bounds.orderBy(F.desc("bound"), "range").limit(k).collect()]
     seen = top(_scored(blocks.where(F.col("range").isin(first)), rarity, index.mean, need)).collect()  # k rows

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, views
+from stemma.operators import align, stored, views
 from stemma.plans import literary_queries, relational_queries
 from stemma.plans.registry import queries
 
@@ -70,3 +70,18 @@ def test_scenes_seen_as_the_view_has_them(spark, shown):
     view = views.visible_editions(views.scene_view(lines, m, spark.createDataFrame([(1, 1)], "work_id long, edition_id long")))
     seen = {r["edition_b_id"] for r in views.scenes_seen(m).where("seen").collect()}
     assert {r["edition_id"] for r in view.collect()} == {1} | seen == ({1, 2} if shown else {1})
+
+
+
+def test_an_index_shuffles_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "TOKENS", 5)  # ranges of several blocks of a term
+    df = spark.createDataFrame([(k, "sun sea " * (k % 3 + 1) + ("moon" if k % 2 else "")) for k in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
+    seen = []
+    dealt = stored._dealt
+    monkeypatch.setattr(stored, "_dealt", lambda rows, buckets: seen.append(rows.columns) or dealt(rows, buckets))
+    index = stored.write_index(df, "doc_id", "text", str(tmp_path / "i"), per_range=8, buckets=4)
+    assert seen == [["term", "range", "n", "most", "doc", "tf", "dl", "positions"]]
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == {"sun": 40, "sea": 40, "moon": 20}
+    want = stored.matches(index, ["sun", "moon"]).orderBy(F.round("score", 6).desc(), "doc").limit(5)
+    assert [r["doc"] for r in stored.best(index, ["sun", "moon"], 5, must=True).best.collect()] == [r["doc"] for r in want.collect()]
+    assert [r["doc"] for r in stored.phrase(index, ["sea", "moon"]).orderBy("doc").collect()] == list(range(1, 40, 2))
