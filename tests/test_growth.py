@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, stored, views
+from stemma.operators import align, scan, stored, views
 from stemma.plans import literary_queries, relational_queries
 from stemma.plans.registry import queries
 
@@ -85,3 +85,15 @@ def test_an_index_shuffles_blocks(spark, tmp_path, monkeypatch):
     want = stored.matches(index, ["sun", "moon"]).orderBy(F.round("score", 6).desc(), "doc").limit(5)
     assert [r["doc"] for r in stored.best(index, ["sun", "moon"], 5, must=True).best.collect()] == [r["doc"] for r in want.collect()]
     assert [r["doc"] for r in stored.phrase(index, ["sea", "moon"]).orderBy("doc").collect()] == list(range(1, 40, 2))
+
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS", 50)
+    df = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, F.col("id") * 2).alias("n"))
+    d = scan.dealt(df, [], ["k"])
+    assert scan.parts_of(d) == 40 and d.select(scan.PART).distinct().count() > 20
+    assert "hashpartitioning(_part#" in joined_rows(got := scan.running(d, [], ["k"], {"c": ("count", F.lit(1))})) and ", 40)" in joined_rows(got)
+    assert [(r["k"], r["c"]) for r in got.orderBy("k").collect()] == [(k, k + 1) for k in range(2000)]
+    line = {r["k"]: r["line_number"] for r in scan.interpolated(df, "n", [], ["k"]).collect()}
+    assert all(line[k] == 2 * k for k in range(1995))
