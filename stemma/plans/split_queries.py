@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.operators.scan import parts_for
 from stemma.plans.registry import Tables, query
 from stemma.session import scratch
 from stemma.sources import ocr, splits
@@ -36,10 +37,11 @@ UNION ALL SELECT o_orderkey * 2 + 1, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderk
 e AS (SELECT k, line, sum(s::INT) OVER (ORDER BY k, line ROWS UNBOUNDED PRECEDING) AS entry FROM n)
 SELECT substr(min(line) FILTER (line LIKE 'w_x: see %'), 1, 3) AS headword, regexp_replace(string_agg(line, chr(10) ORDER BY k, line), '^\\s+|\\s+$', '', 'g') AS raw_text FROM e GROUP BY entry""")
 def volume_entries(t: Tables) -> DataFrame:
-    """SRC-23, OTH-01, OTH-02: one long volume made of orders, written as text, read by splits, its lines numbered and cut into entries."""
+    """SRC-23, OTH-01, OTH-02: one long volume made of orders, written as text in files that follow each other, read by splits, its lines numbered and cut into entries."""
     key, note = F.col("o_orderkey"), F.col("o_orderpriority")
     head = t.orders.select((key * 2).alias("k"), F.concat(F.lit("w"), F.chr(97 + key % 26), F.lit("x: see "), note).alias("line"))
     more = t.orders.select((key * 2 + 1).alias("k"), F.when(key % 3 == 0, (key % 1000).cast("string")).otherwise(F.concat(F.lit("  and "), note)).alias("line"))
     path = scratch(t.spark, "volume")
-    head.unionByName(more).coalesce(1).sortWithinPartitions("k", "line").select("line").write.text(path)
-    return ocr.reference_entries(splits.numbered_lines(t.spark, path), "glossary").select("headword", "raw_text")
+    lines = head.unionByName(more)
+    lines.repartitionByRange(parts_for(lines), "k", "line").sortWithinPartitions("k", "line").select("line").write.text(path)
+    return ocr.reference_entries(splits.numbered_lines(t.spark, path, one=True), "glossary").select("headword", "raw_text")

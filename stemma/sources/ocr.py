@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions.text import first_letter, is_all_caps, is_page_number
-from stemma.operators.scan import dealt, running
+from stemma.operators.scan import dealt, parts_of, running, spread
 from stemma.session import small_side
 from stemma.sources.splits import numbered_lines
 
@@ -21,8 +21,9 @@ def segment(lines: DataFrame, starts: Column, drop: Column | None = None) -> Dat
     out. Volumes are numbered apart; the numbers are a running sum, so a volume is not one task."""
     kept = lines.where(~drop) if drop is not None else lines
     flagged = kept.select("volume", "line_no", "line", F.coalesce(starts, F.lit(False)).cast("int").alias("_s"))
-    numbered = running(dealt(flagged, ["volume"], ["line_no"]), ["volume"], ["line_no"], {"entry_no": ("sum", F.col("_s"))}).where("entry_no > 0")
-    parts = numbered.groupBy("volume", "entry_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    d = dealt(flagged, ["volume"], ["line_no"])
+    numbered = running(d, ["volume"], ["line_no"], {"entry_no": ("sum", F.col("_s"))}).where("entry_no > 0")
+    parts = spread(numbered, parts_of(d), "volume", "entry_no").groupBy("volume", "entry_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     return parts.select("volume", "entry_no", F.col("ls")[0]["line"].alias("first"), F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("raw_text"))
 
 

@@ -27,10 +27,14 @@ def split_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """volume, line_no from 0, line (without a carriage return at its end) of the text files at a path."""
+def numbered_lines(spark: SparkSession, path: str, one: bool = False) -> DataFrame:
+    """volume, line_no from 0, line (without a carriage return at its end) of the text files at a path. one: the files at a path are one volume
+    in the order of their names, named by the path."""
     order = ["start", "row"]
-    lines = running(dealt(split_lines(spark, path), ["file"], order), ["file"], order, {"n": ("count", F.lit(1))})
+    lines = split_lines(spark, path)
+    if one:
+        lines, order = lines.withColumnsRenamed({"file": "part"}).withColumn("file", F.lit(path)), ["part", *order]
+    lines = running(dealt(lines, ["file"], order), ["file"], order, {"n": ("count", F.lit(1))})
     return lines.select(F.col("file").alias("volume"), (F.col("n") - 1).cast("int").alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.operators import align, scan, stored, views
-from stemma.plans import literary_queries, relational_queries
+from stemma.plans import literary_queries, relational_queries, split_queries
 from stemma.plans.registry import queries
 
 queries()
@@ -97,3 +97,14 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     assert [(r["k"], r["c"]) for r in got.orderBy("k").collect()] == [(k, k + 1) for k in range(2000)]
     line = {r["k"]: r["line_number"] for r in scan.interpolated(df, "n", [], ["k"]).collect()}
     assert all(line[k] == 2 * k for k in range(1995))
+
+
+
+def test_a_volume_is_not_sorted_by_one_task(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scan, "ROWS", 20)
+    orders = spark.createDataFrame([(k, f"{k % 5}-X") for k in range(200)], "o_orderkey long, o_orderpriority string")
+    monkeypatch.setattr(split_queries, "scratch", lambda *_: str(tmp_path / "volume"))
+    got = split_queries.volume_entries(SimpleNamespace(spark=spark, orders=orders))
+    assert len(list((tmp_path / "volume").glob("part-*"))) > 10
+    want = [(f"w{chr(97 + k % 26)}x", f"w{chr(97 + k % 26)}x: see {k % 5}-X" + ("" if k % 3 == 0 else f"\n  and {k % 5}-X")) for k in range(200)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
