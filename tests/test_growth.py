@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, scan, stored, views
+from stemma.operators import align, citations, scan, stored, views
 from stemma.plans import literary_queries, relational_queries, split_queries
 from stemma.plans.registry import queries
 
@@ -108,3 +108,15 @@ def test_a_volume_is_not_sorted_by_one_task(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "volume").glob("part-*"))) > 10
     want = [(f"w{chr(97 + k % 26)}x", f"w{chr(97 + k % 26)}x: see {k % 5}-X" + ("" if k % 3 == 0 else f"\n  and {k % 5}-X")) for k in range(200)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+
+def test_citations_that_ask_alike_meet_lines_once(spark, monkeypatch):
+    lines = spark.createDataFrame([(n, 1, 1, 1, 1, n, f"line {n}") for n in range(1, 9)], "id long, work_id long, edition_id int, act int, scene int, line_number int, content string")
+    asked = [(k, 1, None if k % 2 else 1, None, 3) for k in range(50)]
+    c = spark.createDataFrame([*asked, (7, 1, 1, 1, 30), (60, 1, 1, None, None)], "id long, work_id long, act int, scene int, line int")
+    met = []
+    band = citations.band_join
+    monkeypatch.setattr(citations, "band_join", lambda left, *more: met.append(left.count()) or band(left, *more))
+    got = {(r["citation_id"], r["text_line_id"]) for r in citations.reference_matches(c, lines).collect()}
+    assert got == {(k, 3) for k in range(50)} and met == [3]
