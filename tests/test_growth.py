@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stemma.operators import align, citations, scan, stored, views
 from stemma.plans import literary_queries, relational_queries, split_queries
 from stemma.plans.registry import queries
+from stemma.sources import automaton, citation_text
 
 queries()
 
@@ -120,3 +121,13 @@ def test_citations_that_ask_alike_meet_lines_once(spark, monkeypatch):
     monkeypatch.setattr(citations, "band_join", lambda left, *more: met.append(left.count()) or band(left, *more))
     got = {(r["citation_id"], r["text_line_id"]) for r in citations.reference_matches(c, lines).collect()}
     assert got == {(k, 3) for k in range(50)} and met == [3]
+
+
+
+def test_found_citations_are_python_objects_in_few(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "FEW", 2)
+    forms = {"a": citation_text.Forms(("Ham.",), ("Sonn.",), ("Ven.",))}
+    df = spark.createDataFrame([(k, None if k == 3 else f"x Ven. {k + 1} y", "a") for k in range(7)], "id long, text string, source string").coalesce(1)
+    find = automaton.citation_column(forms)
+    got = {r["id"]: [tuple(s) for s in r["s"]] for r in df.select("id", find("text", "source").alias("s")).collect()}
+    assert got == {k: [] if k == 3 else [("Ven.", None, None, k + 1, 2, 8)] for k in range(7)}
