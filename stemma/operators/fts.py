@@ -9,12 +9,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from stemma.session import checkpointed
+
 K1, B = 1.2, 0.75
 
 # ---- tokens
@@ -51,6 +54,7 @@ def _cvc(w: str) -> bool:
     return len(w) > 2 and is_c(len(w) - 1) and not is_c(len(w) - 2) and is_c(len(w) - 3) and w[-1] not in "wxy"
 
 
+@lru_cache(100_000)
 def porter(w: str) -> str:
     """The stem of a lower-case English word by Porter's algorithm of 1980."""
     if len(w) <= 2 or not w.isascii() or not w.isalpha():
@@ -96,7 +100,8 @@ TOKEN = re.compile(r"[^\W_]+")
 
 def tokens(s: str | None, stem: bool = True) -> list[str]:
     """FTS-02: case folded, accents removed, letters and digits, stemmed."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", s or "") if not unicodedata.combining(c)).lower()
+    s = s or ""
+    folded = (s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))).lower()
     found = TOKEN.findall(folded)
     return [porter(t) for t in found] if stem else found
 
@@ -128,6 +133,8 @@ def build_index(df: DataFrame, key: str, fields: list[str], stem: bool = True) -
     """FTS-01: one explode and one aggregate by (term, doc, field); lengths come from the token arrays, without a shuffle."""
     token = stemmed_tokens if stem else plain_tokens
     t = df.select(F.col(key).alias("doc"), *[token(F.col(f)).alias(f) for f in fields])
+    if stem:  # in Python: written, so that a search that reads the index several times makes the stems once
+        t = checkpointed(t)
     each = None
     for f in fields:
         part = t.select("doc", F.lit(f).alias("field"), F.posexplode(f).alias("pos", "term"))

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, citations, scan, stored, views
+from stemma.operators import align, citations, fts, scan, stored, views
 from stemma.plans import literary_queries, relational_queries, split_queries
 from stemma.plans.registry import queries
 from stemma.sources import automaton, citation_text
@@ -131,3 +131,12 @@ def test_found_citations_are_python_objects_in_few(spark, monkeypatch):
     find = automaton.citation_column(forms)
     got = {r["id"]: [tuple(s) for s in r["s"]] for r in df.select("id", find("text", "source").alias("s")).collect()}
     assert got == {k: [] if k == 3 else [("Ven.", None, None, k + 1, 2, 8)] for k in range(7)}
+
+
+
+def test_a_search_makes_the_stems_once(spark):
+    df = spark.createDataFrame([(1, "the running"), (2, "runs"), (3, "É of the")], "id long, text string")
+    index = fts.build_index(df, "id", ["text"])
+    assert "ArrowEvalPython" not in joined_rows(fts.search(index, 'run OR "of the"'))
+    assert {r["doc"] for r in fts.search(index, "run").collect()} == {1, 2}
+    assert fts.porter.cache_info().maxsize
