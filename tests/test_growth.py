@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, citations, fts, scan, stored, views
+from stemma.operators import align, citations, evidence, fts, passages, scan, stored, views
 from stemma.plans import literary_queries, relational_queries, split_queries
 from stemma.plans.registry import queries
 from stemma.sources import automaton, citation_text
@@ -149,3 +149,28 @@ def test_lines_that_may_be_cited_are_split_once(spark):
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(7, 1, 1), (7, 4, 3)]
     made = [x for x in joined_rows(got).splitlines() if "Generate explode(array_distinct" in x]
     assert made and not any("split(" in x for x in made)  # else words times words for each line
+
+
+
+def test_short_quotes_meet_words_not_lines(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 1, "the seaside walk"), (1, 2, "of old men"), (2, 1, "walk of"), (3, 1, "a sea of sand and the sun on it"), (4, 1, ""), (4, 2, "x")], "doc_id long, line_no int, norm string")
+    asked = spark.createDataFrame([(1, "sea walk"), (2, "walk of"), (3, "sea of sand and a sun on it all"), (4, "seas"), (5, "x"), (6, "seaside walk of old men the sea"), (7, "the seaside walk of old men"), (8, None), (9, "")], "item_id long, norm string")
+    seen, grams = [], evidence.grams
+    monkeypatch.setattr(evidence, "grams", lambda c, n: seen.append(str(c)) or grams(c, n))
+    got = {tuple(r) for r in evidence.evidence(asked, lines).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (3, 3), (4, 1), (5, 4), (7, 1)}
+    assert seen and set(seen) == {str(F.col("word"))}  # a row for each three letters of each word there is, not of each line
+
+
+def test_levels_that_are_not_asked_do_not_meet_lines(spark):
+    lines = citations.prepared_lines(spark.createDataFrame([(1, 1, 1, None, None, 1, "one"), (2, 1, 1, None, None, 2, "two")], "id long, work_id long, edition_id int, act int, scene int, line_number int, content string"), F.lower)
+    asked = citations.prepared_citations(spark.createDataFrame([(5, 1, None, None, 2, "two", "")], "id long, work_id long, act int, scene int, line int, quote_text string, headword string"), F.lower, expand=False)
+    met = citations.candidates(citations.search_levels(asked, lines).localCheckpoint(), lines.localCheckpoint())
+    assert joined_rows(met).count("Join") == 1 and met.count() == 2
+    assert [r["text_line_id"] for r in citations.resolve(asked, lines).collect()] == [2]
+
+
+def test_spaces_of_a_line(spark):
+    given = ["a  b", "a\tb", " a \n\n b\r", "a b c", "a\u00a0b", "a - b", "\x0b", None, "a\x0c \x0bb "]
+    got = spark.createDataFrame([(x,) for x in given], "s string").select(passages.plain_norm(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["a b", "a b", "a b", "a b c", "ab", "a b", "", None, "a b"]
