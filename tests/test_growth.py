@@ -12,6 +12,7 @@ from stemma.operators import align, citations, evidence, fts, passages, scan, st
 from stemma.plans import literary_queries, relational_queries, split_queries
 from stemma.plans.registry import queries
 from stemma.sources import automaton, citation_text
+from stemma.sources.versioned import VersionedTable
 
 queries()
 
@@ -174,3 +175,22 @@ def test_spaces_of_a_line(spark):
     given = ["a  b", "a\tb", " a \n\n b\r", "a b c", "a\u00a0b", "a - b", "\x0b", None, "a\x0c \x0bb "]
     got = spark.createDataFrame([(x,) for x in given], "s string").select(passages.plain_norm(F.col("s"))).collect()
     assert [r[0] for r in got] == ["a b", "a b", "a b", "a b c", "ab", "a b", "", None, "a b"]
+
+
+def test_files_of_a_table_follow_its_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scan, "ROWS", 50)
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k", "n"])
+    table.create(spark.range(1000).selectExpr("id * 2 AS k", "CAST(id % 3 AS int) AS n", "'a' AS v"))
+    assert (n := table.files().count()) >= 15
+    table.append(spark.range(1000).selectExpr("id * 2 + 1 AS k", "0 AS n", "'b' AS v"))
+    assert table.files().count() >= 2 * n - 10 and table.files().agg(F.max("n")).first()[0] <= 150
+    low = {r["file"] for r in table.files().where("CAST(high AS long) < 1000").collect()}
+    # The ends of the table change, by keys of a type that is not its own; what lies between stays as it is.
+    new = spark.sql("SELECT CAST(k AS int) AS k, n, 'c' AS v FROM VALUES (1, 0), (1998, 0), (1998, 0), (2500, 1) AS t(k, n)")
+    table.swap(new.select("k").distinct(), ["k"], new)
+    rows = {(r["k"], r["n"], r["v"]) for r in table.read().collect()}
+    assert len(rows) == 2001 and rows >= {(1, 0, "c"), (1998, 0, "c"), (2500, 1, "c")} and not {r for r in rows if r[0] in (1, 1998) and r[2] != "c"}
+    files = table.files().collect()
+    assert len(low & {r["file"] for r in files}) == len(low) - 1 and sum(r["n"] for r in files) == 2002
+    bounds = sorted((int(r["low"]), int(r["high"])) for r in files)
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
