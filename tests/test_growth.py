@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,26 @@ def test_files_of_a_table_follow_its_rows(spark, monkeypatch, tmp_path):
     assert len(low & {r["file"] for r in files}) == len(low) - 1 and sum(r["n"] for r in files) == 2002
     bounds = sorted((int(r["low"]), int(r["high"])) for r in files)
     assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+def test_copies_of_a_text_have_their_anchors_found_once(spark, monkeypatch):
+    r = random.Random(6)
+    words = "amber brook cedar delta ember frost grove haven inlet jetty knoll lodge".split()
+    shared, near = ([f"{' '.join(r.sample(words, 6))} {kind} mark{k}" for k in range(4)] for kind in ("common", "other"))
+
+    def text():
+        own = [" ".join(w for w in x.split() if r.random() < 0.9) for x in near * 2] + [" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(6)]
+        return "\n".join(r.sample([*own, *shared, "---", "..."], len(own) + len(shared) + 2))
+
+    texts = [text() for _ in range(4)]
+    documents = [(k, texts[k % 4] if k < 10 else f"only here {k}\n---") for k in range(12)]
+    asked = []
+    inner = literary_queries.best_of_pairs
+    monkeypatch.setattr(literary_queries, "best_of_pairs", lambda pairs, *a: asked.append(pairs.count()) or inner(pairs, *a))
+    rows = literary_queries.mutual_best_anchors(SimpleNamespace(documents=spark.createDataFrame(documents, "doc_id long, text string"))).collect()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    want = con.sql(literary_queries.ANCHORS).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want) and any(x[4] < 1 for x in want)
+    assert asked == [6] and len({x[:2] for x in want}) == 45  # of 45 pairs of documents, six are of different texts
