@@ -218,3 +218,25 @@ def test_copies_of_a_text_have_their_anchors_found_once(spark, monkeypatch):
     want = con.sql(literary_queries.ANCHORS).fetchall()
     assert sorted(map(tuple, rows)) == sorted(want) and any(x[4] < 1 for x in want)
     assert asked == [6] and len({x[:2] for x in want}) == 45  # of 45 pairs of documents, six are of different texts
+
+
+def test_rounds_of_propagation_carry_no_text(spark):
+    matches = spark.createDataFrame([(7, 1, 1, "exact_quote", 1.0, "x"), (None, 1, 1, "exact_quote", 1.0, "y")], "citation_id long, text_line_id long, edition_id long, match_type string, confidence double, matched_text string")
+    maps = spark.createDataFrame([(1, 2, 1, 11, 0.9), (1, 2, 1, 99, 0.5), (2, 3, 11, 21, 0.5), (1, 4, 1, 98, 1.0)], "edition_a_id long, edition_b_id long, line_a_id long, line_b_id long, similarity double")
+    lines = spark.createDataFrame([(k, f"line {k}") for k in (1, 11, 21)], "line_id long, content string")
+    seen = []
+
+    def cut(df):
+        seen.append("matched_text" in df.columns)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    got = citations.propagate(matches, maps, lines, cut=cut).where("citation_id = 7").collect()
+    assert {(r["edition_id"], r["matched_text"], r["confidence"]) for r in got} == {(1, "x", 1.0), (2, "line 11", 0.9), (3, "line 21", 0.45)}  # 98 is no line
+    assert seen.count(True) == 1  # what is given; before, each round joined the text of all lines
+
+
+def test_lines_meet_their_pairs_without_a_shuffle(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    lines = spark.range(4_000).select((F.col("id") % 4).alias("doc_id"), F.col("id").cast("int").alias("line_no"), F.repeat(F.lit("word "), 500).alias("line"))
+    got = passages.pair_lines(pairs, lines, "a")
+    assert got.count() == 2_000 and "BroadcastHashJoin" in joined_rows(got) and "hashpartitioning" not in joined_rows(got)
